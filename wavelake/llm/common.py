@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -30,6 +30,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: an expression is evaluated as often as it is written."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def seeded(seed: str, *cols: Column) -> Column:
     """A reproducible random order: hex MD5 of the seed and the columns, nulls told apart from empty strings."""
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import seeded
+from .common import bind, seeded
 
 
 @dataclass(frozen=True)
@@ -59,10 +59,6 @@ def hypergeometric(good: Column, bad: Column, drawn: Column, seed: str, at: Colu
     """
     total = good + bad
 
-    def bind(value: Column, use) -> Column:  # noqa: ANN001
-        """use(value), with value computed once: SQL lambdas are evaluated as often as they are written."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
     def step(x: Column) -> Column:
         m, lo, hi, n = x["m"], x["lo"], x["hi"], x["n"]
         p = lo / n
@@ -112,9 +108,8 @@ def communication_matrix(sizes: DataFrame, s: Sharding) -> DataFrame:
         def cell(c: Column, j: Column) -> Column:
             room = F.element_at(state["room"], j)
             draw = hypergeometric(room, c["rest"] - room, c["left"], s.seed, p["part"] * s.width + j, s.tries)
-            # The number drawn is read twice; binding it through a one-element array draws it once.
             after = lambda k: F.struct(F.concat(c["sends"], F.array(k)).alias("sends"), (c["left"] - k).alias("left"), (c["rest"] - room).alias("rest"))
-            return F.element_at(F.transform(F.array(draw), after), 1)
+            return bind(draw, after)
 
         start = F.struct(F.array().cast("array<bigint>").alias("sends"), p["n"].alias("left"), whole(state["room"]).alias("rest"))
         dealt = F.aggregate(F.sequence(F.lit(1), F.lit(s.width)), start, cell, lambda c: c["sends"])
