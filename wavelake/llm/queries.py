@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, quality, sharding, urls
+from . import chat, media, mixing, quality, sharding, simhash, urls
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(chat.with_probe(read(spark, sf_dir, "conversations"))).drop("layout", "formatted", "loss_spans")
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"), words=3)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(read(spark, sf_dir, "documents"))
 
