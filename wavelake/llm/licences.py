@@ -67,9 +67,26 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(marked, r"\n[\x20\x09-\x0D]*\n"), lambda s: F.rlike(s, F.lit("[A-Za-z0-9]")))
 
 
-def _candidates(s: Column) -> list[Column]:
-    """A sentence; its last line, and its first: notices stand on lines of their own beside text without a full stop."""
-    return [s, F.substring_index(s, "\n", -1), F.substring_index(s, "\n", 1)]
+#: A sentence that begins below a line without a full stop may itself run over so many lines.
+WRAPPED_LINES = 24
+
+
+def _identifiers(s: Column, known: Column) -> Column:
+    """Identifiers in one stretch of text, as an array.
+
+    The stretch itself if it is known; else its single lines (notices stand on lines of their own beside text without
+    a full stop), the last of them being the shortest known run of last lines.
+    """
+    look = lambda c: F.try_element_at(known, normalised(c))
+    listed = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())
+
+    def apart(lines: Column) -> Column:
+        n = F.size(lines)
+        ends = F.transform(F.sequence(F.lit(1), F.least(n - 1, F.lit(WRAPPED_LINES))), lambda k: look(F.array_join(F.slice(lines, n - k + 1, k), "\n")))
+        first = F.filter(F.transform(F.slice(lines, F.lit(1), n - 1), look), lambda x: x.isNotNull())
+        return F.when(n > 1, F.concat(first, F.slice(F.filter(ends, lambda x: x.isNotNull()), 1, 1))).otherwise(F.array().cast("array<string>"))
+
+    return bind(look(s), lambda whole: F.when(whole.isNotNull(), listed(whole)).otherwise(bind(F.split(s, "\n"), apart)))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -80,9 +97,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     shared.
     """
     known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (_normal(s), k)])
-    identify = lambda s: F.coalesce(*[F.try_element_at(known, normalised(c)) for c in _candidates(s)])
     cut = docs.select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("s"))
-    marks = F.array_join(F.filter(F.transform("s", identify), lambda x: x.isNotNull()), "><")
+    marks = F.array_join(F.flatten(F.transform("s", lambda x: _identifiers(x, known))), "><")
     seen = cut.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.when(marks != "", F.concat(F.lit("<"), marks, F.lit(">"))).otherwise("").alias("sentence_ids"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(ids)).alias("pattern")) for name, ids in RULES])
     found = F.array_sort(F.array_distinct(F.transform(F.filter(rules, lambda r: F.like(F.col("sentence_ids"), r["pattern"])), lambda r: r["name"])))
@@ -113,9 +129,11 @@ def licences_sql() -> str:
 WITH known(s, id) AS (VALUES {known}), rules(name, pattern) AS (VALUES {rules}),
 doc AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?]+[\x20\x09-\x0D]+', chr(10) || chr(10), 'g'), '\n[\x20\x09-\x0D]*\n'), lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS s FROM documents),
 one AS (SELECT k, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS t FROM doc),
-ided AS (SELECT k, i, coalesce(a.id, b.id, c.id) AS id FROM one LEFT JOIN known a ON a.s = {norm.format("t")}
-  LEFT JOIN known b ON b.s = {norm.format("string_split(t, chr(10))[-1]")} LEFT JOIN known c ON c.s = {norm.format("string_split(t, chr(10))[1]")}),
-ids AS (SELECT k, string_agg('<' || id || '>', '' ORDER BY i) AS ids FROM ided WHERE id IS NOT NULL GROUP BY k),
+whole AS (SELECT k, i, string_split(t, chr(10)) AS l, id FROM one LEFT JOIN known ON s = {norm.format("t")}),
+line AS (SELECT k, i, l, unnest(range(1, len(l))) AS j FROM whole WHERE id IS NULL),
+tail AS (SELECT k, i, len(l) AS j, arg_min(known.id, line.j) AS id FROM line JOIN known ON s = {norm.format("array_to_string(l[len(l) - j + 1:], chr(10))")} WHERE line.j <= {WRAPPED_LINES} GROUP BY k, i, len(l)),
+ided AS (SELECT k, i, 0 AS j, id FROM whole UNION ALL SELECT k, i, j, id FROM line JOIN known ON s = {norm.format("l[j]")} UNION ALL FROM tail),
+ids AS (SELECT k, string_agg('<' || id || '>', '' ORDER BY i, j) AS ids FROM ided WHERE id IS NOT NULL GROUP BY k),
 f AS (SELECT DISTINCT k, name FROM ids JOIN rules ON ids LIKE pattern),
 l AS (SELECT k, string_agg(name, ';' ORDER BY name) AS licences FROM f WHERE NOT ({covered}) GROUP BY k)
 SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences, licences IS NOT NULL AS licensed
