@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import U64, WHITESPACE, Interned, mix64, slices, utf8
 
@@ -108,13 +109,13 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text passes both the base rule and the repetition rules."""
 
-    def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for a, b in slices([len(t) // 6 + 1 for t in texts], BATCH_WORDS):
-                yield batch.iloc[a:b][measure(texts[a:b])["kept"].to_numpy()]
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        texts = [t if isinstance(t, str) else "" for t in text]
+        parts = [measure(texts[a:b])["kept"] for a, b in slices([len(t) // 6 + 1 for t in texts], BATCH_WORDS)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=bool)
 
-    return docs.mapInPandas(rules, docs.schema)
+    return docs.filter(good(F.col("text")))
 
 
 def repetition_sql() -> str:

@@ -259,7 +259,11 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     """
     key = F.md5(F.coalesce("text", F.lit("")))
     groups = near_copies(docs, words, similarity)
-    ids = docs.select(key.alias("text_key"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.lit(0).alias("z")).alias("place")).groupBy("text_key").agg(F.min("place").alias("place"))
-    stays = ids.join(groups, "text_key").groupBy("root").agg(F.min(F.struct("place", "text_key")).alias("first")).select(F.col("first.text_key").alias("__key"), F.col("first.place.i").alias("__id"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
+    ids = docs.select(key.alias("text_key"), place.alias("place")).groupBy("text_key", "place").agg(F.count(F.lit(1)).alias("rows"))
+    first = ids.join(groups, "text_key").groupBy("root").agg(F.min(F.struct("place", "text_key", "rows")).alias("x"))
+    stays = first.select(F.col("x.text_key").alias("__key"), F.col("x.place.i").alias("__id"), F.col("x.rows").alias("__rows"))
     kept = docs.withColumn("__key", key).join(stays, "__key").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__key", "__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = kept.filter("__rows > 1").dropDuplicates(["__key"])
+    return kept.filter("__rows = 1").select(*columns).union(repeated.select(*columns))
