@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licences, media, mixing, packing, quality, sharding, simhash, urls
+from . import chat, licences, media, mixing, packing, quality, scoring, sharding, simhash, urls
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read(spark, sf_dir, "documents"))
 
