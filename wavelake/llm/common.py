@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,8 +42,15 @@ def seeded(seed: str, *cols: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more: jobs of many rounds pile them up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, in the folder that spark.checkpoint.dir names (one of our own only where it is unset)."""
+    release(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -57,11 +65,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder: for tables that hold texts, smaller than a checkpoint."""
+    release(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILTER_BITS = 1 << 24
+
+
+def members(ids: DataFrame, key: str) -> DataFrame:
+    """A hashed bitmap of the values of ``key``: (bucket, bits), 2 MB at most, however many values there are."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    return ids.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+
+
+def split_by(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the bitmap, rows whose key is not): what an exact join need not see is not shuffled.
+
+    The bitmap is broadcast: its size is bounded by FILTER_BITS. Full, it lets all rows through to the join.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    joined = df.withColumn("__bucket", F.bitmap_bucket_number(at)).withColumn("__bit", F.bitmap_bit_position(at)).join(F.broadcast(bitmap), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return joined.filter(hit).select(*columns), joined.filter(~hit).select(*columns)
+
+
 def utf8(text: object) -> bytes:
     """UTF-8 bytes of a pandas cell; null is empty."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

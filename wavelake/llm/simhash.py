@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Interned, durable, fold, slices
+from .common import U64, Interned, durable, fold, members, slices, split_by
 from .components import connected_components
 
 BITS = 64
@@ -134,9 +134,10 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
 NEAR_BITS, NEAR_SEGMENTS = 12, 8
 #: Keys: so many tables, each of so many fingerprint bits. More documents call for more bits and tables.
 TABLES, KEY_BITS = 24, 16
-#: Neighbours of a key that are compared with a document in one round; those beyond wait for the next round.
-WINDOW = 48
-ROUNDS = 6
+#: Neighbours in a run of one key that a document is compared with at first. Up to FEW near ones are all checked; of
+#: more, the NEAREST ones, and the documents for which some were passed over are compared again, in blocks of BLOCK.
+WINDOW, FEW, NEAREST, BLOCK = 48, 12, 3, 1024
+ROUNDS = 20
 
 
 def table_masks(tables: int = TABLES, bits: int = KEY_BITS, seed: int = 7) -> list[int]:
@@ -158,12 +159,17 @@ def _word_prints(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shingle_set(text: object, n: int) -> np.ndarray:
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(fold(text), n)], U64))
+    """32-bit hashes, each once: sets are compared two at a time, so a chance collision counts for little."""
+    return np.unique(np.array([xxhash.xxh32_intdigest(s, 42) for s in shingles(fold(text), n)], np.uint32))
 
 
-def _near_in_runs(keys: np.ndarray, fp: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rows sorted by key, then size. Pairs of one key, WINDOW rows apart at most, of fitting size and near fingerprints; whether a fitting row lay beyond."""
-    left, right, beyond = [], [], False
+def _near_in_runs(keys: np.ndarray, fp: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by key, then size. Pairs of rows to be checked, and rows that have to come again.
+
+    A row is compared with the next WINDOW rows that share its key and fit in size. Rows of pairs that were
+    passed over come again, and so do all rows of a key whose fitting rows reach beyond the window.
+    """
+    found, again = [], []
     masks = np.array(segment_masks(NEAR_SEGMENTS), U64)
     budgets = [length * NEAR_BITS // NEAR_SEGMENTS for length in range(1, NEAR_SEGMENTS + 1)]
     for d in range(1, WINDOW + 2):
@@ -171,24 +177,27 @@ def _near_in_runs(keys: np.ndarray, fp: np.ndarray, size: np.ndarray, similarity
         if not len(i):
             break
         if d > WINDOW:
-            beyond = True
+            again.append(np.flatnonzero(np.isin(keys, keys[i])))
             break
-        x = fp[i] ^ fp[i + d]
-        each = np.bitwise_count(x[:, None] & masks).astype(np.int64)
+        each = np.bitwise_count((fp[i] ^ fp[i + d])[:, None] & masks).astype(np.int64)
         ring = np.concatenate([each, each], 1)
         chain = np.zeros(len(i), bool)
         for s in range(NEAR_SEGMENTS):
             chain |= (np.cumsum(ring[:, s : s + NEAR_SEGMENTS], 1) <= budgets).all(1)
         i = i[chain]
-        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= NEAR_BITS]
-        left.append(i)
-        right.append(i + d)
-    none = np.empty(0, np.int64)
-    return np.concatenate(left) if left else none, np.concatenate(right) if right else none, beyond
+        bits = np.bitwise_count(fp[i] ^ fp[i + d]).astype(np.int64)
+        found.append(np.stack([i, i + d, bits])[:, bits <= NEAR_BITS])
+    a, b, bits = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
+    order = np.lexsort((b, bits, a))
+    a, b = a[order], b[order]
+    rank, count = np.arange(len(a)) - np.searchsorted(a, a), np.bincount(a, minlength=len(keys))[a] if len(a) else a
+    keep = (count <= FEW) | (rank < NEAREST)
+    again += [a[~keep], b[~keep]]
+    return a[keep], b[keep], np.unique(np.concatenate(again))
 
 
 def _candidates(prints: DataFrame, similarity: float) -> DataFrame:
-    """prints: (id, fp, n). Pairs (a, b) of ids to be checked, each once, and beyond: whether a run was longer than the window."""
+    """prints: (id, fp, n). Pairs (a, b) of ids to be checked, each once, and rows (a, null) of ids that have to come again."""
     tables = F.array(*[F.struct(F.lit(k).alias("table"), F.lit(_signed(mask)).alias("mask")) for k, mask in enumerate(table_masks())])
     keyed = prints.select("id", "fp", "n", F.explode(tables).alias("t")).select("id", "fp", "n", F.xxhash64("t.table", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"))
 
@@ -196,37 +205,104 @@ def _candidates(prints: DataFrame, similarity: float) -> DataFrame:
         rest: pd.DataFrame | None = None  # the end of the last batch, whose runs may go on
         for batch in batches:
             part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            a, b, beyond = _near_in_runs(part.key.to_numpy(), part.fp.to_numpy().view(U64), part.n.to_numpy(), similarity)
-            new = b >= (0 if rest is None else len(rest))
-            yield pd.DataFrame({"a": part.id.to_numpy()[a[new]], "b": part.id.to_numpy()[b[new]], "beyond": beyond})
+            a, b, again = _near_in_runs(part.key.to_numpy(), part.fp.to_numpy().view(U64), part.n.to_numpy(), similarity)
+            ids = part.id.to_numpy()
+            found = pd.DataFrame({"a": np.concatenate([ids[a], ids[again]]), "b": np.concatenate([ids[b], np.full(len(again), None, object)])})
+            yield found.drop_duplicates()
             rest = part.tail(WINDOW + 1).reset_index(drop=True)
 
-    found = keyed.repartition("key").sortWithinPartitions("key", "n", "fp", "id").mapInPandas(near, "a string, b string, beyond boolean")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "beyond").groupBy("a", "b").agg(F.max("beyond").alias("beyond"))
+    found = keyed.repartition("key").sortWithinPartitions("key", "n", "fp", "id").mapInPandas(near, "a string, b string")
+    return found.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
 
 
-def similar_pairs(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """texts: (id, text); pairs: (a, b). The pairs whose sets of word shingles have at least this Jaccard similarity."""
+def shingle_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """texts: (id, text); ids: (id). The hashes of the word shingles, each once, of every text that is asked for."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch.id, "s": [_shingle_set(t, words).view(np.int64) for t in batch.text]})
+            yield pd.DataFrame({"id": batch.id, "s": [_shingle_set(t, words).view(np.int32) for t in batch.text]})
+
+    likely, _ = split_by(texts, "id", members(ids, "id"))
+    return likely.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id string, s array<int>")
 
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    listed = texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id string, s array<long>")
+
+def similar_pairs(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """texts: (id, text); pairs: (a, b). The pairs whose sets of word shingles have at least this Jaccard similarity."""
+    needed = durable(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    listed = shingle_sets(texts, needed, words)
     both = pairs.join(listed.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(listed.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def similar_within(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest index that each set is linked with, over links of at least this Jaccard similarity, all pairs compared.
+
+    Intersections are counted as products of 0/1 matrices, some thousand shingles at a time.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    shingle, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = np.cumsum(count > 1) - 1
+    use = count[place] > 1
+    row, column = row[use], shared[place[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, (a, a + 4096))
+        m = np.zeros((n, min(4096, int(column[-1]) + 1 - a)), np.float32)
+        m[row[i:j], column[i:j] - a] = 1
+        common += m @ m.T
+    linked = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(linked, True)
+    label = np.arange(n)
+    while True:
+        new = np.where(linked, label[None, :], n).min(1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _linked_blocks(listed: DataFrame, similarity: float, size: int) -> DataFrame:
+    """listed: (id, fp, n, s). Links (a, b) that join what is similar within each run of one key, and rows (a, null) of ids in runs longer than a block."""
+    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.lit(_signed(mask)).alias("mask")) for k, mask in enumerate(table_masks())])
+    keyed = listed.select("id", "fp", "n", "s", F.explode(tables).alias("t")).select("id", "n", "fp", "s", F.xxhash64("t.table", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"))
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, sets, long_run = None, [], [], False
+
+        def out() -> pd.DataFrame:
+            label = similar_within(sets, similarity)
+            a = [(ids[r], ids[i]) for i, r in enumerate(label) if r != i]
+            return pd.DataFrame(a + [(i, None) for i in ids if long_run], columns=["a", "b"])
+
+        for batch in batches:
+            for k, i, s in zip(batch.key, batch.id, batch.s, strict=True):
+                if k != key or len(ids) >= size:
+                    long_run = k == key or long_run
+                    if len(ids) > 1:
+                        yield out()
+                    ids, sets, long_run, key = [], [], k == key, k
+                ids.append(i)
+                sets.append(np.asarray(s))
+        if len(ids) > 1:
+            yield out()
+
+    found = keyed.repartition("key").sortWithinPartitions("key", "n", "fp", "id").mapInPandas(blocks, "a string, b string")
+    return found.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(text_key, root): for every distinct text, the text that stands for its group.
 
     Texts are keyed by MD5. Fingerprints over distinct words nominate pairs that share a key of sampled bits;
     pigeonring chains and the full bit count prune them; the exact Jaccard similarity of their word shingles
-    decides. Where more than WINDOW texts share a key, each is compared with its nearest in size; groups are then
-    reduced to one text each and what remains is compared again, until no run is longer than the window or nothing
-    is linked any more. Null and empty texts are one group.
+    decides. Where very many texts share a key, a text is checked against the NEAREST of the next WINDOW ones. Texts
+    for which pairs were passed over are then compared block by block, all within a block, and only what joins them
+    leaves the task; of runs longer than a block one text for each group goes on to a round of larger blocks, until
+    there is none. So no pairs of a large group are ever listed, and none is left out. Texts without words, null or
+    not, are one group.
     """
     key = F.md5(F.coalesce("text", F.lit("")))
     texts = docs.select(key.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -239,15 +315,20 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
                 yield pd.DataFrame({"id": part.id.array, "fp": fp.view(np.int64), "n": n})
 
     every = durable(texts.mapInPandas(prints, "id string, fp long, n long").groupBy("id").agg(F.first("fp").alias("fp"), F.first("n").alias("n")))
-    left, edges = every, None
+    found = durable(_candidates(every, similarity))
+    edges = durable(similar_pairs(texts, found.filter("b is not null"), words, similarity))
+    again, size = found.filter("b is null").select(F.col("a").alias("id")), BLOCK
     for _ in range(ROUNDS):
-        pairs = durable(_candidates(left, similarity))
-        links = durable(similar_pairs(texts, pairs.select("a", "b"), words, similarity).distinct())
-        edges = links if edges is None else edges.union(links)
-        if not pairs.filter("beyond").limit(1).count() or not links.limit(1).count():
+        again = durable(again.distinct())
+        if not again.limit(1).count():
             break
-        gone = connected_components(links).filter("node != root").select(F.col("node").alias("id"))
-        left = durable(left.join(gone, "id", "left_anti"))
+        listed = every.join(again, "id", "left_semi").join(shingle_sets(texts, again, words), "id")
+        found = durable(_linked_blocks(listed, similarity, size))
+        links = found.filter("b is not null")
+        edges, size = edges.union(links), size * 4
+        again = found.filter("b is null").select(F.col("a").alias("id")).join(links.select(F.col("b").alias("id")), "id", "left_anti")
+    else:
+        raise RuntimeError(f"near copies have not settled after {ROUNDS} rounds")
     linked = connected_components(edges)
     return every.select(F.col("id").alias("text_key")).join(linked.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
 
@@ -261,9 +342,15 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     groups = near_copies(docs, words, similarity)
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
     ids = docs.select(key.alias("text_key"), place.alias("place")).groupBy("text_key", "place").agg(F.count(F.lit(1)).alias("rows"))
-    first = ids.join(groups, "text_key").groupBy("root").agg(F.min(F.struct("place", "text_key", "rows")).alias("x"))
+    placed = ids.join(groups, "text_key")
+    first = durable(placed.groupBy("root").agg(F.min(F.struct("place", "text_key", "rows")).alias("x"), F.sum("rows").alias("all")).filter(F.col("all") > 1))
+    # Only texts of groups with several rows have to be compared; the others stay, and are not exchanged.
+    shared = members(placed.join(first.select("root"), "root", "left_semi").select("text_key"), "text_key")
     stays = first.select(F.col("x.text_key").alias("__key"), F.col("x.place.i").alias("__id"), F.col("x.rows").alias("__rows"))
-    kept = docs.withColumn("__key", key).join(stays, "__key").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
+    some, alone = split_by(docs.withColumn("__key", key), "__key", shared)
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    groups_of = placed.join(first.select("root"), "root", "left_semi").select(F.col("text_key").alias("__key")).distinct()
+    kept = some.join(stays, "__key").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
     repeated = kept.filter("__rows > 1").dropDuplicates(["__key"])
-    return kept.filter("__rows = 1").select(*columns).union(repeated.select(*columns))
+    unlinked = some.join(groups_of, "__key", "left_anti")
+    return alone.select(*columns).union(unlinked.select(*columns)).union(kept.filter("__rows = 1").select(*columns)).union(repeated.select(*columns))
