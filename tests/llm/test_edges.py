@@ -1,0 +1,383 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; and the parts of each method."""
+
+from __future__ import annotations
+
+import collections
+import io
+import math
+import mmap
+import struct
+import zipfile
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from wavelake.llm import chat, common, components, licences, media, mixing, packing, quality, scoring, sharding, simhash, urls
+from wavelake.llm.trie import SUCCESSOR_BITS, EliasFano, Trie, log10_of, quantise
+
+LONG = "long words " * 30_000
+ROWS = [(1, "a b c d e", "x"), (1, "a b c d e", "x"), (2, None, None), (3, "", "y"), (None, "null id here", "y"), (None, None, None), (4, LONG, "x"), (5, " \t\n", "z"), (6, "ü\x85ö  é", "z")]
+SCHEMA = "doc_id long, text string, source string"
+CLASHING = ["bin", "pack", "bucket", "shard", "size", "taken", "component_id", "root", "id", "__key", "k", "n", "part"]
+OPERATORS = {
+    "mix": (mixing.mix_documents, len(ROWS)), "shard": (sharding.shard_documents, len(ROWS)), "quality": (quality.repetition_rules, len(ROWS)), "simhash": (simhash.simhash_components, len(ROWS)),
+    "score": (scoring.score_documents, len(ROWS)), "licences": (licences.scan_licences, len(ROWS)), "media": (media.media_digest, len(ROWS)), "pack": (packing.pack_documents, None),
+    "keep": (quality.keep_good, None), "near": (simhash.drop_near_copies, None), "mixed": (mixing.mixed_corpus, None),
+}
+
+
+def documents(spark, rows=ROWS, clashing=False):
+    df = spark.createDataFrame(rows, SCHEMA)
+    return df.select("*", *[F.lit(7).alias(c) for c in CLASHING]) if clashing else df
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_rows(spark, name, clashing):
+    f, n = OPERATORS[name]
+    rows = f(documents(spark, clashing=clashing)).collect()
+    if n is not None:
+        assert len(rows) == n and collections.Counter(r.doc_id for r in rows) == collections.Counter(r[0] for r in ROWS)
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_empty_tables(spark, name):
+    assert OPERATORS[name][0](documents(spark, [])).count() == 0
+
+
+def test_odd_rows_have_the_results_that_are_told(spark):
+    df = documents(spark)
+    q = {r.doc_id: r for r in quality.repetition_rules(df).filter("doc_id is not null").collect()}
+    assert q[2].n_words == q[3].n_words == q[5].n_words == 0 and q[2].base_failed and not q[2].kept and q[6].n_words == 2 and q[6].word_chars == 4
+    assert q[4].n_repeat_words == 60_000 and q[4].base_failed
+    s = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(df).collect()]
+    assert {x[2] for x in s if x[1] == "0" * 16} == {2} and len([x for x in s if x[1] == "0" * 16]) == 4
+    p = packing.pack_documents(df).toPandas()
+    assert p[p.words == 0].bin.isna().all() and p[p.doc_id == 4].words.sum() == 60_000 and p[p.doc_id == 4].piece.max() == 60_000 // 2048
+    m = mixing.mix_documents(df).toPandas()
+    assert m[m["size"] == 0].taken.sum() == 0 and m[m.source.isna()]["size"].sum() == 0
+    near = [r.doc_id for r in simhash.drop_near_copies(df).collect()]
+    assert sorted(x for x in near if x is not None) == [1, 2, 4, 6] and near.count(None) == 1
+    three = scoring.score_documents(df, order=3).filter("doc_id = 2").first()
+    assert three.n_tokens == 1 and three.score < 0
+
+
+# Mixing ----------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=20, deadline=None)
+@given(sizes=st.lists(st.integers(0, 1000), min_size=1, max_size=9))
+def test_targets_are_the_fixed_point_of_resharing(spark, sizes):
+    got = mixing.targets(spark.createDataFrame([(f"s{i}", False, n) for i, n in enumerate(sizes)], "source_key string, source_null boolean, source_size long"), mixing.Mix()).orderBy("source_key").collect()
+    left, open_, target = float(sum(sizes)), set(range(len(sizes))), [0.0] * len(sizes)
+    while open_:
+        total = sum(1 + i % 3 for i in open_)
+        over = {i for i in open_ if left * (1 + i % 3) / total > 3 * sizes[i] + 1e-9}
+        if not over:
+            for i in open_:
+                target[i] = left * (1 + i % 3) / total
+            break
+        for i in over:
+            target[i] = 3.0 * sizes[i]
+            left -= target[i]
+        open_ -= over
+    assert [r.target for r in got] == pytest.approx(target, abs=1e-6)
+
+
+def test_quotas_are_an_apportionment(spark):
+    rows = [(i, "w " * (20 + i % 13), f"s{i % 7 if i % 3 else 0}") for i in range(600)]
+    mix = mixing.Mix(shards=5)
+    quotas = mixing.shard_quotas(documents(spark, rows), mix).toPandas()
+    sizes = mixing.mix_documents(documents(spark, rows), mix).toPandas().groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    total, house = sizes["size"].sum(), round(sizes["size"].sum() / mix.block_tokens)
+    seats = sorted(((-t / (2 * k + 1), i) for i, t in enumerate(sizes.target) for k in range(house)))[:house]
+    want = collections.Counter(i for _, i in seats)
+    assert quotas.groupby("source").quota.sum().tolist() == [want[i] for i in range(len(sizes))]
+    assert quotas.groupby("shard").quota.sum().max() - quotas.groupby("shard").quota.sum().min() <= 1 and total > 0
+    assert ((sizes.taken - sizes.target).abs() <= 2 * mix.block_tokens).all()
+
+
+# Components ------------------------------------------------------------------------------------------------------
+
+
+def test_components(spark):
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2200)] + [(5, 5), (None, 3)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            root.setdefault(a, a), root.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a is not None and a != b and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    assert got == root
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_split_by_loses_nothing(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("id"))
+    some, rest = common.split_by(df, "id", common.members(df.filter("id < 40"), "id"))
+    a, b = {r.id for r in some.collect()}, {r.id for r in rest.collect()}
+    assert len(a) + len(b) == 1000 and {str(i) for i in range(40)} <= a and len(a) < 60
+
+
+# URLs ------------------------------------------------------------------------------------------------------------
+
+
+def test_aliases_inherit_blocks_but_not_over_an_allow(spark):
+    rows = [
+        (1, "http://a.net/x?q=1#f", '<LINK href="/y" REL=canonical>'), (2, "https://a.net/y", "<meta content=\"0; URL='https://b.com/de/1'\" http-equiv=\"Refresh\">"), (3, "http://b.com/de/1", None),
+        (4, "https://q.org/z", '<link rel="canonical" href="https://b.com/de/1">'), (5, None, "<link rel=canonical href=http://c.d/>"), (6, "nothing", None), (7, "http://A.NET", "x"), (7, "http://A.NET", "x"),
+        (8, "https://k.net/aa/b?z", '<link rel="canonical" href="c&amp;d">'), (9, "http://ORG/es/", None), (10, "http://www.example.org/es/q", ""), (11, "http://example.org/en/12", ""), (12, "http://badexample.org/es/", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.by, r.rule) for r in urls.judge_urls(pages).collect()}
+    assert got[1] == got[2] == ("block", "alias", None) and got[3] == ("block", "rule", "com/de/") and got[4] == ("allow", "rule", "org/")
+    assert got[5] == got[6] == got[7] == got[8] == ("allow", "default", None) and got[9] == ("allow", "rule", "org/")
+    assert got[10][2] == "example.org/es/" and got[11][2] == "example.org/en/1" and got[12][2] == "org/"
+    log = spark.createDataFrame([("http://k.net/aa/b?z", "http://t.com/de/")], "source string, target string")
+    assert {r.page_id: r.verdict for r in urls.judge_urls(pages, log).collect()}[8] == "block"
+    assert urls.judge_urls(pages.limit(0)).count() == 0
+
+
+# Trie ------------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=60, deadline=None)
+@given(values=st.lists(st.integers(0, 1 << 62), max_size=300), dense=st.booleans(), asked=st.lists(st.integers(0, 1 << 62), max_size=40))
+def test_elias_fano(values, dense, asked):
+    if dense:
+        values, asked = [v % 97 for v in values], [v % 120 for v in asked]
+    v = np.array(sorted(values), np.uint64)
+    e = EliasFano.of(v)
+    assert np.array_equal(e[np.arange(len(v))], v)
+    x = np.array([*asked, *values[:20]], np.uint64)
+    got = e.successor(x, np.zeros(len(x), np.int64), np.full(len(x), len(v)))
+    assert np.array_equal(got, np.searchsorted(v, x))
+
+
+def test_trie_finds_what_was_put_in_and_nothing_else(tmp_path):
+    rng = np.random.default_rng(2)
+    pairs = sorted({(int(c), int(s)) for c, s in zip(rng.integers(0, 1 << 40, 3000) % 50 * 12345678901, rng.integers(0, 1 << SUCCESSOR_BITS, 3000), strict=True)})
+    c, s = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
+    codes = rng.integers(0, 65536, len(c)).astype(np.uint16)
+    raw = Trie.of(c, s, codes).to_bytes()
+    path = tmp_path / "trie"
+    path.write_bytes(raw)
+    with path.open("rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
+        t = Trie.map(m)
+        assert np.array_equal(t.find(c, s), codes)
+        assert (t.find(c, (s + np.uint64(1)) % np.uint64(1 << SUCCESSOR_BITS)) == -1).sum() > 2900 and (t.find(c + np.uint64(1), s) == -1).all()
+        del t
+    assert len(raw) < 0.75 * (c.nbytes + s.nbytes + codes.nbytes)
+    assert Trie.map(Trie.of(c[:0], s[:0], codes[:0]).to_bytes()).find(c[:2], s[:2]).tolist() == [-1, -1]
+
+
+def test_quantised_probabilities():
+    p = np.array([1.0, 0.5, 1e-9])
+    assert np.allclose(log10_of(quantise(p)), np.log10(p), atol=0.0005)
+
+
+def test_scores_do_not_depend_on_chunks_or_shards(spark, monkeypatch):
+    rows = [(i, f"the cat {i % 5} sat on the mat {i % 3}", "s") for i in range(60)]
+    whole = {r.doc_id: r.score for r in scoring.score_documents(documents(spark, rows), order=3).collect()}
+    monkeypatch.setattr(scoring, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(scoring, "SHARD_ENTRIES", 20)
+    cut = {r.doc_id: r.score for r in scoring.score_documents(documents(spark, rows), order=3).collect()}
+    assert cut == pytest.approx(whole, abs=1e-6)
+
+
+# Licences --------------------------------------------------------------------------------------------------------
+
+
+def test_licence_rules(spark):
+    text = {k: v for k, v in licences.SENTENCES.items()}
+    rows = [
+        (1, f"Title\n{text['bsd-source']}\n{text['bsd-binary']} {text['bsd-names']}", ""), (2, f"{text['bsd-binary']} {text['bsd-source']}", ""), (3, f"{text['bsd-source']} And {text['arr']} {text['bsd-binary']}", ""),
+        (4, text["mit-grant"].replace(" to use,", "\nto use,") + "\n\n" + text["mit-as-is"].lower(), ""), (5, "see\nReleased under the MIT License\nfor more", ""), (6, "the MIT License", ""), (7, text["apache-2.0"] + " x " + text["gpl-3"], ""),
+    ]
+    got = {r.doc_id: r.licences for r in licences.scan_licences(documents(spark, rows)).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "", 3: "BSD-2-Clause", 4: "MIT", 5: "MIT", 6: "", 7: "Apache-2.0"} or got == {1: "BSD-3-Clause", 2: "", 3: "BSD-2-Clause;all-rights-reserved", 4: "MIT", 5: "MIT", 6: "", 7: "Apache-2.0"}
+
+
+# Sharding --------------------------------------------------------------------------------------------------------
+
+
+def test_hypergeometric_law(spark):
+    draw = sharding.hypergeometric(F.lit(12).cast("bigint"), F.lit(18).cast("bigint"), F.lit(10).cast("bigint"), "law", F.col("id"), 64)
+    got = collections.Counter(r.k for r in spark.range(20_000).select(draw.alias("k")).collect())
+    for k in range(11):
+        p = math.comb(12, k) * math.comb(18, 10 - k) / math.comb(30, 10)
+        assert abs(got[k] - 20_000 * p) <= 5 * math.sqrt(20_000 * p * (1 - p)) + 1
+    edge = spark.range(3).select(*[sharding.hypergeometric(F.lit(a).cast("bigint"), F.lit(b).cast("bigint"), F.lit(n).cast("bigint"), "e", F.col("id"), 64).alias(f"c{i}") for i, (a, b, n) in enumerate([(0, 5, 3), (5, 0, 3), (4, 4, 8), (4, 4, 0)])]).first()
+    assert tuple(edge) == (0, 3, 4, 0)
+
+
+def test_matrix_has_its_margins(spark):
+    s = sharding.Sharding(shards=5, columns=3, partitions=4)
+    sizes = [(0, 37), (1, 0), (2, 5), (3, 101)]
+    rows = sharding.communication_matrix(spark.createDataFrame(sizes, "part int, n long"), s).collect()
+    assert [sum(r.sends) for r in rows] == [n for _, n in sizes]
+    columns = np.array([r.sends for r in rows]).sum(0)
+    shards = columns.reshape(5, 3).sum(1)
+    assert shards.max() - shards.min() <= 1 and columns.max() - columns.min() <= 1 and columns.sum() == 143
+
+
+# Chat ------------------------------------------------------------------------------------------------------------
+
+
+def test_layouts_are_told_by_their_fingerprints(spark):
+    schema = "prompt string, completion string, system string, instruction string, input string, output string, messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, note string"
+    rows = [("p", "c", None, None, None, None, None, None, "x"), ("p", "c", "s", None, None, None, None, None, None), (None, None, None, "i", "n", "o", None, None, None), (None, None, None, "i", None, "o", None, None, None),
+            (None, None, None, None, None, None, [("user", None)], None, None), (None, None, None, None, None, None, None, [("human", "v")], None), ("p", None, None, None, None, None, None, None, None)]
+    got = chat.canonical_turns(spark.createDataFrame(rows, schema)).collect()
+    assert [r.layout for r in got] == ["prompt", "system_prompt", "instruction_input", "instruction", "messages", "conversations", None]
+    assert [len(r.turns) for r in got[:6]] == [2, 3, 2, 2, 1, 1] and got[4].turns[0].text == "" and got[6].turns is None and len({r.fingerprint for r in got}) == 7
+
+
+@settings(max_examples=25, deadline=None)
+@given(turns=st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", ""]), st.text(alphabet="<>|&;[]/sINTima_endtr\n \\é\0", max_size=30)), max_size=5))
+def test_formatting_is_reversible(spark, turns):
+    records = spark.createDataFrame([(turns,)], "turns array<struct<role:string,text:string>>")
+    r = chat.formatted(records).select("formatted", chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t.role, t.text) for t in r.back] == turns and r.loss == "".join(t for role, t in turns if role == "assistant")
+    assert r.formatted.count("<|im_end|>") == len(turns) == r.formatted.count("<|im_start|>") and "</s>" not in r.formatted and "[INST]" not in r.formatted
+
+
+def test_conversations_with_nulls_and_ties(spark):
+    rows = [(None, 1, "user", None), (None, None, None, "x"), (1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "user", "a")]
+    got = {r.conv_id: r.n_turns for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {None: 2, 1: 3}
+
+
+# SimHash ---------------------------------------------------------------------------------------------------------
+
+
+def test_links_lose_nothing_in_small_or_large_buckets(spark):
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 1 << 62))
+    fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (400, 2))} | {int(x) for x in rng.integers(0, 1 << 62, 200)}
+    fps |= {x ^ 3 for x in list(fps)[-50:]}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    got = {r.node: r.root for r in components.connected_components(simhash.linked_fingerprints(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()}
+    root = {x: x for x in signed}
+    for i, a in enumerate(signed):
+        for b in signed[i + 1 :]:
+            if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2 and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert {x: got.get(x, x) for x in signed} == root
+
+
+def test_chains_hold_for_all_near_fingerprints(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)).astype(np.int64)),) for n in (1, 2) for _ in range(300)]
+    assert spark.createDataFrame(rows, "x long").filter(~simhash.chain_holds(F.col("x"), 4, 2)).count() == 0
+
+
+def test_near_copies_of_a_large_group(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):  # each copy changes one word: similar to the base, and most to each other
+        own = list(words)
+        own[int(rng.integers(0, 120))] = f"x{i}"
+        rows.append((i, " ".join(own), "s"))
+    rows += [(1000 + i, " ".join(f"u{i}_{j}" for j in range(60)), "s") for i in range(40)] + [(2000, "", "s"), (2001, None, "s")]
+    got = sorted(r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect())
+    assert got == [0, *range(1000, 1040), 2000]
+
+
+def test_similar_within_compares_all_pairs():
+    sets = [np.arange(0, 100), np.arange(5, 105), np.arange(50, 150), np.arange(1000, 1100), np.arange(1000, 1099), np.empty(0, np.int64)]
+    assert simhash.similar_within(sets, 0.8).tolist() == [0, 0, 2, 3, 3, 5]
+
+
+# Media -----------------------------------------------------------------------------------------------------------
+
+
+def _png() -> bytes:
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+def _samples() -> dict[str, bytes]:
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a", "b")
+    box = lambda k, b=b"": struct.pack(">I", 8 + len(b)) + k + b
+    return {
+        "image/png": _png(), "audio/wav": media.as_wav(b"\x80" * 192), "application/zip": z.getvalue(), "image/gif": b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;",
+        "image/bmp": b"BM" + struct.pack("<IHHIIiiHHIIiiII", 58, 0, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\0" * 4, "video/mp4": box(b"ftyp", b"isom\0\0\0\0") + box(b"moov", box(b"free")),
+        "application/pdf": b"%PDF-1.4\nx\nstartxref\n0\n%%EOF", "image/jpeg": b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x04cd\x01\xff\x00\x02\xff\xd9",
+        "audio/ogg": b"OggS\0\6" + b"\0" * 20 + b"\1\3abc", "audio/mpeg": b"ID3\3\0\0\0\0\0\2ab", "audio/flac": b"fLaC\x80\0\0\x22" + b"\0" * 34,
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(media.SIGNATURES and set(media.VALIDATORS)))
+def test_sniffing(spark, kind):
+    whole = _samples()[kind]
+    found = media.automaton()
+    assert (0, len(whole), kind) in media.sniff(whole, found)
+    inside = media.sniff(b"pre" + whole + (b"" if kind == "audio/flac" else b"post"), found)
+    assert (3, len(whole), kind) in inside
+    if kind not in ("audio/mpeg", "audio/flac"):
+        assert (0, len(whole), kind) not in media.sniff(whole[:-1], found)
+
+
+def test_declared_types_are_corrected_and_media_carved(spark):
+    png, wav = _png(), media.as_wav(b"\x80" * 192)
+    rows = [(1, png, "image/jpeg"), (2, b"text " + png + b" and " + wav, None), (3, None, "x"), (4, b"", None), (5, wav, "audio/wav")]
+    got = {r.id: r for r in media.sniff_media(spark.createDataFrame(rows, "id long, content binary, declared string")).collect()}
+    assert got[1].type == "image/png" and not got[1].declared_ok and got[5].declared_ok and got[3].type == media.UNKNOWN and got[4].length == 0
+    assert [(c.offset, c.length, c.type) for c in got[2].carved] == [(5, len(png), "image/png"), (10 + len(png), len(wav), "audio/wav")]
+
+
+# Packing and quality ---------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=80, deadline=None)
+@given(items=st.lists(st.tuples(st.integers(1, 100), st.integers(0, 3), st.integers(0, 5)), max_size=60), per_source=st.integers(1, 3))
+def test_best_fit_takes_the_tightest_compatible_bin(items, per_source):
+    p = packing.Packing(capacity=100, per_source=per_source)
+    got = packing.best_fit(*(list(x) for x in zip(*items, strict=True)), p) if items else []
+    bins: list[list[tuple]] = []
+    for item, b in zip(items, got, strict=True):
+        room = [100 - sum(x[0] for x in each) for each in bins]
+        fits = [i for i, each in enumerate(bins) if room[i] >= item[0] and room[i] > 0 and sum(x[1] == item[1] for x in each) < per_source and all(x[2] != item[2] for x in each)]
+        assert b == (min(fits, key=lambda i: (room[i], i)) if fits else len(bins))
+        if b == len(bins):
+            bins.append([])
+        bins[b].append(item)
+
+
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["a", "b", "é", "\n", "#$"]), max_size=60).map(" ".join), min_size=1, max_size=5))
+def test_repetition_measures(texts):
+    got = quality.measure(texts)
+    for text, r in zip(texts, got.itertuples(), strict=True):
+        w = text.split()
+        for n in quality.REPEAT_LIMITS:
+            grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+            twice = {g for g, k in collections.Counter(grams).items() if k > 1}
+            covered = {i + j for i, g in enumerate(grams) if g in twice for j in range(n)}
+            assert getattr(r, f"repeated_chars_{n}") == sum(len(w[i]) for i in covered)
+            if n == 8:
+                assert r.n_repeat_words == len(covered)
+        lines = [x for x in text.split("\n") if x.strip()]
+        assert r.n_dup_lines == len(lines) - len(set(lines)) and r.n_symbols == sum(c in "#*$%&|<>" for c in text) and r.word_chars == sum(map(len, w))
+
+
+def test_slices_cover_everything():
+    assert list(common.slices([5, 1, 9, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)] and list(common.slices([], 6)) == []
+    assert isinstance(pd.DataFrame(), pd.DataFrame)

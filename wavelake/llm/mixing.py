@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, seeded
+from .common import bind, n_words, seeded
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ class Mix:
     """
 
     seed: str = "mix-1"
-    block_tokens: int = 64
+    block_tokens: int = 16
     max_blocks: int = 65536
     buckets: int = 512
     repeats: int = 3
@@ -83,12 +83,12 @@ def plan(line: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     seats: source, k (which of its seats), block (the one that fills it), shard. Both are bounded by parameters
     and the number of sources, not by the number of documents.
     """
-    cells = line.groupBy(*KEY, "bucket").agg(F.sum("size").alias("words"), F.count("doc_id").alias("n"), F.max("place").alias("last"))
-    sources = targets(cells.groupBy(*KEY).agg(F.sum("words").alias("source_size")), mix)
+    cells = line.groupBy(*KEY, "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.max("place").alias("last"))
+    sources = targets(cells.groupBy(*KEY).agg(F.sum("words").alias("source_size"), F.sum("n").alias("source_docs")), mix)
     sources = (
         sources.withColumn("block_size", F.greatest(F.lit(mix.block_tokens), F.ceil(F.col("total") / mix.max_blocks)).cast("long"))
         .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_size")).cast("long"))
-        .select(*KEY, "source_no", "source_size", "target", "total", "block_size", "blocks")
+        .select(*KEY, "source_no", "source_size", "source_docs", "target", "total", "block_size", "blocks")
     )
     before = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     spans = cells.withColumn("first", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("n", "last")
@@ -126,15 +126,8 @@ def _between(at: Column) -> Column:
     return whole * F.col("block_size") + part
 
 
-def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
-
-    size counts words; taken counts the words that the mix takes from the document, repeats included, and is at
-    most ``repeats`` times its size. Null and empty texts have size 0 and nothing is taken from them. A null
-    source is a source of its own, ordered last. Documents with equal ids are told apart by size only, so equal
-    rows may swap what they are given, not change it. Only doc_id, source and text are read. An empty table, or
-    one without words, gives no seats.
-    """
+def _mixed(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The rows of _line with source_size, source_docs, target, block_size and taken."""
     line = _line(docs, mix)
     buckets, seats = plan(line, mix)
     takes = seats.groupBy(*KEY, "block").agg(F.count("k").alias("takes"))
@@ -145,7 +138,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("block", F.coalesce("takes", F.lit(0)).alias("takes"))))
     cells = (
         touched.join(takes, [*KEY, "block"], "left")
-        .groupBy(*KEY, "bucket", "first", "first_block", "block_size", "source_size", "target")
+        .groupBy(*KEY, "bucket", "first", "first_block", "block_size", "source_size", "source_docs", "target")
         .agg(listed.getField("takes").alias("takes"))
         .withColumn(
             "taken_before",
@@ -158,10 +151,19 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         .withColumn("end", F.col("first") + F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("begin", F.col("end") - F.col("size"))
     )
-    return placed.select(
-        "doc_id", F.when(~F.col("source_null"), F.col("source_key")).alias("source"), "size", "source_size", "target",
-        (_between(F.col("end")) - _between(F.col("begin"))).cast("long").alias("taken"),
-    )
+    return placed.withColumn("taken", (_between(F.col("end")) - _between(F.col("begin"))).cast("long"))
+
+
+def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
+
+    size counts words; taken counts the words that the mix takes from the document, repeats included, and is at
+    most ``repeats`` times its size. Null and empty texts have size 0 and nothing is taken from them. A null
+    source is a source of its own, ordered last. Documents with equal ids are told apart by size only, so equal
+    rows may swap what they are given, not change it. Only doc_id, source and text are read. An empty table, or
+    one without words, gives no seats.
+    """
+    return _mixed(docs, mix).select("doc_id", F.when(~F.col("source_null"), F.col("source_key")).alias("source"), "size", "source_size", "target", "taken")
 
 
 def shard_quotas(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -170,16 +172,35 @@ def shard_quotas(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return seats.groupBy("shard", *KEY).agg(F.count("k").alias("quota")).select("shard", F.when(~F.col("source_null"), F.col("source_key")).alias("source"), "quota")
 
 
+#: Documents, about, whose whole numbers of copies are settled together.
+SETTLED = 2048
+
+
 def mixed_corpus(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mix as whole documents: each row of ``docs``, with its columns, as often as its words are taken, to the nearest whole.
+    """The mix as whole documents: each row of ``docs``, with its columns, none, one or several times.
 
-    Rows with equal doc_ids share the words taken from all of them; documents without words are left out.
+    A document is to come taken / size times. Within pieces of about SETTLED documents of a source, dealt by a hash,
+    the largest are settled first: each comes a whole number of times, at random one of the two nearest, and what it
+    takes too much or too little is made good by those after it. So a piece misses its words by about its smallest
+    documents. Rows with equal doc_ids share what all of them are given; documents without words are left out.
     """
+    piece = F.conv(F.substring("place", 9, 8), 16, 10).cast("long") % F.ceil(F.col("source_docs") / SETTLED)
+    chance = F.conv(F.substring("place", 17, 8), 16, 10).cast("double") / 2.0**32
+    one = F.struct((-F.col("size")).alias("order"), "place", "doc_id", "size", "taken", chance.alias("chance"))
+    pieces = _mixed(docs, mix).filter("size > 0").groupBy(*KEY, piece.alias("piece")).agg(F.array_sort(F.collect_list(one)).alias("all"))
+
+    def settle(state: Column, x: Column) -> Column:
+        wanted = (state["owed"] + x["taken"]) / x["size"]
+        times = F.least(F.greatest(F.floor(wanted + x["chance"]), F.lit(0)), F.lit(mix.repeats)).cast("int")
+        after = lambda t: F.struct((state["owed"] + x["taken"] - t * x["size"]).cast("double").alias("owed"), F.concat(state["times"], F.array(t)).alias("times"))
+        return bind(times, after)
+
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<int>").alias("times"))
+    settled = pieces.select(F.explode(F.arrays_zip(F.col("all.doc_id").alias("doc_id"), F.aggregate("all", start, settle, lambda x: x["times"]).alias("times"))).alias("x"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N"))
-    given = mix_documents(docs, mix).groupBy(key.alias("__mix_id")).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
-    times = given.filter("__size > 0").select("__mix_id", F.round(F.col("__taken") / F.col("__size")).cast("int").alias("__times")).filter("__times > 0")
-    copies = docs.withColumn("__mix_id", key).join(times, "__mix_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return copies.drop("__mix_id", "__times", "__copy").select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = settled.select("x.*").groupBy(key.alias("__mix_id")).agg(F.round(F.avg("times")).cast("int").alias("__times")).filter("__times > 0")
+    several = docs.withColumn("__mix_id", key).join(times, "__mix_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return several.filter(n_words(F.col("text")) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sql(mix: Mix = Mix()) -> str:
