@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,10 +43,15 @@ def seeded(seed: str, *cols: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more: jobs of many rounds pile them up."""
+def release(spark: SparkSession, wait: float = 0.0) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more: jobs of many rounds pile them up.
+
+    Python's references to plans end some time after their objects do; wait: seconds to give them, before a job that needs the room.
+    """
     gc.collect()
+    time.sleep(wait)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(wait / 2)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -24,24 +24,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Interned, durable, fold, mix64
+from .common import U64, Interned, durable, fold, mix64, release
 from .trie import SUCCESSOR_BITS, Trie, log10_of, quantise
 
 ORDER = 2
 PRIOR, GROWTH = 4.0, 0.9
 FOLDS, HELD_OUT = 5, 1
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 2_000_000
 #: Entries that a shard gets, about; and training n-grams of one context beyond which it is spread.
 SHARD_ENTRIES, HOT_CONTEXT = 1_500_000, 500_000
+#: Bits of a context's hash that are left out; it is sent as a difference to the one before.
+CONTEXT_SHIFT = 8
 #: Hashes of the end of a text and of the context before its first word.
 END, START = U64(0x1D8AF066F0AE3D5B), U64(0x6E2F1A9C4B7D8035)
 _SPREAD = U64(0x9E3779B97F4A7C15)
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays, each with its kind and length, as one compressed blob."""
+    """Arrays, each with its kind and length, as one compressed blob. Bytes of equal weight lie together, which compresses better."""
     head = np.array([x for a in arrays for x in (ord(a.dtype.char), len(a))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(head)).tobytes() + head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(head)).tobytes() + head.tobytes() + b"".join(planes))
 
 
 def _open(blob: bytes) -> list[np.ndarray]:
@@ -49,9 +52,10 @@ def _open(blob: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head, at, out = np.frombuffer(raw, np.int64, n, 8), 8 + 8 * n, []
     for kind, size in zip(head[::2], head[1::2], strict=True):
-        a = np.frombuffer(raw, np.dtype(chr(kind)), int(size), at)
-        at += a.nbytes
-        out.append(a)
+        wide = np.dtype(chr(kind)).itemsize
+        planes = np.frombuffer(raw, np.uint8, wide * int(size), at).reshape(wide, int(size))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(np.dtype(chr(kind))))
+        at += planes.nbytes
     return out
 
 
@@ -66,7 +70,7 @@ def is_held_out(doc_id: object) -> bool:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """Rows of about CHUNK_WORDS words: chunk, doc_ids, lengths (words and the end of each), held (flags), words (hashes), ids (places in them)."""
+    """Rows of about CHUNK_WORDS words: chunk, doc_ids, lengths (words and the end of each), held (flags), data (hashes of the distinct words, and the words as places in them)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,11 +78,14 @@ def chunked(docs: DataFrame) -> DataFrame:
         known, ids, docs_in, lengths = Interned(), [], [], []
 
         def row() -> pd.DataFrame:
-            hashes = known.hashes()
-            words, place = np.unique(hashes, return_inverse=True)
-            seq = place[np.array(ids, np.int64)].astype(np.int32) if ids else np.empty(0, np.int32)
-            held = [is_held_out(d) for d in docs_in]
-            return pd.DataFrame({"chunk": [base + made], "doc_ids": [docs_in], "lengths": [lengths], "held": [held], "data": [_squeeze(words, seq)]})
+            seq = np.array(ids, np.int64)
+            count = np.bincount(seq, minlength=len(known))
+            order = np.argsort(-count, kind="stable")  # frequent words get small numbers, whose bytes compress
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            seq = rank[seq]
+            data = _squeeze(known.hashes()[order], seq.astype(np.uint32))
+            return pd.DataFrame({"chunk": [base + made], "doc_ids": [docs_in], "lengths": [lengths], "held": [[is_held_out(d) for d in docs_in]], "data": [data]})
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
@@ -130,7 +137,7 @@ class Chunk:
         else:
             above = np.concatenate([[0], self.count[:-1]])
             above[self.first] = self.docs_trained
-            e["above"], e["lower"] = above[at].astype(np.uint32), self.p[at].astype(np.float32)
+            e["above"], e["lower"] = above[at].astype(np.uint32), quantise(self.p[at])
             salts = (1 + above[at] // HOT_CONTEXT).astype(U64)
             e["key"] = mix64(e["context"] + (e["successor"] % salts) * _SPREAD)
         order_by = np.lexsort((e["successor"], e["key"]))
@@ -175,8 +182,8 @@ def _asked(chunk: int, order: int, e: dict[str, np.ndarray], bits: int) -> pd.Da
             key, w = e["key"][s], e["successor"][s] >> U64(64 - SUCCESSOR_BITS)
             run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             blob = _squeeze(
-                key[run] >> U64(1), np.diff(np.append(run, len(key))).astype(np.uint32), e["above"][s][run],
-                (w >> U64(12)).astype(np.uint32), (w & U64(4095)).astype(np.uint16), e["count"][s], e["lower"][s],
+                np.diff(key[run] >> U64(CONTEXT_SHIFT), prepend=U64(0)), np.diff(np.append(run, len(key))).astype(np.uint32), e["above"][s][run],
+                (w >> U64(8)).astype(np.uint32), (w & U64(255)).astype(np.uint8), e["count"][s], e["lower"][s],
             )
         rows.append((chunk, int(shard), blob))
     return pd.DataFrame(rows, columns=["chunk", "shard", "question"])
@@ -195,8 +202,8 @@ def _count_words(group: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def build_trie(context: np.ndarray, successor: np.ndarray, count: np.ndarray, above: np.ndarray, lower: np.ndarray, prior: float) -> tuple[Trie, np.ndarray, np.ndarray]:
-    """Entries in any order, repeats included -> trie of those seen in training, every entry's place among distinct ones, and the latter's counts."""
+def build_trie(context: np.ndarray, successor: np.ndarray, count: np.ndarray, above: np.ndarray, lower: np.ndarray, prior: float) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in any order, repeats included -> the trie of those seen in training; every entry's place among the distinct ones; of each of these an entry, and its count."""
     order = np.lexsort((successor, context))
     c, s = context[order], successor[order]
     new = np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])]) if len(c) else np.empty(0, bool)
@@ -205,28 +212,28 @@ def build_trie(context: np.ndarray, successor: np.ndarray, count: np.ndarray, ab
     place[order] = group
     first = order[new]
     total = np.bincount(group, count[order], len(first)) if len(c) else np.empty(0)
-    seen = total > 0
-    at = first[seen]
+    at, n = first[total > 0], total[total > 0]
     m = reserve(above[at], prior)
-    codes = quantise((total[seen] + m * lower[at]) / (above[at] + m))
-    return Trie.of(context[at], successor[at], codes), place, total
+    return Trie.of(context[at], successor[at], quantise((n + m * lower[at]) / (above[at] + m))), place, first, total
 
 
 def _answer(group: pd.DataFrame, prior: float, last: bool) -> pd.DataFrame:
-    """Order 2 on: the shard's trie, and every chunk's entries looked up in it."""
+    """Order 2 on: the shard's trie, and every chunk's entries looked up in it, each distinct one once."""
     opened = [_open(b) for b in group.question]
     join = lambda k: np.concatenate([x[k] for x in opened])
     runs = join(1)
-    context, above = np.repeat(join(0), runs), np.repeat(join(2), runs).astype(np.float64)
-    successor = (join(3).astype(U64) << U64(12)) | join(4)
-    lower = join(6).astype(np.float64)
-    built, place, total = build_trie(context, successor, join(5), above, lower, prior)
+    context = np.repeat(np.concatenate([np.cumsum(x[0], dtype=U64) for x in opened]), runs)
+    above = np.repeat(join(2), runs).astype(np.float64)
+    successor = (join(3).astype(U64) << U64(8)) | join(4)
+    lower = 10.0 ** log10_of(join(6))
+    built, place, first, total = build_trie(context, successor, join(5), above, lower, prior)
     raw = built.to_bytes()
     mapped = mmap.mmap(-1, len(raw))
     mapped.write(raw)
-    codes = Trie.map(mapped).find(context, successor)
-    m = reserve(above, prior)
-    codes = np.where(codes < 0, quantise(m * lower / (above + m)), codes).astype(np.uint16)
+    found = Trie.map(mapped).find(context[first], successor[first])
+    m = reserve(above[first], prior)
+    unseen = quantise(m * lower[first] / (above[first] + m))
+    codes = np.where(found < 0, unseen, found).astype(np.uint16)[place]
     counts = np.zeros(len(codes), np.uint8) if last else total[place].astype(np.uint32)
     ends = np.cumsum([len(x[3]) for x in opened])[:-1]
     out = group[["chunk", "shard"]].copy()
@@ -262,7 +269,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, prior: float = PRIOR) -
     asked = chunks.mapInPandas(ask_words, "chunk long, shard int, question binary")
     words = durable(asked.groupBy("shard").applyInPandas(_count_words, "chunk long, shard int, answer binary, tokens long, types long"))
     total, types = (int(x or 0) for x in words.agg(F.sum("tokens"), F.sum("types")).first())
-    answers = words.select(F.lit(1).alias("order"), "chunk", "shard", "answer")
+    answers, told = words.select(F.lit(1).alias("order"), "chunk", "shard", "answer"), None
 
     def ask(k: int):  # noqa: ANN202
         def of_chunk(row: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -275,6 +282,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, prior: float = PRIOR) -
         return lambda group: _answer(group, prior, k == order)
 
     for k in range(2, order + 1):
+        release(docs.sparkSession, wait=2.0)
         asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(ask(k), "chunk long, shard int, question binary")
         told = durable(asked.groupBy("shard").applyInPandas(answer(k), "chunk long, shard int, answer binary"))
         answers = answers.union(told.select(F.lit(k).alias("order"), "chunk", "shard", "answer"))
@@ -289,5 +297,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, prior: float = PRIOR) -
             }
         )
 
+    del asked, told
+    release(docs.sparkSession, wait=2.0)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)

@@ -12,7 +12,7 @@ import numpy as np
 from .common import U64
 
 #: Bits of a successor's hash that are kept; a context's rank is put above them.
-SUCCESSOR_BITS = 44
+SUCCESSOR_BITS = 40
 #: A probability's code is -log10 in these steps.
 STEP = 1 / 1024
 MAX_CODE = 65535
@@ -76,7 +76,7 @@ class EliasFano:
         values = values.astype(U64)
         width = max(0, int(values[-1] // U64(n)).bit_length() - 1) if n else 0
         place = (values >> U64(width)).astype(np.int64) + np.arange(n)
-        upper = np.zeros((int(place[-1]) >> 6) + 1 if n else 1, U64)
+        upper = np.zeros((int(place[-1]) + 1 >> 6) + 1 if n else 1, U64)  # a zero follows the last one
         np.bitwise_or.at(upper, place >> 6, U64(1) << (place & 63).astype(U64))
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)[:-1]]).astype(np.uint32)
         return cls(n, width, _pack(values & U64((1 << width) - 1), width), upper, ones)
@@ -86,9 +86,25 @@ class EliasFano:
         place = (word << 6) + _select_in_word(self.upper[word], i - self.ones[word].astype(np.int64))
         return ((place - i).astype(U64) << U64(self.width)) | _unpack(self.lower, self.width, i)
 
+    def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
+        """How many values have an upper part of at most k: the ones before the k-th zero (from 0) of the unary part."""
+        zeros = (np.arange(len(self.ones), dtype=np.int64) << 6) - self.ones
+        word = np.searchsorted(zeros, k, side="right") - 1
+        return (word << 6) + _select_in_word(~self.upper[word], k - zeros[word]) - k
+
     def successor(self, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """For each x the first place in [low, high) whose value is at least x, or high."""
-        low, high = low.copy(), high.copy()
+        """For each x the first place in [low, high) whose value is at least x, or high.
+
+        The unary part tells which places share x's upper bits; those few are searched by halving.
+        """
+        if not self.n:
+            return high.copy()
+        part = np.minimum(x >> U64(self.width), self._top()).astype(np.int64)
+        after = self._ones_before_zero(part)
+        before = np.where(part > 0, self._ones_before_zero(np.maximum(part - 1, 0)), 0)
+        beyond = (x >> U64(self.width)) > self._top()
+        low = np.clip(np.where(beyond, self.n, before), low, high)
+        high = np.clip(np.where(beyond, self.n, after), low, high)
         live = np.flatnonzero(low < high)
         while len(live):
             middle = (low[live] + high[live]) >> 1
@@ -98,6 +114,10 @@ class EliasFano:
             live = live[low[live] < high[live]]
         return low
 
+    def _top(self) -> np.uint64:
+        """The largest upper part: there is a zero in the unary part for each one up to it."""
+        return U64((len(self.upper) << 6) - self.n - 1)
+
 
 class Trie:
     """contexts, pointers (first successor of each context, and the end), successors, codes."""
@@ -118,19 +138,26 @@ class Trie:
         return cls(EliasFano.of(context[first]), EliasFano.of(np.append(first, len(context))), EliasFano.of(keys), codes.astype(np.uint16))
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The code of each pair, or -1: the context by successor search, then its successors, relative to it."""
-        n = self.contexts.n
-        rank = self.contexts.successor(context, np.zeros(len(context), np.int64), np.full(len(context), n))
-        out = np.full(len(context), -1, np.int64)
-        known = np.flatnonzero(rank < n)
-        known = known[self.contexts[rank[known]] == context[known]]
-        rank = rank[known]
-        low, high = self.pointers[rank].astype(np.int64), self.pointers[rank + 1].astype(np.int64)
-        key = (rank.astype(U64) << U64(SUCCESSOR_BITS)) | successor[known]
-        at = self.successors.successor(key, low, high)
-        hit = np.flatnonzero(at < high)
-        hit = hit[self.successors[at[hit]] == key[hit]]
-        out[known[hit]] = self.codes[at[hit]]
+        """The code of each pair, or -1. A context is found by successor search, once for pairs that follow each other with it; then its successors, relative to it."""
+        n, size = self.contexts.n, len(context)
+        out = np.full(size, -1, np.int64)
+        if not n or not size:
+            return out
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        asked = context[first]
+        rank = self.contexts.successor(asked, np.zeros(len(asked), np.int64), np.full(len(asked), n))
+        hit = np.flatnonzero(rank < n)
+        hit = hit[self.contexts[rank[hit]] == asked[hit]]
+        low, high = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        low[hit], high[hit] = self.pointers[rank[hit]].astype(np.int64), self.pointers[rank[hit] + 1].astype(np.int64)
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, size)))
+        known = np.flatnonzero(high[run] > 0)
+        run = run[known]
+        key = (rank[run].astype(U64) << U64(SUCCESSOR_BITS)) | successor[known]
+        at = self.successors.successor(key, low[run], high[run])
+        found = np.flatnonzero(at < high[run])
+        found = found[self.successors[at[found]] == key[found]]
+        out[known[found]] = self.codes[at[found]]
         return out
 
     def arrays(self) -> list[np.ndarray]:
