@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import samples as s
+from ..operators.resample import resample_sinc, resample_streaming
 from ..registry import query
 from .views import BYTES_SQL, RATE, clips, clips_sql, long, long_sql, pcm_bytes, table
 
@@ -205,3 +206,19 @@ def _interpolated(rate_out: int) -> None:
 for _rate in (16000, 12000, 5000):
     _held(_rate)
     _interpolated(_rate)
+
+
+# Converters with state ---------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {clips_sql()}, out AS (SELECT clip_id, list_transform(range(0, 96), lambda k: data[greatest(k * 2 // 3, 1)] + (k * 2 % 3 / 3::DOUBLE) * (data[k * 2 // 3 + 1] - data[greatest(k * 2 // 3, 1)])) AS data FROM clips) {long_sql("clip_id")}"""
+)
+def resample_converter(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming converter gives what the closed form does."""
+    return long(resample_streaming(clips(spark, d).select("clip_id", "data"), "linear", 1.5), "clip_id")
+
+
+@query()
+def resample_sinc_12000(spark: SparkSession, d: str) -> DataFrame:
+    return long(resample_sinc(clips(spark, d).select("clip_id", "data"), RATE, 12000), "clip_id")
