@@ -101,6 +101,13 @@ def test_arrays_that_are_empty_or_short(spark):
     assert row.a == [] and row.b == [] and row.c == [] and row.d == [] and row.e == [[1.0], [2.0]] and row.f == [1.0, 2.0] and row.g == [] and row.h == []
 
 
+def test_read_exact(spark):
+    data = F.array(*[F.lit(float(i)) for i in range(4)])
+    assert one(spark, s.read_exact(data, F.lit(1), 3).alias("a")).a == [1.0, 2.0, 3.0]
+    with pytest.raises(Exception, match="unexpected end"):
+        one(spark, s.read_exact(data, F.lit(2), 3).alias("a"))
+
+
 def test_envelope_edges(spark):
     with pytest.raises(ValueError, match="sorted"):
         s.envelope_value([(5, 1.0), (1, 0.0)], F.lit(1))

@@ -117,6 +117,11 @@ def chunks(data: Column, size: int) -> Column:
     return F.transform(indices(F.ceil(F.size(data) / size)), lambda i: F.slice(data, i * size + 1, F.lit(size)))
 
 
+def read_exact(data: Column, at: Column, n: int) -> Column:
+    """n samples from position ``at`` (from 0); an error if there are fewer."""
+    return F.when(at + n <= F.size(data), F.slice(data, at + 1, F.lit(n))).otherwise(F.raise_error(F.lit("unexpected end of samples")).cast("array<double>"))
+
+
 # Trimming --------------------------------------------------------------------------------------------------------
 
 

@@ -133,6 +133,24 @@ def flac_samples(spark: SparkSession, d: str) -> DataFrame:
     return back.select("path", F.posexplode("data").alias("pos", "x")).select("path", "pos", (F.round("x", 6) + F.lit(0.0)).alias("sample"))
 
 
+@query(
+    """SELECT path, count(*) AS n, round(sum(round(x::DOUBLE * 32767) / 32767::DOUBLE), 6) + 0.0::DOUBLE AS total FROM (SELECT 'c' || vec_id AS path, unnest(embedding) AS x FROM embeddings) GROUP BY path"""
+)
+def ogg_flac_samples(spark: SparkSession, d: str) -> DataFrame:
+    back = readers.samples(readers.to_flac(_tracks(spark, d), in_ogg=True).select("path", "content"))
+    total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x)
+    return back.select("path", F.size("data").cast("long").alias("n"), (F.round(total, 6) + F.lit(0.0)).alias("total"))
+
+
+@query(
+    """WITH keys(role, key) AS (VALUES ('user', 'PROMPT'), ('assistant', 'ANSWER')) SELECT conv_id, turn, coalesce(key, 'TAG:' || role) AS key FROM conversations LEFT JOIN keys USING (role)"""
+)
+def tag_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Keys looked up in a small dictionary; unknown ones keep their name behind a prefix."""
+    keys = spark.createDataFrame([("user", "PROMPT"), ("assistant", "ANSWER")], "role string, key string")
+    return table(spark, d, "conversations").join(F.broadcast(keys), "role", "left").select("conv_id", "turn", F.coalesce("key", F.concat(F.lit("TAG:"), F.col("role"))).alias("key"))
+
+
 @query("SELECT doc_id AS id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS digest FROM documents")
 def ogg_packets(spark: SparkSession, d: str) -> DataFrame:
     """Every document's bytes as packets of 1000 bytes in a logical stream, two streams a file, muxed, demuxed and joined."""
