@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wavelake.functions import samples as s
 from wavelake.operators import predictors, spectral
 from wavelake.operators.recurrences import KINDS, run_batch
+from wavelake.sources import pcm
 
 PROCESSORS = {
     "lowpass": {"cutoff": 1000.0, "q": 0.707, "rate": 8000}, "highpass": {"cutoff": 900.0, "q": 1.0, "rate": 8000}, "bandpass": {"cutoff": 9000.0, "q": 0.0, "rate": 8000},
@@ -101,6 +102,15 @@ def test_arrays_that_are_empty_or_short(spark):
     assert row.a == [] and row.b == [] and row.c == [] and row.d == [] and row.e == [[1.0], [2.0]] and row.f == [1.0, 2.0] and row.g == [] and row.h == []
 
 
+@pytest.mark.parametrize("form", ["u8", "s16", "s24", "s32"])
+@pytest.mark.parametrize("big", [False, True])
+def test_decoding_by_expressions_equals_numpy(spark, form, big):
+    raw = bytes(range(0, 256, 7)) + b"\x80\0\0\x80\xff"
+    df = spark.createDataFrame([(bytearray(raw),)], "raw binary").select(s.pcm_decode(F.col("raw"), form, big).alias("a"), pcm.decoded(F.col("raw"), form, big).alias("b"))
+    row = df.first()
+    assert row.a == pytest.approx(row.b, abs=1e-12) and len(row.a) == len(raw) // s.FORMATS[form][0]
+
+
 def test_read_exact(spark):
     data = F.array(*[F.lit(float(i)) for i in range(4)])
     assert one(spark, s.read_exact(data, F.lit(1), 3).alias("a")).a == [1.0, 2.0, 3.0]

@@ -216,21 +216,25 @@ def resample_linear(data: Column, rate_in: int, rate_out: int) -> Column:
 # PCM bytes -------------------------------------------------------------------------------------------------------
 
 
-def _unsigned(raw: Column, i: Column, width: int, big: bool) -> Column:
-    """The i-th group of ``width`` bytes as a number."""
-    digits = F.hex(F.substring(raw, i * width + 1, F.lit(width)))
-    pairs = [F.substring(digits, F.lit(2 * k + 1), F.lit(2)) for k in range(width)]
-    return F.conv(F.concat(*(pairs if big else pairs[::-1])), 16, 10).cast("bigint")
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: an expression is evaluated as often as it is written."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def pcm_decode(raw: Column, form: str, big: bool = False) -> Column:
-    """Samples in [-1, 1] of integer PCM bytes; an incomplete last sample is dropped."""
+    """Samples in [-1, 1] of integer PCM bytes, by expressions only; an incomplete last sample is dropped.
+
+    For many bytes sources.pcm.decoded, which reads them in NumPy, is some fifty times as fast.
+    """
     width, scale, _, bias = FORMATS[form]
     if scale is None:
         raise ValueError("floats are decoded by sources.pcm")
     top = 1 << (8 * width)
-    value = lambda u: u - bias if bias else F.when(u >= top // 2, u - top).otherwise(u)
-    return F.transform(indices(F.floor(F.octet_length(raw) / width)), lambda i: value(_unsigned(raw, i, width, big)).cast("double") / scale)
+    order = range(width) if big else range(width - 1, -1, -1)
+    number = lambda h: F.conv(F.concat(*[F.substring(h, 2 * k + 1, 2) for k in order]), 16, 10).cast("bigint")
+    signed = lambda u: u - bias if bias else F.when(u >= top // 2, u - top).otherwise(u)
+    value = lambda i: bind(bind(F.hex(F.substring(raw, i * width + 1, F.lit(width))), number), signed)
+    return F.transform(indices(F.floor(F.octet_length(raw) / width)), lambda i: value(i).cast("double") / scale)
 
 
 def pcm_integer(x: Column, form: str) -> Column:

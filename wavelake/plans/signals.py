@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import samples as s
 from ..operators.resample import resample_sinc, resample_streaming
 from ..registry import query
+from ..sources import pcm
 from .views import BYTES_SQL, RATE, clips, clips_sql, long, long_sql, pcm_bytes, table
 
 STEP = s.nanos_per_frame(RATE)
@@ -159,7 +160,7 @@ def _decoded(form: str, big: bool) -> None:
     sql = f"""WITH {BYTES_SQL}, spots AS (SELECT id, h, unnest(range(0, len(h) // {2 * width})) AS i FROM bytes)
 SELECT id, i::INT AS pos, round({value} / {scale}::DOUBLE, 6) + 0.0::DOUBLE AS sample FROM spots"""
     name = f"pcm_decode_{form}" + ("be" if big else "")
-    query(sql, name)(lambda spark, d: long(pcm_bytes(spark, d).select("id", s.pcm_decode(F.col("raw"), form, big).alias("data")), "id"))
+    query(sql, name)(lambda spark, d: long(pcm_bytes(spark, d).select("id", pcm.decoded(F.col("raw"), form, big).alias("data")), "id"))
 
 
 def _encoded(form: str, big: bool) -> None:
