@@ -282,7 +282,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, prior: float = PRIOR) -
         return lambda group: _answer(group, prior, k == order)
 
     for k in range(2, order + 1):
-        release(docs.sparkSession, wait=2.0)
+        release(docs.sparkSession, wait=1.2)
         asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(ask(k), "chunk long, shard int, question binary")
         told = durable(asked.groupBy("shard").applyInPandas(answer(k), "chunk long, shard int, answer binary"))
         answers = answers.union(told.select(F.lit(k).alias("order"), "chunk", "shard", "answer"))
@@ -298,6 +298,6 @@ def score_documents(docs: DataFrame, order: int = ORDER, prior: float = PRIOR) -
         )
 
     del asked, told
-    release(docs.sparkSession, wait=2.0)
+    release(docs.sparkSession, wait=1.2)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
