@@ -19,10 +19,10 @@ s AS (SELECT user_id, day, name, rate, value = max(value) OVER (PARTITION BY day
 
 def snapshot(spark: SparkSession, d: str, day: str) -> DataFrame:
     """Each user's last event of a day, as a device: name, rate; the largest value is the default."""
-    rows = table(spark, d, "events").filter(F.to_date("ts") == day)
+    rows = table(spark, d, "events").withColumn("day", F.to_date("ts")).filter(F.col("day") == day)
     last = devices.latest(rows, "user_id", ["ts", "event_id"])
-    top = last.agg(F.max("value").alias("top"))
-    return last.join(top).select("user_id", F.col("event_type").alias("name"), (F.col("value") > 250).alias("rate"), (F.col("value") == F.col("top")).alias("is_default"))
+    top = last.groupBy("day").agg(F.max("value").alias("top"))
+    return last.join(top, "day").select("user_id", F.col("event_type").alias("name"), (F.col("value") > 250).alias("rate"), (F.col("value") == F.col("top")).alias("is_default"))
 
 
 @query(
@@ -48,7 +48,8 @@ def backend_select(spark: SparkSession, d: str) -> DataFrame:
     codecs = spark.createDataFrame([("h264", 0), ("h265", 1), ("vp9", 2), ("av1", 3)], "codec string, k int")
     way = lambda n: F.when(n % 2 == 0, "decode").otherwise("encode")
     key = F.col("s_suppkey") + F.col("k")
-    backends = table(spark, d, "supplier").join(F.broadcast(codecs.filter("k < 3")), F.lit(True)).filter(key % 3 == 0)
+    known = F.array(*[F.struct(F.lit(c).alias("codec"), F.lit(k).alias("k")) for k, c in enumerate(("h264", "h265", "vp9"))])
+    backends = table(spark, d, "supplier").select("*", F.inline(known)).filter(key % 3 == 0)
     backends = backends.select(F.col("s_name").alias("backend"), F.col("s_suppkey").alias("rank"), "codec", way(key).alias("direction"), (F.col("s_acctbal") > 0).alias("available"))
     requests = table(spark, d, "part").join(F.broadcast(codecs), F.col("p_partkey") % 4 == F.col("k")).select(F.col("p_partkey").alias("request_id"), "codec", way(F.col("p_size")).alias("direction"))
     return devices.select_backend(backends, requests)
