@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     below its cap is the fixed point of the resharing.
     """
     everything = Window.partitionBy()
-    tight = Window.partitionBy().orderBy("per_weight", "source_null", "source_key")
+    tight = Window.partitionBy().orderBy("per_weight", "source_no")
     cycle = F.array(*[F.lit(w) for w in mix.weights])
     order = Window.partitionBy().orderBy("source_null", "source_key")
     ranked = (
@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
         .withColumn("open_weight", F.sum("weight").over(everything) - F.sum("weight").over(tight) + F.col("weight"))
         .withColumn("level", (F.col("total") - F.col("capped")) / F.col("open_weight"))
     )
-    level = F.min(F.when(F.col("level") <= F.col("per_weight"), F.struct("per_weight", "level"))).over(everything)["level"]
+    level = F.min(F.when(F.col("level") <= F.col("per_weight"), F.struct("per_weight", "source_no", "level"))).over(everything)["level"]
     return ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * level, F.col("cap").cast("double"))))
 
 
@@ -208,7 +208,7 @@ def mix_sql(mix: Mix = Mix()) -> str:
     rounds = """
 lv AS (SELECT *, sum(source_size) OVER () AS total, 3.0::DOUBLE * source_size AS cap FROM src),
 ord AS (SELECT *, cap / weight AS pw, sum(cap) OVER w - cap AS capped, sum(weight) OVER () - sum(weight) OVER w + weight AS ow FROM lv WINDOW w AS (ORDER BY cap / weight, no)),
-lam AS (SELECT arg_min((total - capped) / ow, pw) AS lam FROM ord WHERE (total - capped) / ow <= pw),
+lam AS (SELECT max(l) AS lam FROM (SELECT (total - capped) / ow AS l FROM ord WHERE (total - capped) / ow <= pw ORDER BY pw, no LIMIT 1)),
 tg AS (SELECT *, least(cap, coalesce(weight * lam, cap)) AS target FROM lv, lam)"""
     return rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
