@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bind, n_words, seeded
+from .common import bind, durable, n_words, seeded
 
 
 @dataclass(frozen=True)
@@ -64,13 +64,12 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _line(docs: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, size, source key, place in the seeded order and bucket; the exchange that everything else reads."""
+    """doc_id, size, source key, place in the seeded order and bucket, a durable table of a few bytes a row: texts are read and counted once."""
     place = seeded(mix.seed, F.col("doc_id"))
-    return (
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-        .select("doc_id", "size", F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"), place.alias("place"))
+    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return durable(
+        slim.select("doc_id", "size", F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"), place.alias("place"))
         .withColumn("bucket", F.conv(F.substring("place", 1, 6), 16, 10).cast("int") % mix.buckets)
-        .repartition("source_key", "source_null", "bucket")
     )
 
 
@@ -83,7 +82,7 @@ def plan(line: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     seats: source, k (which of its seats), block (the one that fills it), shard. Both are bounded by parameters
     and the number of sources, not by the number of documents.
     """
-    cells = line.groupBy(*KEY, "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.max("place").alias("last"))
+    cells = line.groupBy(*KEY, "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     sources = targets(cells.groupBy(*KEY).agg(F.sum("words").alias("source_size"), F.sum("n").alias("source_docs")), mix)
     sources = (
         sources.withColumn("block_size", F.greatest(F.lit(mix.block_tokens), F.ceil(F.col("total") / mix.max_blocks)).cast("long"))
@@ -91,7 +90,7 @@ def plan(line: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
         .select(*KEY, "source_no", "source_size", "source_docs", "target", "total", "block_size", "blocks")
     )
     before = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    spans = cells.withColumn("first", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("n", "last")
+    spans = cells.withColumn("first", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("n")
     buckets = spans.join(sources, KEY)
     # No source can be awarded more seats than its target's share rounded up by a margin, nor more than its cap.
     house = F.round(F.col("total") / F.col("block_size")).cast("long")
