@@ -378,6 +378,19 @@ def test_repetition_measures(texts):
         assert r.n_dup_lines == len(lines) - len(set(lines)) and r.n_symbols == sum(c in "#*$%&|<>" for c in text) and r.word_chars == sum(map(len, w))
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 3000])
+def test_sums_before(spark, n):
+    a = list(range(5, 5 + n))
+    got = spark.createDataFrame([(a,)], "a array<bigint>").select(common.sums_before(F.col("a")).alias("s")).first().s
+    assert got == [sum(a[:i]) for i in range(n)]
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|im_end|> "), F.col("id").cast("string")).alias("text"))
+    r = chat.format_conversations(rows).first()
+    assert r.n_turns == 20_000 and r.loss_chars == sum(len(f"é<|im_end|> {i}") for i in range(1, 20_000, 2)) and len(r.loss_spans) == 10_000
+
+
 def test_slices_cover_everything():
     assert list(common.slices([5, 1, 9, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)] and list(common.slices([], 6)) == []
     assert isinstance(pd.DataFrame(), pd.DataFrame)

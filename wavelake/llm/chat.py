@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sums_before
+
 TURNS = "array<struct<role:string,text:string>>"
 
 #: The template, and what each control string's first character is written as inside texts.
@@ -111,10 +113,8 @@ def formatted(records: DataFrame) -> DataFrame:
     """
     head = lambda t: F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(NEWLINE))
     parts = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"), escape(t["text"]).alias("body")))
-    ends = F.aggregate(
-        "__parts", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(p["head"]) + F.octet_length(p["body"]) + len(CLOSE.encode())))
-    )
-    begins = F.zip_with("__parts", F.slice(ends, 1, F.size("__parts")), lambda p, at: F.struct((at + F.octet_length(p["head"])).alias("begin"), F.octet_length(p["body"]).cast("long").alias("length"), p["role"].alias("role")))
+    sizes = F.transform("__parts", lambda p: (F.octet_length(p["head"]) + F.octet_length(p["body"]) + len(CLOSE.encode())).cast("long"))
+    begins = F.zip_with("__parts", sums_before(sizes), lambda p, at: F.struct((at + F.octet_length(p["head"])).alias("begin"), F.octet_length(p["body"]).cast("long").alias("length"), p["role"].alias("role")))
     spans = F.transform(F.filter(begins, lambda s: s["role"] == TRAINED_ROLE), lambda s: F.struct(s["begin"].alias("begin"), s["length"].alias("length")))
     text = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
     return records.withColumn("__parts", parts).withColumn("formatted", text).withColumn("loss_spans", spans).drop("__parts")

@@ -38,6 +38,21 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def sums_before(a: Column, block: int = 256) -> Column:
+    """For each element of an array of longs the sum of those before it.
+
+    A fold that appends copies its array at every step; so sums run within blocks, and over the blocks' totals, which
+    keeps the work near linear for arrays of many thousands.
+    """
+    append = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    running = lambda x: F.aggregate(x, F.array(F.lit(0).cast("bigint")), append)
+    count = F.ceil(F.size(a) / block).cast("int")
+    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(a, i * block + 1, F.lit(block)))).otherwise(F.array().cast("array<array<bigint>>"))
+    shifted = lambda local, before: F.flatten(F.transform(local, lambda s, i: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda v: v + F.get(before, i))))
+    totals = lambda local: running(F.transform(local, lambda s: F.element_at(s, -1)))
+    return bind(F.transform(blocks, running), lambda local: bind(totals(local), lambda before: shifted(local, before)))
+
+
 def seeded(seed: str, *cols: Column) -> Column:
     """A reproducible random order: hex MD5 of the seed and the columns, nulls told apart from empty strings."""
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]))
