@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sums_before
+from .common import bind, sums_before
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -135,8 +135,8 @@ def read_back(formatted_text: Column) -> Column:
 
 def loss_text(formatted_text: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, read from the formatted text's bytes."""
-    raw = F.encode(formatted_text, "UTF-8")
-    return F.array_join(F.transform(spans, lambda s: unescape(F.decode(F.substring(raw, (s["begin"] + 1).cast("int"), s["length"].cast("int")), "UTF-8"))), "")
+    piece = lambda raw, s: unescape(F.decode(F.substring(raw, (s["begin"] + 1).cast("int"), s["length"].cast("int")), "UTF-8"))
+    return bind(F.encode(formatted_text, "UTF-8"), lambda raw: F.array_join(F.transform(spans, lambda s: piece(raw, s)), ""))
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
