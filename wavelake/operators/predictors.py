@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.samples import bind
+
 
 def fixed_residual(samples: DataFrame, keys: list[str], at: str, x: str, order: int) -> Column:
     """The order-th difference along ``at``: lags with binomial weights. Null for the first ``order`` samples (the warm-up)."""
@@ -20,9 +22,14 @@ def fixed_residual(samples: DataFrame, keys: list[str], at: str, x: str, order:
 
 
 def fixed_residual_array(data: Column, order: int) -> Column:
-    """The same over an array: warm-up samples as they are, then residuals."""
-    diff = lambda i: sum((F.get(data, i - k) * ((-1) ** k * comb(order, k)) for k in range(1, order + 1)), F.get(data, i))
-    return F.transform(data, lambda x, i: F.when(i < order, x).otherwise(diff(i)))
+    """The same over an array: warm-up samples as they are, then residuals; differences of differences, each taken once."""
+
+    def differences(a: Column, k: int) -> Column:
+        n = F.greatest(F.size(a) - 1, F.lit(0))
+        step = F.zip_with(F.slice(a, F.lit(2), n), F.slice(a, F.lit(1), n), lambda x, y: x - y)
+        return bind(step, lambda d: differences(d, k - 1)) if k else a
+
+    return F.concat(F.slice(data, 1, order), differences(data, order)) if order else data
 
 
 def fixed_restore(data: np.ndarray, order: int) -> np.ndarray:
