@@ -298,6 +298,13 @@ def test_near_copies_of_a_large_group(spark):
     assert got == [0, *range(1000, 1040), 2000]
 
 
+def test_near_copies_with_repeated_shingles(spark):
+    w = [f"w{i}" for i in range(79)]
+    repeated = [*w, *w[20:34], *[f"z{i}" for i in range(7)]]  # Jaccard 0.87 of distinct shingles, 0.78 if repeats count
+    rows = [(1, " ".join(w), "s"), (2, " ".join(repeated), "s"), (3, " ".join(f"d{i}" for i in range(90)), "s"), (4, " ".join(f"d{i % 90}" for i in range(180)), "s")]
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()) == [1, 3]
+
+
 def test_similar_within_compares_all_pairs():
     sets = [np.arange(0, 100), np.arange(5, 105), np.arange(50, 150), np.arange(1000, 1100), np.arange(1000, 1099), np.empty(0, np.int64)]
     assert simhash.similar_within(sets, 0.8).tolist() == [0, 0, 2, 3, 3, 5]

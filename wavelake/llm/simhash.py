@@ -146,14 +146,14 @@ def table_masks(tables: int = TABLES, bits: int = KEY_BITS, seed: int = 7) -> li
 
 
 def _word_prints(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints over distinct words, and the number of n-word shingles."""
+    """Fingerprints over distinct words, and the number of distinct n-word shingles: the ratio of two such numbers bounds the similarity."""
     known, ids, counts, sizes = Interned(), [], [], []
     for text in texts:
         words = fold(text)
         own = set(words)
         ids.extend(map(known.__getitem__, own))
         counts.append(len(own))
-        sizes.append(max(len(words) - n + 1, 1 if words else 0))
+        sizes.append(len(set(shingles(words, n))))
     c = np.array(counts, np.int64)
     return majority(known.hashes(42)[np.array(ids, np.int64)] if ids else np.empty(0, U64), np.cumsum(c) - c, c), np.array(sizes, np.int64)
 
