@@ -298,6 +298,34 @@ def test_near_copies_of_a_large_group(spark):
     assert got == [0, *range(1000, 1040), 2000]
 
 
+def test_runs_are_compared_block_against_block(spark, monkeypatch):
+    """A hub, its variants, which are mostly not similar to each other, and a run of one key that is longer than a block."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    sets = [np.arange(100, dtype=np.int32)]
+    for i in range(150):  # 11 of 100 shingles are others: Jaccard 89 / 111 to the hub, 0.65 or so to each other
+        own = np.arange(100, dtype=np.int32)
+        own[rng.choice(100, 11, replace=False)] = 1000 + 20 * i + np.arange(11)
+        sets.append(own)
+    rows = [(key, f"t{i:03}", 100, f"t{i:03}") for key in (1, 2, 3) for i in range(len(sets)) if key < 3 or i < 40]
+    listed = spark.createDataFrame([(f"t{i:03}", s.tolist()) for i, s in enumerate(sets)], "id string, s array<int>")
+    links = simhash._linked_runs(spark.createDataFrame(rows, "key long, id string, n long, root string"), listed, 0.8)
+    got = {r.node: r.root for r in components.connected_components(links).collect()}
+    assert got == {f"t{i:03}": "t000" for i in range(len(sets))}
+
+
+def test_a_hub_joins_the_variants_of_a_long_run(spark):
+    """3,000 variants, two of 110 words changed at random: each is similar to the hub (0.83), few are to each other."""
+    rng = np.random.default_rng(8)
+    rows = [(0, " ".join(f"w{i}" for i in range(110)), "s")]
+    for k in range(3000):
+        own = [f"w{i}" for i in range(110)]
+        for p in rng.choice(np.arange(4, 106), 2, replace=False):
+            own[p] = f"x{k}_{p}"
+        rows.append((k + 1, " ".join(own), "s"))
+    assert [r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()] == [0]
+
+
 def test_near_copies_with_repeated_shingles(spark):
     w = [f"w{i}" for i in range(79)]
     repeated = [*w, *w[20:34], *[f"z{i}" for i in range(7)]]  # Jaccard 0.87 of distinct shingles, 0.78 if repeats count

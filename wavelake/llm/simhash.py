@@ -135,9 +135,9 @@ NEAR_BITS, NEAR_SEGMENTS = 12, 8
 #: Keys: so many tables, each of so many fingerprint bits. More documents call for more bits and tables.
 TABLES, KEY_BITS = 24, 16
 #: Neighbours in a run of one key that a document is compared with at first. Up to FEW near ones are all checked; of
-#: more, the NEAREST ones, and the documents for which some were passed over are compared again, in blocks of BLOCK.
-WINDOW, FEW, NEAREST, BLOCK = 48, 12, 3, 1024
-ROUNDS = 20
+#: more, the NEAREST ones, and the documents for which some were passed over are compared again under that key, block
+#: against block, a block being about so many documents and shingles at most.
+WINDOW, FEW, NEAREST, BLOCK, BLOCK_SHINGLES = 48, 12, 3, 1024, 2_000_000
 
 
 def table_masks(tables: int = TABLES, bits: int = KEY_BITS, seed: int = 7) -> list[int]:
@@ -197,7 +197,7 @@ def _near_in_runs(keys: np.ndarray, fp: np.ndarray, size: np.ndarray, similarity
 
 
 def _candidates(prints: DataFrame, similarity: float) -> DataFrame:
-    """prints: (id, fp, n). Pairs (a, b) of ids to be checked, each once, and rows (a, null) of ids that have to come again."""
+    """prints: (id, fp, n). Pairs (a, b) of ids to be checked, each once, and rows (a, null, key) of ids that have to come again under a key."""
     tables = F.array(*[F.struct(F.lit(k).alias("table"), F.lit(_signed(mask)).alias("mask")) for k, mask in enumerate(table_masks())])
     keyed = prints.select("id", "fp", "n", F.explode(tables).alias("t")).select("id", "fp", "n", F.xxhash64("t.table", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"))
 
@@ -207,12 +207,12 @@ def _candidates(prints: DataFrame, similarity: float) -> DataFrame:
             part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             a, b, again = _near_in_runs(part.key.to_numpy(), part.fp.to_numpy().view(U64), part.n.to_numpy(), similarity)
             ids = part.id.to_numpy()
-            found = pd.DataFrame({"a": np.concatenate([ids[a], ids[again]]), "b": np.concatenate([ids[b], np.full(len(again), None, object)])})
-            yield found.drop_duplicates()
+            found = pd.DataFrame({"a": ids[a], "b": ids[b]}).drop_duplicates().assign(key=0)
+            yield pd.concat([found, pd.DataFrame({"a": ids[again], "b": None, "key": part.key.to_numpy()[again]})], ignore_index=True)
             rest = part.tail(WINDOW + 1).reset_index(drop=True)
 
-    found = keyed.repartition("key").sortWithinPartitions("key", "n", "fp", "id").mapInPandas(near, "a string, b string")
-    return found.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
+    found = keyed.repartition("key").sortWithinPartitions("key", "n", "fp", "id").mapInPandas(near, "a string, b string, key long")
+    return found.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b"), "key").distinct()
 
 
 def shingle_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -264,33 +264,42 @@ def similar_within(sets: list[np.ndarray], similarity: float) -> np.ndarray:
         label = new
 
 
-def _linked_blocks(listed: DataFrame, similarity: float, size: int) -> DataFrame:
-    """listed: (id, fp, n, s). Links (a, b) that join what is similar within each run of one key, and rows (a, null) of ids in runs longer than a block."""
-    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.lit(_signed(mask)).alias("mask")) for k, mask in enumerate(table_masks())])
-    keyed = listed.select("id", "fp", "n", "s", F.explode(tables).alias("t")).select("id", "n", "fp", "s", F.xxhash64("t.table", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"))
+def _linked_runs(rows: DataFrame, listed: DataFrame, similarity: float) -> DataFrame:
+    """rows: (key, id, n, root), root being the group that the text is known to be of; listed: (id, s). Links (a, b) that
+    join all texts of one key that are similar and not yet of one group.
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, sets, long_run = None, [], [], False
+    A key's run is dealt by a hash into blocks, and every two of them meet in a task of their own; so every pair of
+    a run is compared, however long it is. Runs of one group need no more comparing, and of runs with the same texts
+    one is enough.
+    """
+    h = F.xxhash64("id")
+    runs = rows.groupBy("key").agg(F.count("id").alias("c"), F.sum("n").alias("words"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("words") / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
+    runs = runs.filter("lo < hi").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.first(blocks).alias("blocks"))
+    placed = rows.join(runs.select("key", "blocks"), "key").withColumn("block", F.pmod(h, F.col("blocks")).cast("int"))
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
+    met = F.when(F.col("blocks") == 1, F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))).otherwise(others)
+    pairs = placed.join(listed, "id").select("key", "id", "root", "s", F.explode(met).alias("m")).select("key", "m.i", "m.j", "id", "root", "s")
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ids, sets, roots = None, [], [], set()
 
         def out() -> pd.DataFrame:
-            label = similar_within(sets, similarity)
-            a = [(ids[r], ids[i]) for i, r in enumerate(label) if r != i]
-            return pd.DataFrame(a + [(i, None) for i in ids if long_run], columns=["a", "b"])
+            label = similar_within(sets, similarity) if len(roots) > 1 else []
+            return pd.DataFrame([(ids[r], ids[i]) for i, r in enumerate(label) if r != i], columns=["a", "b"])
 
         for batch in batches:
-            for k, i, s in zip(batch.key, batch.id, batch.s, strict=True):
-                if k != key or len(ids) >= size:
-                    long_run = k == key or long_run
-                    if len(ids) > 1:
-                        yield out()
-                    ids, sets, long_run, key = [], [], k == key, k
-                ids.append(i)
+            for k, i, j, id_, root, s in zip(batch.key, batch.i, batch.j, batch.id, batch.root, batch.s, strict=True):
+                if (k, i, j) != at:
+                    yield out()
+                    at, ids, sets, roots = (k, i, j), [], [], set()
+                ids.append(id_)
                 sets.append(np.asarray(s))
-        if len(ids) > 1:
-            yield out()
+                roots.add(root)
+        yield out()
 
-    found = keyed.repartition("key").sortWithinPartitions("key", "n", "fp", "id").mapInPandas(blocks, "a string, b string")
-    return found.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
+    found = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInPandas(linked, "a string, b string")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -299,10 +308,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     Texts are keyed by MD5. Fingerprints over distinct words nominate pairs that share a key of sampled bits;
     pigeonring chains and the full bit count prune them; the exact Jaccard similarity of their word shingles
     decides. Where very many texts share a key, a text is checked against the NEAREST of the next WINDOW ones. Texts
-    for which pairs were passed over are then compared block by block, all within a block, and only what joins them
-    leaves the task; of runs longer than a block one text for each group goes on to a round of larger blocks, until
-    there is none. So no pairs of a large group are ever listed, and none is left out. Texts without words, null or
-    not, are one group.
+    for which pairs were passed over are then compared under that key, block against block, unless the whole run is
+    known to be one group by now; only what joins them leaves the task. So no pairs of a large group are ever
+    listed, and none that share a key is left out. Texts without words, null or not, are one group.
     """
     key = F.md5(F.coalesce("text", F.lit("")))
     texts = docs.select(key.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -316,19 +324,14 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     every = durable(texts.mapInPandas(prints, "id string, fp long, n long").groupBy("id").agg(F.first("fp").alias("fp"), F.first("n").alias("n")))
     found = durable(_candidates(every, similarity))
-    edges = durable(similar_pairs(texts, found.filter("b is not null"), words, similarity))
-    again, size = found.filter("b is null").select(F.col("a").alias("id")), BLOCK
-    for _ in range(ROUNDS):
-        again = durable(again.distinct())
-        if not again.limit(1).count():
-            break
-        listed = every.join(again, "id", "left_semi").join(shingle_sets(texts, again, words), "id")
-        found = durable(_linked_blocks(listed, similarity, size))
-        links = found.filter("b is not null")
-        edges, size = edges.union(links), size * 4
-        again = found.filter("b is null").select(F.col("a").alias("id")).join(links.select(F.col("b").alias("id")), "id", "left_anti")
-    else:
-        raise RuntimeError(f"near copies have not settled after {ROUNDS} rounds")
+    edges = durable(similar_pairs(texts, found.filter("b is not null").select("a", "b"), words, similarity))
+    again = found.filter("b is null").select("key", F.col("a").alias("id"))
+    if again.limit(1).count():
+        rooted = every.select("id", "n").join(again, "id").join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left")
+        rows = durable(rooted.select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+        open_runs = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+        asked = durable(rows.join(open_runs, "key", "left_semi").select("id").distinct())
+        edges = durable(edges.union(_linked_runs(rows, shingle_sets(texts, asked, words), similarity)))
     linked = connected_components(edges)
     return every.select(F.col("id").alias("text_key")).join(linked.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
 
