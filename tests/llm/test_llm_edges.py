@@ -18,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wavelake.llm import chat, common, components, licences, media, mixing, packing, quality, scoring, sharding, simhash, urls
+from wavelake.llm.common import mix64
 from wavelake.llm.trie import SUCCESSOR_BITS, EliasFano, Trie, log10_of, quantise
 
 LONG = "long words " * 30_000
@@ -326,6 +327,34 @@ def test_a_hub_joins_the_variants_of_a_long_run(spark):
     assert [r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()] == [0]
 
 
+def test_near_copies_of_every_kind_of_edit(spark):
+    """Texts of 30 to 2,000 words, each with a copy cut at the end, at the front, or with words changed, at 0.8 or little above."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(240):
+        n = int(rng.integers(30, 2000) if k % 4 else rng.integers(30, 120))
+        own = [f"v{int(x)}" for x in rng.integers(0, 30_000, n)]
+        cut = int(0.2 * (n - 4))
+        other = list(own)
+        for p in rng.choice(np.arange(2, n - 2), max(1, n // 47), replace=False):
+            other[p] = f"y{k}_{p}"
+        rows += [(2 * k, " ".join(own), "s"), (2 * k + 1, " ".join([own[: n - cut], own[cut:], other][k % 3]), "s")]
+    sets = [set(simhash._shingle_set(r[1], 5).tolist()) for r in rows]
+    similar = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    want = [i for i in range(480) if i % 2 == 0 or not similar[i // 2]]
+    assert sum(similar) > 200 and sorted(r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(a=st.sets(st.integers(0, 40), max_size=30), b=st.sets(st.integers(0, 40), max_size=30), often=st.sets(st.integers(0, 40), min_size=1))
+def test_similar_sets_share_a_key(a, b, often):
+    common, seen = np.array(sorted(often), np.uint64), np.arange(3, 3 + len(often))
+    keys = [set(simhash.prefix(np.array(sorted(x), np.uint64) + np.uint64(1), 0.8, common, seen).tolist()) for x in (a, b)]
+    assert keys[0] & keys[1] or len(a & b) < 0.8 * len(a | b)
+    x, y = (simhash.sketch(mix64(np.array(sorted(s), np.uint64))) for s in (a, b))
+    assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(a ^ b)
+
+
 def test_near_copies_with_repeated_shingles(spark):
     w = [f"w{i}" for i in range(79)]
     repeated = [*w, *w[20:34], *[f"z{i}" for i in range(7)]]  # Jaccard 0.87 of distinct shingles, 0.78 if repeats count

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Interned, durable, fold, members, slices, split_by
+from .common import U64, Interned, durable, fold, members, mix64, slices, split_by
 from .components import connected_components
 
 BITS = 64
@@ -129,33 +129,42 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
 
 # Near copies at a similarity of word shingles -------------------------------------------------------------------
 
-#: Bits in which fingerprints of distinct words may differ; documents of Jaccard similarity 0.8 over five-word
-#: shingles stay within (an edit of one word takes five shingles but one word).
-NEAR_BITS, NEAR_SEGMENTS = 12, 8
-#: Keys: so many tables, each of so many fingerprint bits. More documents call for more bits and tables.
-TABLES, KEY_BITS = 24, 16
+#: Shingles seen COMMON_SEEN times or more in about SAMPLE texts come last in the order of shingles, the COMMON most
+#: frequent of them at least. The order decides how long the runs of keys are, never which pairs are found.
+SAMPLE, COMMON_SEEN, COMMON = 8192, 3, 1 << 16
 #: Neighbours in a run of one key that a document is compared with at first. Up to FEW near ones are all checked; of
 #: more, the NEAREST ones, and the documents for which some were passed over are compared again under that key, block
 #: against block, a block being about so many documents and shingles at most.
 WINDOW, FEW, NEAREST, BLOCK, BLOCK_SHINGLES = 48, 12, 3, 1024, 2_000_000
 
 
-def table_masks(tables: int = TABLES, bits: int = KEY_BITS, seed: int = 7) -> list[int]:
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(i) for i in rng.choice(BITS, bits, replace=False)) for _ in range(tables)]
+def shingle_hashes(texts: list, n: int) -> list[np.ndarray]:
+    """64-bit hashes of the n-word shingles of each text, each once and in order; of the whole text if it is shorter."""
+    known = Interned()
+    ids = [np.array([known[w] for w in fold(text)], np.int64) for text in texts]
+    hashes = known.hashes(42)
+    odd = mix64(np.arange(1, n + 1, dtype=U64)) | U64(1)
+    out = []
+    for own in ids:
+        m = min(n, len(own))
+        w, end = hashes[own], len(own) - m + 1
+        out.append(np.unique(mix64(sum((w[k : end + k] * odd[k] for k in range(m)), np.full(end, m, U64)))) if m else np.empty(0, U64))
+    return out
+
 
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The first shingles of a text in an order that all texts share: rare before common, then by hash.
 
-def _word_prints(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints over distinct words, and the number of distinct n-word shingles: the ratio of two such numbers bounds the similarity."""
-    known, ids, counts, sizes = Interned(), [], [], []
-    for text in texts:
-        words = fold(text)
-        own = set(words)
-        ids.extend(map(known.__getitem__, own))
-        counts.append(len(own))
-        sizes.append(len(set(shingles(words, n))))
-    c = np.array(counts, np.int64)
-    return majority(known.hashes(42)[np.array(ids, np.int64)] if ids else np.empty(0, U64), np.cumsum(c) - c, c), np.array(sizes, np.int64)
+    Two sets of this Jaccard similarity share at least similarity * n shingles, n being the greater size; so the first
+    one that they share is among the first n - ceil(similarity * n) + 1 of each. Texts without words share the key 0.
+    """
+    if not len(h):
+        return np.zeros(1, U64)
+    first = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.lexsort((h, np.where(common[at] == h, seen[at], 0)))]
+    return h[:first]
 
 
 def _shingle_set(text: object, n: int) -> np.ndarray:
@@ -163,32 +172,36 @@ def _shingle_set(text: object, n: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(s, 42) for s in shingles(fold(text), n)], np.uint32))
 
 
-def _near_in_runs(keys: np.ndarray, fp: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by key, then size. Pairs of rows to be checked, and rows that have to come again.
+SKETCH_BITS = 512
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of how many hashes fall to each of SKETCH_BITS bits, as longs. Two sets differ in at least as many
+    elements as their sketches do in bits: what both have cancels out."""
+    parity = np.bincount((h >> U64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
 
-    A row is compared with the next WINDOW rows that share its key and fit in size. Rows of pairs that were
-    passed over come again, and so do all rows of a key whose fitting rows reach beyond the window.
+def _near_in_runs(keys: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by key, then size; pos: the key's place in the text's order. Pairs of rows to be checked, and rows that have to come again.
+
+    A row is compared with the next WINDOW rows that share its key and fit in size. What two texts share before and
+    after a key that they share is bounded by its places. Rows of pairs that were passed over come again, and so do
+    all rows of a key whose fitting rows reach beyond the window.
     """
     found, again = [], []
-    masks = np.array(segment_masks(NEAR_SEGMENTS), U64)
-    budgets = [length * NEAR_BITS // NEAR_SEGMENTS for length in range(1, NEAR_SEGMENTS + 1)]
     for d in range(1, WINDOW + 2):
-        i = np.flatnonzero((keys[:-d] == keys[d:]) & (size[d:] * similarity <= size[:-d])) if len(keys) > d else np.empty(0, int)
+        i = np.flatnonzero((keys[:-d] == keys[d:]) & (size[d:] * similarity <= size[:-d] + 1e-6)) if len(keys) > d else np.empty(0, int)
         if not len(i):
             break
         if d > WINDOW:
             again.append(np.flatnonzero(np.isin(keys, keys[i])))
             break
-        each = np.bitwise_count((fp[i] ^ fp[i + d])[:, None] & masks).astype(np.int64)
-        ring = np.concatenate([each, each], 1)
-        chain = np.zeros(len(i), bool)
-        for s in range(NEAR_SEGMENTS):
-            chain |= (np.cumsum(ring[:, s : s + NEAR_SEGMENTS], 1) <= budgets).all(1)
-        i = i[chain]
-        bits = np.bitwise_count(fp[i] ^ fp[i + d]).astype(np.int64)
-        found.append(np.stack([i, i + d, bits])[:, bits <= NEAR_BITS])
-    a, b, bits = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
-    order = np.lexsort((b, bits, a))
+        most = np.minimum(pos[i], pos[i + d]) + 1 + np.minimum(size[i] - pos[i], size[i + d] - pos[i + d]) - 1
+        i = i[most * (1 + similarity) >= similarity * (size[i] + size[i + d]) - 1e-6]
+        found.append(np.stack([i, i + d]))
+    a, b = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
+    order = np.lexsort((b, a))
     a, b = a[order], b[order]
     rank, count = np.arange(len(a)) - np.searchsorted(a, a), np.bincount(a, minlength=len(keys))[a] if len(a) else a
     keep = (count <= FEW) | (rank < NEAREST)
@@ -196,23 +209,39 @@ def _near_in_runs(keys: np.ndarray, fp: np.ndarray, size: np.ndarray, similarity
     return a[keep], b[keep], np.unique(np.concatenate(again))
 
 
-def _candidates(prints: DataFrame, similarity: float) -> DataFrame:
-    """prints: (id, fp, n). Pairs (a, b) of ids to be checked, each once, and rows (a, null, key) of ids that have to come again under a key."""
-    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.lit(_signed(mask)).alias("mask")) for k, mask in enumerate(table_masks())])
-    keyed = prints.select("id", "fp", "n", F.explode(tables).alias("t")).select("id", "fp", "n", F.xxhash64("t.table", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"))
+def _candidates(every: DataFrame, similarity: float) -> DataFrame:
+    """every: (no, n, keys). Pairs (a, b) of numbers to be checked, each once, and rows (a, null, key) of texts that have to come again under a key."""
+    keyed = every.select("no", "n", F.posexplode("keys").alias("pos", "key"))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None  # the end of the last batch, whose runs may go on
         for batch in batches:
             part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            a, b, again = _near_in_runs(part.key.to_numpy(), part.fp.to_numpy().view(U64), part.n.to_numpy(), similarity)
-            ids = part.id.to_numpy()
-            found = pd.DataFrame({"a": ids[a], "b": ids[b]}).drop_duplicates().assign(key=0)
-            yield pd.concat([found, pd.DataFrame({"a": ids[again], "b": None, "key": part.key.to_numpy()[again]})], ignore_index=True)
+            no, key = part.no.to_numpy(), part.key.to_numpy()
+            a, b, again = _near_in_runs(key, part.n.to_numpy(), part.pos.to_numpy().astype(np.int64), similarity)
+            found = pd.DataFrame({"a": np.minimum(no[a], no[b]), "b": np.maximum(no[a], no[b])}).drop_duplicates().assign(key=0)
+            more = pd.DataFrame({"a": no[again], "b": -1, "key": key[again]})
+            yield pd.concat([found, more], ignore_index=True)
             rest = part.tail(WINDOW + 1).reset_index(drop=True)
 
-    found = keyed.repartition("key").sortWithinPartitions("key", "n", "fp", "id").mapInPandas(near, "a string, b string, key long")
-    return found.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b"), "key").distinct()
+    found = keyed.repartition("key").sortWithinPartitions("key", "n", "no").mapInPandas(near, "a long, b long, key long")
+    return found.distinct().withColumn("b", F.when(F.col("b") >= 0, F.col("b")))
+
+
+def _common_shingles(docs: DataFrame, texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of the most frequent shingles of a sample of the texts, and how often they were seen."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b in slices([len(t) // 6 + 1 for t in batch.text], BATCH_WORDS):
+                yield pd.DataFrame({"h": np.concatenate([np.empty(0, U64), *shingle_hashes(list(batch.text.iloc[a:b]), words)]).view(np.int64)})
+
+    some = texts.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    often = some.mapInPandas(listed, "h long").groupBy("h").agg(F.count("h").alias("c")).filter(F.col("c") >= COMMON_SEEN)
+    top = often.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    h, c = top.h.to_numpy(np.int64).view(U64), top.c.to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
 
 
 def shingle_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -226,15 +255,25 @@ def shingle_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return likely.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id string, s array<int>")
 
 
-def similar_pairs(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """texts: (id, text); pairs: (a, b). The pairs whose sets of word shingles have at least this Jaccard similarity."""
-    needed = durable(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    listed = shingle_sets(texts, needed, words)
+def similar_pairs(listed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """listed: (id, s); pairs: (a, b). The pairs whose sets of word shingles have at least this Jaccard similarity."""
     both = pairs.join(listed.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(listed.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def linking_pairs(listed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """listed: (id, s); pairs: (a, b, differ). Similar pairs that join all that the similar pairs among these join.
+
+    Of each text its likeliest pair is checked first; pairs within one group need no check after that.
+    """
+    first = durable(similar_pairs(listed, pairs.groupBy("b").agg(F.min(F.struct("differ", "a"))["a"].alias("a")), similarity))
+    linked = connected_components(first)
+    at = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return durable(first.union(similar_pairs(listed, apart, similarity)))
+
+
 def similar_within(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """The smallest index that each set is linked with, over links of at least this Jaccard similarity, all pairs compared.
 
@@ -305,29 +344,37 @@ def _linked_runs(rows: DataFrame, listed: DataFrame, similarity: float) -> DataF
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(text_key, root): for every distinct text, the text that stands for its group.
 
-    Texts are keyed by MD5. Fingerprints over distinct words nominate pairs that share a key of sampled bits;
-    pigeonring chains and the full bit count prune them; the exact Jaccard similarity of their word shingles
-    decides. Where very many texts share a key, a text is checked against the NEAREST of the next WINDOW ones. Texts
+    Texts are keyed by MD5. Texts that share one of the first shingles of their orders (see prefix) are candidates,
+    which leaves out no pair that is similar enough; bounds by size, place and sketch prune them, and the exact Jaccard
+    similarity of their word shingles decides. Where very many texts share a key, a text is checked against the NEAREST of the next WINDOW ones. Texts
     for which pairs were passed over are then compared under that key, block against block, unless the whole run is
     known to be one group by now; only what joins them leaves the task. So no pairs of a large group are ever
-    listed, and none that share a key is left out. Texts without words, null or not, are one group.
+    listed, and none is left out. Texts without words, null or not, are one group.
     """
     key = F.md5(F.coalesce("text", F.lit("")))
     texts = docs.select(key.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    common, seen = _common_shingles(docs, texts, words)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in slices([len(t) // 6 + 1 for t in batch.text], BATCH_WORDS):
                 part = batch.iloc[a:b]
-                fp, n = _word_prints(list(part.text), words)
-                yield pd.DataFrame({"id": part.id.array, "fp": fp.view(np.int64), "n": n})
+                own = shingle_hashes(list(part.text), words)
+                yield pd.DataFrame({"id": part.id.array, "n": [len(h) for h in own], "sketch": [sketch(h) for h in own], "keys": [prefix(h, similarity, common, seen).view(np.int64) for h in own]})
 
-    every = durable(texts.mapInPandas(prints, "id string, fp long, n long").groupBy("id").agg(F.first("fp").alias("fp"), F.first("n").alias("n")))
+    each = texts.mapInPandas(prefixes, "id string, n long, sketch array<long>, keys array<long>").groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
+    every = durable(each.withColumn("no", F.monotonically_increasing_id()))
     found = durable(_candidates(every, similarity))
-    edges = durable(similar_pairs(texts, found.filter("b is not null").select("a", "b"), words, similarity))
-    again = found.filter("b is null").select("key", F.col("a").alias("id"))
+    named = every.select("no", "id", "n", "sketch")
+    both = found.filter("b is not null").join(named.toDF("a", "ia", "na", "sa"), "a").join(named.toDF("b", "ib", "nb", "sb"), "b")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    pairs = durable(both.filter(differ * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6).select(F.col("ia").alias("a"), F.col("ib").alias("b"), differ.alias("differ")))
+    needed = durable(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    edges = linking_pairs(durable(shingle_sets(texts, needed, words)), pairs, similarity)
+    again = found.filter("b is null").select("key", F.col("a").alias("no"))
     if again.limit(1).count():
-        rooted = every.select("id", "n").join(again, "id").join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left")
+        rooted = every.select("no", "id", "n").join(again, "no").join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left")
         rows = durable(rooted.select("key", "id", "n", F.coalesce("root", "id").alias("root")))
         open_runs = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
         asked = durable(rows.join(open_runs, "key", "left_semi").select("id").distinct())
