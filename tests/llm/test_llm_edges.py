@@ -103,6 +103,13 @@ def test_quotas_are_an_apportionment(spark):
     assert ((sizes.taken - sizes.target).abs() <= 2 * mix.block_tokens).all()
 
 
+def test_small_sources_are_mixed_however_large_the_blocks(spark):
+    rows = [(i, "w " * 20, "large") for i in range(5000)] + [(10_000 + i, "w " * 10, "small") for i in range(20)]
+    mix = mixing.Mix(max_blocks=64)  # blocks of 1,566 words; the small source's target is 600
+    got = mixing.mixed_corpus(documents(spark, rows), mix).groupBy("source").agg(F.sum(common.n_words(F.col("text"))).alias("words")).toPandas().set_index("source").words
+    assert got["small"] == 600 and abs(got["large"] - (100_200 - 600)) <= 1566
+
+
 # Components ------------------------------------------------------------------------------------------------------
 
 

@@ -173,6 +173,9 @@ def shard_quotas(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 #: Documents, about, whose whole numbers of copies are settled together.
 SETTLED = 2048
+#: Sources whose targets are under so many blocks are mixed by their share of words, not by blocks, which would miss
+#: the target by up to a block, or leave the source out.
+PART_BLOCKS = 64
 
 
 def mixed_corpus(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -181,12 +184,13 @@ def mixed_corpus(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     A document is to come taken / size times. Within pieces of about SETTLED documents of a source, dealt by a hash,
     the largest are settled first: each comes a whole number of times, at random one of the two nearest, and what it
     takes too much or too little is made good by those after it. So a piece misses its words by about its smallest
-    documents. Rows with equal doc_ids share what all of them are given; documents without words are left out.
+    documents. Where blocks are coarse for a source, each document is due its share of the target. Rows with equal doc_ids share what all of them are given; documents without words are left out.
     """
     piece = F.conv(F.substring("place", 9, 8), 16, 10).cast("long") % F.ceil(F.col("source_docs") / SETTLED)
     chance = F.conv(F.substring("place", 17, 8), 16, 10).cast("double") / 2.0**32
     one = F.struct((-F.col("size")).alias("order"), "place", "doc_id", "size", "taken", chance.alias("chance"))
-    pieces = _mixed(docs, mix).filter("size > 0").groupBy(*KEY, piece.alias("piece")).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    share = F.when(F.col("target") < PART_BLOCKS * F.col("block_size"), F.col("size") * F.col("target") / F.col("source_size")).otherwise(F.col("taken").cast("double"))
+    pieces = _mixed(docs, mix).filter("size > 0").withColumn("taken", share).groupBy(*KEY, piece.alias("piece")).agg(F.array_sort(F.collect_list(one)).alias("all"))
 
     def settle(state: Column, x: Column) -> Column:
         wanted = (state["owed"] + x["taken"]) / x["size"]
