@@ -218,6 +218,44 @@ def test_licence_rules(spark):
     assert got == {1: "BSD-3-Clause", 2: "", 3: "BSD-2-Clause", 4: "MIT", 5: "MIT", 6: "", 7: "Apache-2.0"} or got == {1: "BSD-3-Clause", 2: "", 3: "BSD-2-Clause;all-rights-reserved", 4: "MIT", 5: "MIT", 6: "", 7: "Apache-2.0"}
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+APACHE_TEXT = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+
+
+def test_standard_licence_notices(spark):
+    rows = [(1, MIT_TEXT, ""), (2, APACHE_TEXT, ""), (3, APACHE_TEXT.replace("\n", "\r\n"), ""), (4, APACHE_TEXT.replace('Licensed under the Apache License, Version 2.0 (the "License");\n', ""), "")]
+    got = {r.doc_id: r.licences for r in licences.scan_licences(documents(spark, rows)).collect()}
+    assert got == {1: "MIT", 2: "Apache-2.0", 3: "Apache-2.0", 4: "Apache-2.0"}
+
+
 # Sharding --------------------------------------------------------------------------------------------------------
 
 

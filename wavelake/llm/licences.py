@@ -49,6 +49,19 @@ RULES = [
     *[(f"{k.upper()}-{v}", (f"{k}-{v}",)) for k, v in product(GNU, GNU_VERSIONS)],
     ("all-rights-reserved", ("arr",)),
 ]
+#: The standard notices as sentences() cuts them: at their empty lines too. The SQL does not know these.
+STANDARD = {
+    "mit-permission": SENTENCES["mit-grant"].partition(" The above")[0],
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "apache-2.0-title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "apache-obtain": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
+}
+STANDARD_RULES = [
+    ("MIT", ("mit-permission", "mit-notice", "mit-as-is")), ("Apache-2.0", ("apache-2.0-header",)), ("Apache-2.0", ("apache-2.0-title",)),
+    ("Apache-2.0", ("apache-may-not", "apache-obtain", "apache-url")),
+]
 COVERED = {"BSD-2-Clause": "BSD-3-Clause"}
 
 
@@ -96,11 +109,11 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     empty table gives an empty one. Sentences and rules are fixed tables, so nothing that grows with the input is
     shared.
     """
-    known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (_normal(s), k)])
+    known = F.create_map(*[F.lit(x) for k, s in (SENTENCES | STANDARD).items() for x in (_normal(s), k)])
     cut = docs.select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("s"))
     marks = F.array_join(F.flatten(F.transform("s", lambda x: _identifiers(x, known))), "><")
     seen = cut.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.when(marks != "", F.concat(F.lit("<"), marks, F.lit(">"))).otherwise("").alias("sentence_ids"))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(ids)).alias("pattern")) for name, ids in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(ids)).alias("pattern")) for name, ids in RULES + STANDARD_RULES])
     found = F.array_sort(F.array_distinct(F.transform(F.filter(rules, lambda r: F.like(F.col("sentence_ids"), r["pattern"])), lambda r: r["name"])))
     bare = lambda a: F.filter(a, lambda x: ~F.coalesce(F.array_contains(a, _cover(x)), F.lit(False)))
     out = seen.withColumn("__found", F.when(F.col("sentence_ids") != "", bind(found, bare)).otherwise(F.array().cast("array<string>")))
