@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import mmap
+import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,40 +60,73 @@ def seeded(seed: str, *cols: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]))
 
 
-def release(spark: SparkSession, wait: float = 0.0) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more: jobs of many rounds pile them up.
-
-    Python's references to plans end some time after their objects do; wait: seconds to give them, before a job that needs the room.
-    """
-    gc.collect()
-    time.sleep(wait)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(wait / 2)
-
-
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, in the folder that spark.checkpoint.dir names (one of our own only where it is unset)."""
-    release(df.sparkSession)
+    """Cut the lineage by a reliable checkpoint, in the folder that spark.checkpoint.dir names."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master (tests) gets one of our own; a cluster gets an error, as no folder of one machine will do."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/wavelake")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints/wavelake")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: for tables that hold texts, smaller than a checkpoint."""
-    release(df.sparkSession)
+    """Cut the lineage by a Parquet table in the shared folder: for tables that hold texts, smaller than a checkpoint. It lives as long as the folder, which belongs to the application."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _local(uri: str) -> str | None:
+    return f"/{uri.removeprefix('file:').lstrip('/')}" if uri.startswith(("file:", "/")) else None
+
+
+def stored_file(uri: str, content: bytes) -> None:
+    """Writes a file of the shared folder, whole or not at all: tasks that are run again write the same once more."""
+    aside = f"{uri}.{uuid.uuid4().hex}"
+    if path := _local(uri):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(_local(aside), "wb") as f:
+            f.write(content)
+        os.replace(_local(aside), path)
+    else:
+        store, path = pyarrow.fs.FileSystem.from_uri(uri)
+        beside = f"{path}{aside.removeprefix(uri)}"
+        store.create_dir(os.path.dirname(path))
+        with store.open_output_stream(beside) as f:
+            f.write(content)
+        store.move(beside, path)
+
+
+def mapped_file(uri: str) -> mmap.mmap:
+    """A file of the shared folder in memory: mapped where the folder is mounted, else read into a mapping of its own."""
+    if path := _local(uri):
+        with open(path, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    store, path = pyarrow.fs.FileSystem.from_uri(uri)
+    raw = store.open_input_file(path).readall()
+    held = mmap.mmap(-1, len(raw))
+    held.write(raw)
+    return held
+
+
+def id_text(df: DataFrame, column: str = "doc_id") -> Column:
+    """A column of ids as text: pandas would turn whole numbers beside a null into floats, and large ones into others."""
+    return df[f"`{column}`"].cast("string")
+
+
+def with_id_of(out: DataFrame, df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """out, whose ids are text, with the type that df's have."""
+    return out.withColumn(column, F.col(f"`{column}`").cast(df.schema[column].dataType))
+
+
 FILTER_BITS = 1 << 24
 
 

@@ -16,7 +16,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import utf8
+from .common import id_text, utf8, with_id_of
 
 #: Magic number -> (type, offset of the magic number from the start of its medium).
 SIGNATURES = {
@@ -263,4 +263,4 @@ def media_digest(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(digests, f"doc_id {dict(docs.dtypes)['doc_id']}, {DIGEST}")
+    return with_id_of(docs.select(id_text(docs).alias("doc_id"), "text").mapInPandas(digests, f"doc_id string, {DIGEST}"), docs)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import id_text, n_words, with_id_of
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,7 @@ def pack_documents(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
     packs = max(1, -(-docs.count() // p.pack))
     text = F.coalesce("text", F.lit(""))
     salt = F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    items = docs.select("doc_id", "source", n_words(F.col("text")).alias("words"), F.xxhash64(text).alias("cluster"), F.pmod(salt, F.lit(packs)).cast("int").alias("pack"))
-    kind = dict(docs.dtypes)["doc_id"]
+    items = docs.select(id_text(docs).alias("doc_id"), "source", n_words(F.col("text")).alias("words"), F.xxhash64(text).alias("cluster"), F.pmod(salt, F.lit(packs)).cast("int").alias("pack"))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -88,4 +87,4 @@ def pack_documents(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
         pieces["pack"] = group.pack.iloc[0]
         return pieces[["doc_id", *[x.split()[0] for x in PACKED.split(", ")]]]
 
-    return items.groupBy("pack").applyInPandas(pack, f"doc_id {kind}, {PACKED}")
+    return with_id_of(items.groupBy("pack").applyInPandas(pack, f"doc_id string, {PACKED}"), docs)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WHITESPACE, Interned, mix64, slices, utf8
+from .common import U64, WHITESPACE, Interned, id_text, mix64, slices, utf8, with_id_of
 
 #: Highest share, in percent, of a text's word characters inside repeated n-word windows. A header line that a short
 #: page shows twice covers up to 30 percent and is no fault; text that loops covers most of itself.
@@ -103,7 +103,7 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
                 out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].array)
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(rules, f"doc_id {dict(docs.dtypes)['doc_id']}, {COLUMNS}")
+    return with_id_of(docs.select(id_text(docs).alias("doc_id"), "text").mapInPandas(rules, f"doc_id string, {COLUMNS}"), docs)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Interned, durable, fold, members, mix64, slices, split_by
+from .common import U64, Interned, durable, fold, id_text, members, mix64, slices, split_by, with_id_of
 from .components import connected_components
 
 BITS = 64
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 fp = majority(np.array(hashes, U64), np.cumsum(n) - n, n)
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, "fp": fp.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(prints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return with_id_of(docs.select(id_text(docs).alias("doc_id"), "text").mapInPandas(prints, "doc_id string, fp long"), docs)
 
 
 def segment_masks(m: int) -> list[int]:
