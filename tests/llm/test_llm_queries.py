@@ -38,32 +38,68 @@ def test_op1_targets_are_met(spark, sf_dir, duck):
     same_rows(got.drop(columns="source"), again)
 
 
+def brute_scores(training: list[list[str]], asked: list[list[str]]) -> list[float]:
+    """log10 probabilities by the smoothing that the module tells, order 3, counted plainly."""
+    from wavelake.llm.scoring import GROWTH, PRIOR
+
+    one, two, three, above2, above3 = (collections.Counter() for _ in range(5))
+    for w in training:
+        one.update(w)
+        above2.update(["start", *w[:-1]])
+        two.update(zip(["start", *w], w, strict=False))
+        above3.update(zip(["start", *w], w[:-1], strict=False))
+        three.update(zip(["start", *w], w, w[1:], strict=False))
+    n, v = sum(one.values()), len(one)
+    p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    def p(count: int, context: int, order: int, lower: float) -> float:
+        m = PRIOR[order - 2] * max(context, 1) ** GROWTH[order - 2]
+        return (count + m * lower) / (context + m)
+
+    out = []
+    for w in asked:
+        padded = ["start", *w]
+        total = 0.0
+        for i, x in enumerate(w):
+            q = p(two[padded[i], x], above2[padded[i]], 2, p1(x))
+            total += math.log10(q if i == 0 else p(three[padded[i - 1], padded[i], x], above3[padded[i - 1], padded[i]], 3, q))
+        out.append(total)
+    return out
+
+
 def test_op3_equals_brute_force(spark, sf_dir, texts):
     tokens = {k: [*fold(t), "end"] for k, t in texts.items()}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts}
-    one, two, above = collections.Counter(), collections.Counter(), collections.Counter()
-    for k, w in tokens.items():
-        if not held[k]:
-            one.update(w)
-            two.update(zip(["start", *w], w, strict=False))
-            above.update(["start", *w[:-1]])
+    training = [w for k, w in tokens.items() if not held[k]]
+    one = collections.Counter(x for w in training for x in w)
     n, v = sum(one.values()), len(one)
-    p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+    score = dict(zip(tokens, brute_scores(training, list(tokens.values())), strict=True))
     better = total = 0.0
-    for r in QUERIES["op3_lm_scores"](spark, sf_dir).collect():
+    got = QUERIES["op3_lm_scores"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
         w = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(one[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10(p1(x)) for x in w), rel=1e-9)
-        score = 0.0
-        for h, x in zip(["start", *w], w, strict=False):
-            m = 4.0 * max(above[h], 1) ** 0.9
-            score += math.log10((two[h, x] + m * p1(x)) / (above[h] + m))
-        assert abs(r.score - score) <= 0.001 * len(w)
+        assert r.base_score == pytest.approx(sum(math.log10((one[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
+        assert abs(r.score - score[r.doc_id]) <= 0.001 * len(w)
         if r.held_out:
             better, total = better + r.score, total + r.base_score
     assert better > 0.95 * total
 
 
+def test_op3_scores_texts_outside_the_corpus_by_its_files(spark, sf_dir, texts):
+    from wavelake.llm import scoring
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model, _ = scoring.learned_model(docs)
+    words = fold(max(texts.values(), key=len))[:50]
+    others = [b" ".join(words), b" ".join(words[::-1]), b"never seen zzz " + words[0], b""]
+    asked = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(others)], "doc_id long, text string")
+    got = [r.score for r in scoring.score_texts(asked, model).orderBy("doc_id").collect()]
+    training = [[*fold(t), "end"] for k, t in texts.items() if zlib.crc32(str(k).encode()) % 5 != 1]
+    assert got == pytest.approx(brute_scores(training, [[*t.split(), "end"] for t in others]), abs=0.05)
+
+
 def test_op5_is_a_permutation(spark, sf_dir, texts):
     got = QUERIES["op5_shard"](spark, sf_dir).toPandas()
     counts = np.bincount(got["shard"], minlength=24)

@@ -1,8 +1,8 @@
-"""A two-level n-gram trie in Elias-Fano form: contexts, their successors, and quantised probabilities.
+"""N-gram tries in Elias-Fano form: levels of word numbers, pointers between them, and quantised probabilities.
 
-Everything lies in one buffer of flat arrays that are read in place, be it bytes, an anonymous mapping or a mapped
-file. Contexts (64-bit hashes) and pointers are monotone; successors are made so by putting the context's rank
-above the successor's code. All look-ups are vectorised.
+Everything lies in one buffer of flat arrays that are read in place, be it bytes or a mapped file. Level 1 and the
+pointers are monotone; the words of a lower level are made so by putting the rank of the context above the number of
+the word, so a word is sought among its context's successors only. All look-ups are vectorised.
 """
 
 from __future__ import annotations
@@ -11,20 +11,20 @@ import numpy as np
 
 from .common import U64
 
-#: Bits of a successor's hash that are kept; a context's rank is put above them.
-SUCCESSOR_BITS = 40
-#: A probability's code is -log10 in these steps.
-STEP = 1 / 1024
+#: A share's code is 1 - log10 in these steps; 0 is a share of nothing.
+STEP = 1 / 4096
 MAX_CODE = 65535
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    """Codes of probabilities."""
-    return np.clip(np.rint(-np.log10(p) / STEP), 0, MAX_CODE).astype(np.uint16)
+    """Codes of shares from 0 to 1, as 16-bit numbers."""
+    seen = p > 0
+    code = np.rint(-np.log10(np.where(seen, p, 1.0)) / STEP) + 1
+    return np.where(seen, np.minimum(code, MAX_CODE), 0).astype(np.uint16)
 
 
-def log10_of(codes: np.ndarray) -> np.ndarray:
-    return codes.astype(np.float64) * -STEP
+def share_of(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 10.0 ** ((1.0 - codes.astype(np.float64)) * STEP), 0.0)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -119,70 +119,107 @@ class EliasFano:
         return U64((len(self.upper) << 6) - self.n - 1)
 
 
-class Trie:
-    """contexts, pointers (first successor of each context, and the end), successors, codes."""
+class Coded:
+    """Codes of which few differ: a table of the different ones, and each one's place in it, packed."""
+
+    def __init__(self, table: np.ndarray, places: np.ndarray) -> None:
+        self.table, self.places = table, places
+        self.width = max(0, len(table) - 1).bit_length()
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> Coded:
+        table, places = np.unique(codes, return_inverse=True)
+        return cls(table, _pack(places.astype(U64), max(0, len(table) - 1).bit_length()))
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return self.table[_unpack(self.places, self.width, i).astype(np.int64)] if len(i) else np.empty(0, np.uint16)
+
+
+class Buffer:
+    """Takes arrays one after the other out of a buffer that joined() made; nothing is copied."""
+
+    def __init__(self, buffer: object) -> None:
+        self.buffer, self.at = buffer, 0
 
-    PARTS = ("contexts", "pointers", "successors")
+    def take(self, kind: type, n: int) -> np.ndarray:
+        a = np.frombuffer(self.buffer, kind, n, self.at)
+        self.at += a.nbytes + -a.nbytes % 8
+        return a
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray) -> None:
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+
+def joined(arrays: list[np.ndarray]) -> bytes:
+    """Arrays end to end, each from a multiple of 8 bytes on."""
+    return b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
+
+
+class Trie:
+    """levels: the words of each level, below their contexts' ranks from the second on; pointers: of each level but the
+    last, where each node's successors begin, and the end; codes: of each level from the second on."""
+
+    def __init__(self, bits: int, levels: list[EliasFano], pointers: list[EliasFano], codes: list[Coded]) -> None:
+        self.bits, self.levels, self.pointers, self.codes = bits, levels, pointers, codes
 
     @classmethod
-    def of(cls, context: np.ndarray, successor: np.ndarray, codes: np.ndarray) -> Trie:
-        """Distinct (context, successor) pairs in order; contexts below 2**63, successors below 2**SUCCESSOR_BITS."""
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.empty(0, np.int64)
-        if len(first) >= 1 << (63 - SUCCESSOR_BITS):
-            raise ValueError("too many contexts for one trie: use more shards")
-        rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
-        keys = (rank.astype(U64) << U64(SUCCESSOR_BITS)) | successor
-        return cls(EliasFano.of(context[first]), EliasFano.of(np.append(first, len(context))), EliasFano.of(keys), codes.astype(np.uint16))
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The code of each pair, or -1. A context is found by successor search, once for pairs that follow each other with it; then its successors, relative to it."""
-        n, size = self.contexts.n, len(context)
-        out = np.full(size, -1, np.int64)
-        if not n or not size:
-            return out
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        asked = context[first]
-        rank = self.contexts.successor(asked, np.zeros(len(asked), np.int64), np.full(len(asked), n))
-        hit = np.flatnonzero(rank < n)
-        hit = hit[self.contexts[rank[hit]] == asked[hit]]
-        low, high = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
-        low[hit], high[hit] = self.pointers[rank[hit]].astype(np.int64), self.pointers[rank[hit] + 1].astype(np.int64)
-        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, size)))
-        known = np.flatnonzero(high[run] > 0)
-        run = run[known]
-        key = (rank[run].astype(U64) << U64(SUCCESSOR_BITS)) | successor[known]
-        at = self.successors.successor(key, low[run], high[run])
-        found = np.flatnonzero(at < high[run])
-        found = found[self.successors[at[found]] == key[found]]
-        out[known[found]] = self.codes[at[found]]
+    def of(cls, bits: int, first: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
+        """first: words of level 1 in order; grams: for each further level (place of the context in the level above, word, code), in order. Words are below 2**bits."""
+        levels, pointers, codes = [EliasFano.of(first)], [], []
+        size = len(first)
+        for context, word, code in grams:
+            if size and (size - 1).bit_length() + bits > 63:
+                raise ValueError("too many contexts for one trie: use more shards")
+            pointers.append(EliasFano.of(np.searchsorted(context, np.arange(size + 1))))
+            levels.append(EliasFano.of((context.astype(U64) << U64(bits)) | word.astype(U64)))
+            codes.append(Coded.of(code))
+            size = len(word)
+        return cls(bits, levels, pointers, codes)
+
+    def root(self, word: np.ndarray) -> np.ndarray:
+        """Places of words in level 1, or -1."""
+        level = self.levels[0]
+        at = level.successor(word.astype(U64), np.zeros(len(word), np.int64), np.full(len(word), level.n))
+        return self._hit(level, at, word.astype(U64), np.full(len(word), level.n))
+
+    def below(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places in ``level`` (from 1 on) of words among the successors of their contexts, which are places in the level above or -1; -1 if there is none."""
+        out = np.full(len(word), -1, np.int64)
+        known = np.flatnonzero(context >= 0)
+        if len(known):
+            c = context[known]
+            low, high = self.pointers[level - 1][c].astype(np.int64), self.pointers[level - 1][c + 1].astype(np.int64)
+            key = (c.astype(U64) << U64(self.bits)) | word[known].astype(U64)
+            out[known] = self._hit(self.levels[level], self.levels[level].successor(key, low, high), key, high)
+        return out
+
+    @staticmethod
+    def _hit(level: EliasFano, at: np.ndarray, key: np.ndarray, high: np.ndarray) -> np.ndarray:
+        inside = np.flatnonzero(at < high)
+        inside = inside[level[at[inside]] == key[inside]] if len(inside) else inside
+        out = np.full(len(at), -1, np.int64)
+        out[inside] = at[inside]
         return out
 
-    def arrays(self) -> list[np.ndarray]:
-        levels = [getattr(self, p) for p in self.PARTS]
-        sizes = np.array([x for e in levels for x in (e.n, e.width, len(e.lower), len(e.upper))] + [len(self.codes)], np.int64)
-        return [sizes, *[a for e in levels for a in (e.lower, e.upper, e.ones)], self.codes]
+    def code(self, level: int, place: np.ndarray) -> np.ndarray:
+        """Codes at places of a level; 0 at -1."""
+        out = np.zeros(len(place), np.uint16)
+        known = np.flatnonzero(place >= 0)
+        out[known] = self.codes[level - 1][place[known]]
+        return out
 
     def to_bytes(self) -> bytes:
-        """Each array starts at a multiple of 8 bytes."""
-        return b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in self.arrays())
+        sequences = [*self.levels, *self.pointers]
+        sizes = [self.bits, len(self.levels), *[x for e in sequences for x in (e.n, e.width, len(e.lower), len(e.upper))], *[x for c in self.codes for x in (len(c.table), len(c.places))]]
+        arrays = [a for e in sequences for a in (e.lower, e.upper, e.ones)] + [a for c in self.codes for a in (c.table, c.places)]
+        return joined([np.array([len(sizes)], np.int64), np.array(sizes, np.int64), *arrays])
 
     @classmethod
     def map(cls, buffer: object) -> Trie:
-        """Views into a buffer that holds to_bytes(); nothing is copied."""
-        sizes = np.frombuffer(buffer, np.int64, 4 * len(cls.PARTS) + 1)
-        at = sizes.nbytes
-
-        def take(kind: type, n: int) -> np.ndarray:
-            nonlocal at
-            a = np.frombuffer(buffer, kind, n, at)
-            at += a.nbytes + -a.nbytes % 8
-            return a
-
-        levels = []
-        for k in range(len(cls.PARTS)):
-            n, width, lower, upper = (int(x) for x in sizes[4 * k : 4 * k + 4])
-            levels.append(EliasFano(n, width, take(U64, lower), take(U64, upper), take(np.uint32, upper)))
-        return cls(*levels, take(np.uint16, int(sizes[-1])))
+        """Views into a buffer that holds to_bytes()."""
+        b = Buffer(buffer)
+        bits, n, *sizes = (int(x) for x in b.take(np.int64, int(b.take(np.int64, 1)[0])))
+        sequences = []
+        for k in range(2 * n - 1):
+            size, width, lower, upper = sizes[4 * k : 4 * k + 4]
+            sequences.append(EliasFano(size, width, b.take(U64, lower), b.take(U64, upper), b.take(np.uint32, upper)))
+        rest = sizes[4 * (2 * n - 1) :]
+        codes = [Coded(b.take(np.uint16, t), b.take(U64, p)) for t, p in zip(rest[::2], rest[1::2], strict=True)]
+        return cls(bits, sequences[:n], sequences[n:], codes)
