@@ -40,8 +40,6 @@ def test_op1_targets_are_met(spark, sf_dir, duck):
 
 def brute_scores(training: list[list[str]], asked: list[list[str]]) -> list[float]:
     """log10 probabilities by the smoothing that the module tells, order 3, counted plainly."""
-    from wavelake.llm.scoring import GROWTH, PRIOR
-
     one, two, three, above2, above3 = (collections.Counter() for _ in range(5))
     for w in training:
         one.update(w)
@@ -53,8 +51,11 @@ def brute_scores(training: list[list[str]], asked: list[list[str]]) -> list[floa
     p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
 
     def p(count: int, context: int, order: int, lower: float) -> float:
-        m = PRIOR[order - 2] * max(context, 1) ** GROWTH[order - 2]
-        return (count + m * lower) / (context + m)
+        if order == 2:
+            m = 4.0 * max(context, 1) ** 0.9
+            return (count + m * lower) / (context + m)
+        left = 1.0 if not context else 0.8 if context == 1 else 0.4 * (2 / context) ** 0.2
+        return (1 - left) * count / max(context, 1) + left * lower
 
     out = []
     for w in asked:

@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import U64, Interned, durable, fold, id_text, mapped_file, mix64, shared_folder, stored_file, with_id_of
 from .trie import Buffer, EliasFano, Trie, _pack, _unpack, joined, quantise, share_of
 
-#: m of a context that training has c times is PRIOR * c ** GROWTH; for contexts of one word and of two.
-PRIOR, GROWTH = (4.0, 2.0), (0.9, 0.5)
+#: m of one word that training has c times is PRIOR * c ** GROWTH: a word goes on meeting new ones, at a rate that falls slowly.
+PRIOR, GROWTH = 4.0, 0.9
+#: The part of P that two words leave to the shorter context: ONCE where training has them once, which says little of what follows; AGAIN * (2 / c) ** FADE from the second time on.
+ONCE, AGAIN, FADE = 0.8, 0.4, 0.2
 FOLDS, HELD_OUT = 5, 1
 CHUNK_WORDS = 2_000_000
 #: Trigrams that a shard gets, about; and occurrences of one first word, or different successors of one pair, beyond which these are spread.
@@ -73,7 +75,11 @@ def _open(blob: bytes) -> list[np.ndarray]:
 
 def reserve(count: np.ndarray, order: int) -> np.ndarray:
     """m of a context of order - 1 words that training has so often."""
-    return PRIOR[order - 2] * np.maximum(count, 1.0) ** GROWTH[order - 2]
+    c = np.maximum(count, 1.0)
+    if order == 2:
+        return PRIOR * c**GROWTH
+    left = np.where(c < 2, ONCE, AGAIN * (2 / np.maximum(c, 2)) ** FADE)
+    return c * left / (1 - left)
 
 
 def _shares(count: np.ndarray, above: np.ndarray, order: int) -> np.ndarray:
