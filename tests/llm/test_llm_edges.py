@@ -22,7 +22,7 @@ from wavelake.llm.trie import EliasFano, Trie, quantise, share_of
 LONG = "long words " * 30_000
 ROWS = [(1, "a b c d e", "x"), (1, "a b c d e", "x"), (2, None, None), (3, "", "y"), (None, "null id here", "y"), (None, None, None), (4, LONG, "x"), (5, " \t\n", "z"), (6, "ü\x85ö  é", "z")]
 SCHEMA = "doc_id long, text string, source string"
-CLASHING = ["bin", "pack", "bucket", "shard", "size", "taken", "component_id", "root", "id", "__key", "k", "n", "part"]
+CLASHING = ["bin", "pack", "__mix_id", "__times", "__copy", "__id", "__rows", "shards", "place", "total", "end", "bucket", "shard", "size", "taken", "component_id", "root", "id", "__key", "k", "n", "part"]
 OPERATORS = {
     "mix": (mixing.mix_documents, len(ROWS)), "shard": (sharding.shard_documents, len(ROWS)), "quality": (quality.repetition_rules, len(ROWS)), "simhash": (simhash.simhash_components, len(ROWS)),
     "score": (scoring.score_documents, len(ROWS)), "licences": (licences.scan_licences, len(ROWS)), "media": (media.media_digest, len(ROWS)), "pack": (packing.pack_documents, None),
@@ -101,11 +101,25 @@ def test_quotas_are_an_apportionment(spark):
     assert ((sizes.taken - sizes.target).abs() <= 2 * mix.block_tokens).all()
 
 
-def test_small_sources_are_mixed_however_large_the_blocks(spark):
-    rows = [(i, "w " * 20, "large") for i in range(5000)] + [(10_000 + i, "w " * 10, "small") for i in range(20)]
-    mix = mixing.Mix(max_blocks=64)  # blocks of 1,566 words; the small source's target is 600
+def test_small_sources_meet_their_targets_however_large_the_blocks(spark):
+    """Sources of 1 : 10**6 words, and blocks of large ones that hold several small sources whole."""
+    rows = [(i, "w " * 20_000, "large") for i in range(50)] + [(1000, "w", "one"), (1001, "w " * 13, "small")] + [(2000 + i, "w " * 50, "middle") for i in range(30)]
+    mix = mixing.Mix(max_blocks=64)  # blocks of 15,649 words
+    by = mixing.mix_documents(documents(spark, rows), mix).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).toPandas().set_index("source")
+    assert by.target["one"] == 3 and by.target["small"] == 39 and by.target["middle"] == 4500
+    assert by.taken["one"] == 3 and by.taken["small"] == 39 and abs(by.taken["middle"] - 4500) <= 4500 / 64 and abs(by.taken["large"] - by.target["large"]) <= 15_649
     got = mixing.mixed_corpus(documents(spark, rows), mix).groupBy("source").agg(F.sum(common.n_words(F.col("text"))).alias("words")).toPandas().set_index("source").words
-    assert got["small"] == 600 and abs(got["large"] - (100_200 - 600)) <= 1566
+    assert got["one"] == 3 and got["small"] == 39 and abs(got["middle"] - 4500) <= 100 and abs(got["large"] - by.target["large"]) <= 40_000
+
+
+def test_shards_get_their_quotas_of_blocks(spark):
+    """With documents of a block each, a document's shards are those of its block's seats; shards differ by one seat."""
+    rows = [(i, "w " * 16, f"s{i % 2}") for i in range(400)]
+    mix = mixing.Mix(shards=8, weights=(1, 1))
+    got = mixing.mix_documents(documents(spark, rows), mix).toPandas()
+    seats = collections.Counter(x for s in got.shards if s for x in s.split(","))
+    assert sum(seats.values()) == 400 and max(seats.values()) - min(seats.values()) <= 1 and len(seats) == 8
+    assert ((got.taken > 0) == (got.shards != "")).all()
 
 
 # Components ------------------------------------------------------------------------------------------------------

@@ -127,6 +127,14 @@ def with_id_of(out: DataFrame, df: DataFrame, column: str = "doc_id") -> DataFra
     return out.withColumn(column, F.col(f"`{column}`").cast(df.schema[column].dataType))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 FILTER_BITS = 1 << 24
 
 

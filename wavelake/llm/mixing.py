@@ -4,8 +4,13 @@ Every source's documents lie on a token line of their own, in a seeded random or
 blocks of equal size. Seats (one block each) go to the sources by the highest quotients target / (2k + 1). The
 method never takes a seat back as the house grows, so the k-th stretch of seats, in the order of award, is the
 quota of output shard k: integers for each shard that sum to the apportionment of the whole. Source s fills its
-j-th seat with the block at place j modulo its number of blocks, in a seeded order of its blocks; a source that
-is to be repeated is thus passed over again before any block is taken a third time.
+j-th seat, and with it a place in the seat's shard, with the block at place j modulo its number of blocks, in a
+seeded order of its blocks; a source that is to be repeated is thus passed over again before any block is taken a
+third time.
+
+One size of block would leave small sources without a seat. So a source whose target has under SEATS blocks gets
+blocks of half, a quarter, ... of the size, and the sources of one size of block share a house of their own, which
+their targets fill. A source misses its target by about a block, so by 1 / SEATS of it at most.
 """
 
 from __future__ import annotations
@@ -15,23 +20,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bind, durable, n_words, seeded
+from .common import bind, durable, free_name, n_words, seeded
 
 
 @dataclass(frozen=True)
 class Mix:
     """Parameters of a mix.
 
-    block_tokens: smallest block; max_blocks: bound on the number of blocks of the whole mix, beyond which blocks
-    grow (so the tables of seats and blocks stay within max_blocks + 3 per source, whatever the input);
-    buckets: pieces, even in size, into which each source's token line is cut for ordering; repeats: most times
-    that anything is taken; shards: output shards that get quotas; weights: cycled over the sources in order.
+    block_tokens: smallest block of large sources; max_blocks: blocks of the whole mix beyond which these grow (so
+    the tables of seats and blocks stay within max_blocks and some hundred per source, whatever the input; what
+    sources miss their targets by is bounded by SEATS alone); bucket_rows: documents, about, of a stretch of a
+    source's token line that is ordered in one task; repeats: most times that anything is taken; shards: output
+    shards that get quotas; weights: cycled over the sources in order.
     """
 
     seed: str = "mix-1"
     block_tokens: int = 16
     max_blocks: int = 65536
-    buckets: int = 512
+    bucket_rows: int = 20_000
     repeats: int = 3
     shards: int = 64
     weights: tuple[int, ...] = (1, 2, 3)
@@ -64,13 +70,24 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _line(docs: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, size, source key, place in the seeded order and bucket, a durable table of a few bytes a row: texts are read and counted once."""
+    """doc_id, size, source key, place in the seeded order and bucket, a durable table of a few bytes a row: texts are read and counted once. Buckets are stretches of places, so their number changes no order."""
     place = seeded(mix.seed, F.col("doc_id"))
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return durable(
-        slim.select("doc_id", "size", F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"), place.alias("place"))
-        .withColumn("bucket", F.conv(F.substring("place", 1, 6), 16, 10).cast("int") % mix.buckets)
-    )
+    line = durable(slim.select("doc_id", "size", F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"), place.alias("place")))
+    bits = min(24, max(5, (line.count() // mix.bucket_rows).bit_length()))
+    return line.withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 6), 16, 10).cast("int"), 24 - bits))
+
+
+#: Blocks that a source's target has at least, but for blocks of one word; and how often a block may be halved for that.
+SEATS, HALVINGS = 64, 48
+
+
+def _block_size(mix: Mix) -> Column:
+    """Of a source, from its target and all words: the same for all but small sources."""
+    whole = F.greatest(F.lit(mix.block_tokens), F.ceil(F.col("total") / mix.max_blocks)).cast("long")
+    enough = lambda j: F.col("target") * F.pow(F.lit(2.0), j) >= SEATS * whole
+    halved = F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(0), F.lit(HALVINGS)), enough), F.lit(1)), F.lit(HALVINGS))
+    return F.greatest(F.lit(1), F.floor(whole / F.pow(F.lit(2.0), halved))).cast("long")
 
 
 KEY = ["source_key", "source_null"]
@@ -85,7 +102,7 @@ def plan(line: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     cells = line.groupBy(*KEY, "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     sources = targets(cells.groupBy(*KEY).agg(F.sum("words").alias("source_size"), F.sum("n").alias("source_docs")), mix)
     sources = (
-        sources.withColumn("block_size", F.greatest(F.lit(mix.block_tokens), F.ceil(F.col("total") / mix.max_blocks)).cast("long"))
+        sources.withColumn("block_size", _block_size(mix))
         .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_size")).cast("long"))
         .select(*KEY, "source_no", "source_size", "source_docs", "target", "total", "block_size", "blocks")
     )
@@ -93,14 +110,14 @@ def plan(line: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     spans = cells.withColumn("first", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("n")
     buckets = spans.join(sources, KEY)
     # No source can be awarded more seats than its target's share rounded up by a margin, nor more than its cap.
-    house = F.round(F.col("total") / F.col("block_size")).cast("long")
+    house = F.round(F.sum("target").over(Window.partitionBy("block_size")) / F.col("block_size")).cast("long")
     most = F.least(F.ceil(F.col("target") / F.col("block_size")) + 2, F.col("blocks") * mix.repeats).cast("long")
-    awarded = Window.partitionBy().orderBy(F.desc("quotient"), "source_no")
+    awarded = Window.partitionBy("block_size").orderBy(F.desc("quotient"), "source_no")
     seats = (
-        sources.filter("blocks > 0")
+        sources.withColumn("house", house)
+        .filter("blocks > 0")
         .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
         .withColumn("quotient", F.col("target") / (2 * F.col("k") + 1))
-        .withColumn("house", house)
         .withColumn("award", F.row_number().over(awarded) - 1)
         .filter("award < greatest(house, 1)")
         .withColumn("shard", F.floor(F.col("award") * mix.shards / F.greatest("house", F.lit(1))).cast("int"))
@@ -129,16 +146,18 @@ def _mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of _line with source_size, source_docs, target, block_size and taken."""
     line = _line(docs, mix)
     buckets, seats = plan(line, mix)
-    takes = seats.groupBy(*KEY, "block").agg(F.count("k").alias("takes"))
+    takes = seats.groupBy(*KEY, "block").agg(F.count("k").alias("takes"), F.sort_array(F.collect_set("shard")).alias("shards"))
     # Each bucket needs the blocks that its stretch of the line touches.
     touched = buckets.withColumn("first_block", F.floor(F.col("first") / F.col("block_size")).cast("long")).withColumn(
         "block", F.explode(F.sequence(F.col("first_block"), F.floor((F.col("first") + F.col("words")) / F.col("block_size")).cast("long")))
     )
-    listed = F.array_sort(F.collect_list(F.struct("block", F.coalesce("takes", F.lit(0)).alias("takes"))))
+    listed = F.array_sort(F.collect_list(F.struct("block", F.coalesce("takes", F.lit(0)).alias("takes"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))))
     cells = (
         touched.join(takes, [*KEY, "block"], "left")
         .groupBy(*KEY, "bucket", "first", "first_block", "block_size", "source_size", "source_docs", "target")
-        .agg(listed.getField("takes").alias("takes"))
+        .agg(listed.alias("listed"))
+        .withColumns({"takes": F.col("listed.takes"), "shards": F.col("listed.shards")})
+        .drop("listed")
         .withColumn(
             "taken_before",
             F.aggregate("takes", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))),
@@ -153,16 +172,25 @@ def _mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     return placed.withColumn("taken", (_between(F.col("end")) - _between(F.col("begin"))).cast("long"))
 
 
+def _shards() -> Column:
+    """The output shards that hold words of a document, joined by ','; empty if none does."""
+    first = (F.floor(F.col("begin") / F.col("block_size")) - F.col("first_block") + 1).cast("int")
+    last = (F.floor((F.col("end") - 1) / F.col("block_size")) - F.col("first_block") + 1).cast("int")
+    touched = F.when(F.col("size") > 0, F.array_sort(F.array_distinct(F.flatten(F.slice("shards", first, last - first + 1)))))
+    return F.coalesce(F.array_join(touched, ","), F.lit(""))
+
+
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, shards.
 
     size counts words; taken counts the words that the mix takes from the document, repeats included, and is at
-    most ``repeats`` times its size. Null and empty texts have size 0 and nothing is taken from them. A null
+    most ``repeats`` times its size; shards are the numbers of the output shards that they go to, joined by ','.
+    A very long text lies on many blocks, of which any may be taken. Null and empty texts have size 0 and nothing is taken from them. A null
     source is a source of its own, ordered last. Documents with equal ids are told apart by size only, so equal
     rows may swap what they are given, not change it. Only doc_id, source and text are read. An empty table, or
     one without words, gives no seats.
     """
-    return _mixed(docs, mix).select("doc_id", F.when(~F.col("source_null"), F.col("source_key")).alias("source"), "size", "source_size", "target", "taken")
+    return _mixed(docs, mix).select("doc_id", F.when(~F.col("source_null"), F.col("source_key")).alias("source"), "size", "source_size", "target", "taken", _shards().alias("shards"))
 
 
 def shard_quotas(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -173,9 +201,6 @@ def shard_quotas(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 #: Documents, about, whose whole numbers of copies are settled together.
 SETTLED = 2048
-#: Sources whose targets are under so many blocks are mixed by their share of words, not by blocks, which would miss
-#: the target by up to a block, or leave the source out.
-PART_BLOCKS = 64
 
 
 def mixed_corpus(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -184,13 +209,13 @@ def mixed_corpus(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     A document is to come taken / size times. Within pieces of about SETTLED documents of a source, dealt by a hash,
     the largest are settled first: each comes a whole number of times, at random one of the two nearest, and what it
     takes too much or too little is made good by those after it. So a piece misses its words by about its smallest
-    documents. Where blocks are coarse for a source, each document is due its share of the target. Rows with equal doc_ids share what all of them are given; documents without words are left out.
+    documents. Rows with equal doc_ids share what all of them are given; documents without words are left out; a
+    null source is a source; an empty table gives an empty one. Other columns may have any names.
     """
     piece = F.conv(F.substring("place", 9, 8), 16, 10).cast("long") % F.ceil(F.col("source_docs") / SETTLED)
     chance = F.conv(F.substring("place", 17, 8), 16, 10).cast("double") / 2.0**32
     one = F.struct((-F.col("size")).alias("order"), "place", "doc_id", "size", "taken", chance.alias("chance"))
-    share = F.when(F.col("target") < PART_BLOCKS * F.col("block_size"), F.col("size") * F.col("target") / F.col("source_size")).otherwise(F.col("taken").cast("double"))
-    pieces = _mixed(docs, mix).filter("size > 0").withColumn("taken", share).groupBy(*KEY, piece.alias("piece")).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    pieces = _mixed(docs, mix).filter("size > 0").groupBy(*KEY, piece.alias("piece")).agg(F.array_sort(F.collect_list(one)).alias("all"))
 
     def settle(state: Column, x: Column) -> Column:
         wanted = (state["owed"] + x["taken"]) / x["size"]
@@ -201,8 +226,9 @@ def mixed_corpus(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<int>").alias("times"))
     settled = pieces.select(F.explode(F.arrays_zip(F.col("all.doc_id").alias("doc_id"), F.aggregate("all", start, settle, lambda x: x["times"]).alias("times"))).alias("x"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N"))
-    times = settled.select("x.*").groupBy(key.alias("__mix_id")).agg(F.round(F.avg("times")).cast("int").alias("__times")).filter("__times > 0")
-    several = docs.withColumn("__mix_id", key).join(times, "__mix_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    id_, times_, copy = (free_name(docs, x) for x in ("__mix_id", "__times", "__copy"))
+    times = settled.select("x.*").groupBy(key.alias(id_)).agg(F.round(F.avg("times")).cast("int").alias(times_)).filter(F.col(times_) > 0)
+    several = docs.withColumn(id_, key).join(times, id_).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times_))))
     return several.filter(n_words(F.col("text")) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -219,14 +245,17 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 src AS (SELECT *, [{", ".join(map(str, mix.weights))}][(no % {len(mix.weights)} + 1)::INT] AS weight FROM
   (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source)),
 {rounds},
-bl AS (SELECT *, greatest({mix.block_tokens}, ceil(total / {mix.max_blocks}))::BIGINT AS b FROM tg),
-bs AS (SELECT *, ceil(source_size / b)::BIGINT AS nb, round(total / b)::BIGINT AS house FROM bl),
+b0 AS (SELECT *, greatest({mix.block_tokens}, ceil(total / {mix.max_blocks}))::BIGINT AS b0 FROM tg),
+bl AS (SELECT *, greatest(1, floor(b0 / pow(2.0, coalesce(list_filter(range(0, {HALVINGS + 1}), lambda j: target * pow(2.0, j) >= {SEATS} * b0)[1], {HALVINGS}))))::BIGINT AS b FROM b0),
+bs AS (SELECT *, ceil(source_size / b)::BIGINT AS nb, round(sum(target) OVER (PARTITION BY b) / b)::BIGINT AS house FROM bl),
 cand AS (SELECT *, unnest(range(0, least(ceil(target / b) + 2, nb * {mix.repeats})::BIGINT)) AS k FROM bs),
-seat AS (SELECT * FROM cand QUALIFY row_number() OVER (ORDER BY target / (2 * k + 1) DESC, no) <= greatest(house, 1)),
+aw AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY target / (2 * k + 1) DESC, no) - 1 AS award FROM cand WHERE nb > 0),
+seat AS (SELECT *, (award * {mix.shards}) // greatest(house, 1) AS shard FROM aw WHERE award < greatest(house, 1)),
 blk AS (SELECT no, block, row_number() OVER (PARTITION BY no ORDER BY md5('{mix.seed}|block|' || no || '|' || block), block) - 1 AS p FROM (SELECT no, unnest(range(0, nb)) AS block FROM bs)),
-taken AS (SELECT seat.no, blk.block, count(*) AS n FROM seat JOIN blk ON blk.no = seat.no AND blk.p = seat.k % seat.nb GROUP BY 1, 2),
+taken AS (SELECT seat.no, blk.block, count(*) AS n, list(shard) AS sh FROM seat JOIN blk ON blk.no = seat.no AND blk.p = seat.k % seat.nb GROUP BY 1, 2),
 line AS (SELECT doc_id, size, source_size, target, bs.no, b, sum(size) OVER w AS e FROM d JOIN bs ON bs.source IS NOT DISTINCT FROM d.source
-  WINDOW w AS (PARTITION BY bs.no ORDER BY ('0x' || substr(place, 1, 6))::BIGINT % {mix.buckets}, place, doc_id, size ROWS UNBOUNDED PRECEDING)),
+  WINDOW w AS (PARTITION BY bs.no ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING)),
 cut AS (SELECT *, row_number() OVER () AS r, unnest(range((e - size)::BIGINT // b, e::BIGINT // b + 1)) AS block FROM line)
-SELECT doc_id, size, source_size, target, sum(coalesce(n, 0) * greatest(0, least(e, (cut.block + 1) * b) - greatest(e - size, cut.block * b)))::BIGINT AS taken
+SELECT doc_id, size, source_size, target, sum(coalesce(n, 0) * greatest(0, least(e, (cut.block + 1) * b) - greatest(e - size, cut.block * b)))::BIGINT AS taken,
+  coalesce(array_to_string(list_sort(list_distinct(flatten(list(sh) FILTER (size > 0 AND cut.block * b < e)))), ','), '') AS shards
 FROM cut LEFT JOIN taken ON taken.no = cut.no AND taken.block = cut.block GROUP BY doc_id, size, source_size, target, cut.no, e"""

@@ -11,7 +11,7 @@ from .common import read
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
