@@ -390,11 +390,11 @@ def test_runs_are_compared_block_against_block(spark, monkeypatch):
         own = np.arange(100, dtype=np.int32)
         own[rng.choice(100, 11, replace=False)] = 1000 + 20 * i + np.arange(11)
         sets.append(own)
-    rows = [(key, f"t{i:03}", 100, f"t{i:03}") for key in (1, 2, 3) for i in range(len(sets)) if key < 3 or i < 40]
-    listed = spark.createDataFrame([(f"t{i:03}", s.tolist()) for i, s in enumerate(sets)], "id string, s array<int>")
-    links = simhash._linked_runs(spark.createDataFrame(rows, "key long, id string, n long, root string"), listed, 0.8)
+    rows = [(key, i, 100, i) for key in (1, 2, 3) for i in range(len(sets)) if key < 3 or i < 40]
+    listed = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "no long, s array<int>")
+    links = simhash._linked_runs(spark.createDataFrame(rows, "key long, no long, n long, root long"), listed, 0.8)
     got = {r.node: r.root for r in components.connected_components(links).collect()}
-    assert got == {f"t{i:03}": "t000" for i in range(len(sets))}
+    assert got == {i: 0 for i in range(len(sets))}
 
 
 def test_a_hub_joins_the_variants_of_a_long_run(spark):
@@ -421,7 +421,7 @@ def test_near_copies_of_every_kind_of_edit(spark):
         for p in rng.choice(np.arange(2, n - 2), max(1, n // 47), replace=False):
             other[p] = f"y{k}_{p}"
         rows += [(2 * k, " ".join(own), "s"), (2 * k + 1, " ".join([own[: n - cut], own[cut:], other][k % 3]), "s")]
-    sets = [set(simhash._shingle_set(r[1], 5).tolist()) for r in rows]
+    sets = [set(simhash.shingles(r[1].encode().split(), 5)) for r in rows]
     similar = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
     want = [i for i in range(480) if i % 2 == 0 or not similar[i // 2]]
     assert sum(similar) > 200 and sorted(r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()) == want
@@ -433,8 +433,8 @@ def test_similar_sets_share_a_key(a, b, often):
     common, seen = np.array(sorted(often), np.uint64), np.arange(3, 3 + len(often))
     keys = [set(simhash.prefix(np.array(sorted(x), np.uint64) + np.uint64(1), 0.8, common, seen).tolist()) for x in (a, b)]
     assert keys[0] & keys[1] or len(a & b) < 0.8 * len(a | b)
-    x, y = (simhash.sketch(mix64(np.array(sorted(s), np.uint64))) for s in (a, b))
-    assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(a ^ b)
+    x, y = (simhash.sketch(simhash.short(mix64(np.array(sorted(s), np.uint64))))[None, :] for s in (a, b))
+    assert 0 <= simhash.differences(x, y, np.array([len(a ^ b)]))[0] <= len(a ^ b)
 
 
 def test_near_copies_with_repeated_shingles(spark):
@@ -444,9 +444,46 @@ def test_near_copies_with_repeated_shingles(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()) == [1, 3]
 
 
-def test_similar_within_compares_all_pairs():
-    sets = [np.arange(0, 100), np.arange(5, 105), np.arange(50, 150), np.arange(1000, 1100), np.arange(1000, 1099), np.empty(0, np.int64)]
-    assert simhash.similar_within(sets, 0.8).tolist() == [0, 0, 2, 3, 3, 5]
+def test_sketches_of_two_sizes_are_folded():
+    rng = np.random.default_rng(11)
+    a = np.unique(rng.integers(0, 1 << 32, 1100).astype(np.uint32))
+    b = np.union1d(a[:1000], rng.integers(0, 1 << 32, 20).astype(np.uint32))
+    x, y = simhash.sketch(a), simhash.sketch(b)
+    assert len(x) == 2 * len(y) and simhash.differences(simhash.folded(x[None, :], len(y)), y[None, :], np.array([len(np.setxor1d(a, b))]))[0] > 0
+
+
+def test_pigeonring_prunes_nothing_within_the_budget():
+    rng = np.random.default_rng(12)
+    a = rng.integers(-(1 << 62), 1 << 62, (500, 16))
+    b = a.copy()
+    for i in range(500):
+        for bit in rng.choice(1024, i % 130, replace=False):
+            b[i, bit // 64] ^= np.int64(1) << np.int64(bit % 64)
+    assert simhash.differences(a, b, np.full(500, 100.0)).tolist() == [i % 130 if i % 130 <= 100 else -1 for i in range(500)]
+
+
+def test_links_between_blocks_join_all_similar_sets():
+    rng = np.random.default_rng(13)
+    sets = []
+    for k in range(120):
+        base = np.arange(1000 * (k // 6), 1000 * (k // 6) + 60 + 600 * (k % 4 == 0))
+        sets.append(np.unique(np.where(rng.random(len(base)) < 0.06, rng.integers(0, 1 << 30, len(base)), base)).astype(np.uint32))
+    similar = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    root = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if similar(sets[i], sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    a, b = (lambda: simhash.Block(list(range(60)), sets[:60], list(range(60)))), (lambda: simhash.Block(list(range(60, 120)), sets[60:], list(range(60, 120))))
+    x, y = a(), b()
+    found = [*simhash.links_between(x, x, 0.8), *simhash.links_between(y, y, 0.8), *simhash.links_between(a(), b(), 0.8)]
+    label = list(range(120))
+    for i, j in found:
+        assert similar(sets[i], sets[j])
+        old, new = max(label[i], label[j]), min(label[i], label[j])
+        label = [new if r == old else r for r in label]
+    assert label == root and len(set(root)) < 100
 
 
 # Media -----------------------------------------------------------------------------------------------------------

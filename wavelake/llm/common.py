@@ -149,10 +149,11 @@ def split_by(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, Dat
 
     The bitmap is broadcast: its size is bounded by FILTER_BITS. Full, it lets all rows through to the join.
     """
+    bucket, bit, bits = (free_name(df, c) for c in ("__bucket", "__bit", "__bits"))
     at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
-    joined = df.withColumn("__bucket", F.bitmap_bucket_number(at)).withColumn("__bit", F.bitmap_bit_position(at)).join(F.broadcast(bitmap), "__bucket", "left")
-    byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))
+    joined = df.withColumn(bucket, F.bitmap_bucket_number(at)).withColumn(bit, F.bitmap_bit_position(at)).join(F.broadcast(bitmap.toDF(bucket, bits)), bucket, "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1, F.lit(False))
     columns = [F.col(f"`{c}`") for c in df.columns]
     return joined.filter(hit).select(*columns), joined.filter(~hit).select(*columns)
 

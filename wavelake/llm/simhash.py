@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Interned, durable, fold, id_text, members, mix64, slices, split_by, with_id_of
+from .common import U64, Interned, durable, fold, free_name, id_text, members, mix64, slices, split_by, with_id_of
 from .components import connected_components
 
 BITS = 64
@@ -135,7 +135,7 @@ SAMPLE, COMMON_SEEN, COMMON = 8192, 3, 1 << 16
 #: Neighbours in a run of one key that a document is compared with at first. Up to FEW near ones are all checked; of
 #: more, the NEAREST ones, and the documents for which some were passed over are compared again under that key, block
 #: against block, a block being about so many documents and shingles at most.
-WINDOW, FEW, NEAREST, BLOCK, BLOCK_SHINGLES = 48, 12, 3, 1024, 2_000_000
+WINDOW, FEW, NEAREST, BLOCK, BLOCK_SHINGLES = 48, 12, 3, 2048, 4_000_000
 
 
 def shingle_hashes(texts: list, n: int) -> list[np.ndarray]:
@@ -167,21 +167,56 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarra
     return h[:first]
 
 
-def _shingle_set(text: object, n: int) -> np.ndarray:
-    """32-bit hashes, each once: sets are compared two at a time, so a chance collision counts for little."""
-    return np.unique(np.array([xxhash.xxh32_intdigest(s, 42) for s in shingles(fold(text), n)], np.uint32))
+def short(h: np.ndarray) -> np.ndarray:
+    """32 bits of each hash, each once and in order, which halves what is exchanged. Of n shingles about n**2 / 2**33 meet another one by chance: a text of 2,000 words has one such in a thousand times."""
+    return np.unique((h >> U64(32)).astype(np.uint32))
 
 
-SKETCH_BITS = 512
+SKETCH_BITS, SEGMENTS = 512, 8
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parities of how many hashes fall to each of SKETCH_BITS bits, as longs. Two sets differ in at least as many
-    elements as their sketches do in bits: what both have cancels out."""
-    parity = np.bincount((h >> U64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    """Parities of how many short hashes fall to each bit, as longs: as many bits as shingles at least, a power of two.
+
+    Two sets differ in at least as many elements as their sketches do in bits: what both have cancels out.
+    """
+    bits = max(SKETCH_BITS, 1 << max(0, len(h) - 1).bit_length())
+    parity = np.bincount(h.astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def folded(sketches: np.ndarray, longs: int) -> np.ndarray:
+    """Sketches, a row each, as they would be with so many longs: bits that a smaller sketch has in one place are added up."""
+    while sketches.shape[1] > longs:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def budget(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """The most elements in which sets of these sizes differ if they have this Jaccard similarity."""
+    return np.floor((na + nb) * (1 - similarity) / (1 + similarity) + 1e-6)
+
+
+def differences(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """In how many bits sketches differ, row against row (or one against all); -1 where the pigeonring, or then the full count, shows that it is more than ``most``.
+
+    The SEGMENTS segments lie in a ring; if the whole is within its budget, then from some segment on every chain of
+    consecutive ones is within its share of it.
+    """
+    x = a ^ b
+    d = np.bitwise_count(x.view(U64)).reshape(len(x), SEGMENTS, -1).sum(2, dtype=np.int64)
+    share, live = most / SEGMENTS, np.zeros(len(x), bool)
+    for i in range(SEGMENTS):
+        chain, holds = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+        for length in range(1, SEGMENTS):
+            chain = chain + d[:, (i + length - 1) % SEGMENTS]
+            holds &= chain <= length * share
+        live |= holds
+    total = np.where(live, d.sum(1), -1)
+    return np.where(total <= most, total, -1)
+
+
 def _near_in_runs(keys: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows sorted by key, then size; pos: the key's place in the text's order. Pairs of rows to be checked, and rows that have to come again.
 
@@ -244,26 +279,47 @@ def _common_shingles(docs: DataFrame, texts: DataFrame, words: int) -> tuple[np.
     return h[order], c[order]
 
 
-def shingle_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """texts: (id, text); ids: (id). The hashes of the word shingles, each once, of every text that is asked for."""
+def _near_by_sketch(found: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
+    """found: (a, b); every: (no, n, sketch). The pairs, with the bits in which their sketches differ, that the sketches leave possible."""
+    named = every.select("no", "n", "sketch")
+    both = found.join(named.toDF("a", "na", "sa"), "a").join(named.toDF("b", "nb", "sb"), "b")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            most = budget(batch.na.to_numpy(), batch.nb.to_numpy(), similarity)
+            differ = np.full(len(batch), -1, np.int64)
+            la, lb = (batch[c].map(len).to_numpy() for c in ("sa", "sb"))
+            for x, y in set(zip(la.tolist(), lb.tolist(), strict=True)):
+                at = np.flatnonzero((la == x) & (lb == y))
+                a, b = (folded(np.stack(list(batch[c].iloc[at])), min(x, y)) for c in ("sa", "sb"))
+                differ[at] = differences(a, b, most[at])
+            yield batch[["a", "b"]].assign(differ=differ)[differ >= 0]
+
+    return both.mapInPandas(near, "a long, b long, differ long")
+
+
+def shingle_sets(texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """texts: (id, text); asked: (no, id). (no, s): the short hashes of the word shingles of every text that is asked for."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch.id, "s": [_shingle_set(t, words).view(np.int32) for t in batch.text]})
+            for a, b in slices([len(t) // 6 + 1 for t in batch.text], BATCH_WORDS):
+                part = batch.iloc[a:b]
+                yield pd.DataFrame({"no": part.no.array, "s": [short(h).view(np.int32) for h in shingle_hashes(list(part.text), words)]})
 
-    likely, _ = split_by(texts, "id", members(ids, "id"))
-    return likely.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id string, s array<int>")
+    likely, _ = split_by(texts, "id", members(asked, "id"))
+    return likely.join(asked, "id").dropDuplicates(["no"]).select("no", "text").mapInPandas(sets, "no long, s array<int>")
 
 
 def similar_pairs(listed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """listed: (id, s); pairs: (a, b). The pairs whose sets of word shingles have at least this Jaccard similarity."""
-    both = pairs.join(listed.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(listed.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    """listed: (no, s); pairs: (a, b). The pairs whose sets of word shingles have at least this Jaccard similarity."""
+    both = pairs.join(listed.toDF("a", "sa"), "a").join(listed.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def linking_pairs(listed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """listed: (id, s); pairs: (a, b, differ). Similar pairs that join all that the similar pairs among these join.
+    """listed: (no, s); pairs: (a, b, differ). Similar pairs that join all that the similar pairs among these join.
 
     Of each text its likeliest pair is checked first; pairs within one group need no check after that.
     """
@@ -274,82 +330,108 @@ def linking_pairs(listed: DataFrame, pairs: DataFrame, similarity: float) -> Dat
     return durable(first.union(similar_pairs(listed, apart, similarity)))
 
 
-def similar_within(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The smallest index that each set is linked with, over links of at least this Jaccard similarity, all pairs compared.
-
-    Intersections are counted as products of 0/1 matrices, some thousand shingles at a time.
-    """
-    n, sizes = len(sets), np.array([len(s) for s in sets])
-    shingle, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), sizes)
-    shared = np.cumsum(count > 1) - 1
-    use = count[place] > 1
-    row, column = row[use], shared[place[use]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((n, n), np.float32)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        i, j = np.searchsorted(column, (a, a + 4096))
-        m = np.zeros((n, min(4096, int(column[-1]) + 1 - a)), np.float32)
-        m[row[i:j], column[i:j] - a] = 1
-        common += m @ m.T
-    linked = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
-    np.fill_diagonal(linked, True)
-    label = np.arange(n)
-    while True:
-        new = np.where(linked, label[None, :], n).min(1)
-        if (new == label).all():
-            return label
-        label = new
+class Block:
+    """Sets of short hashes, with their sketches by size, and the groups that their texts are known to be of."""
+
+    def __init__(self, nos: list[int], sets: list[np.ndarray], roots: list[int]) -> None:
+        self.nos, self.sets, self.label = nos, sets, np.array(roots, np.int64)
+        self.size = np.array([len(x) for x in sets], np.int64)
+        sketches = [sketch(x) for x in sets]
+        longs = np.array([len(x) for x in sketches], np.int64)
+        self.own = sketches
+        self.classes = {int(k): (at := np.flatnonzero(longs == k), np.stack([sketches[i] for i in at])) for k in np.unique(longs)}
+
+    def near(self, s: np.ndarray, size: int, label: int, similarity: float, after: int) -> np.ndarray:
+        """Places beyond ``after`` of sets of other groups that may be similar to this one, the likeliest first."""
+        places, differ = [], []
+        for longs, (at, sketches) in self.classes.items():
+            use = (at > after) & (self.label[at] != label) & (np.minimum(size, self.size[at]) >= similarity * np.maximum(size, self.size[at]) - 1e-6)
+            if use.any():
+                k = min(longs, len(s))
+                d = differences(folded(s[None, :], k), folded(sketches[use], k), budget(self.size[at[use]], size, similarity))
+                places.append(at[use][d >= 0])
+                differ.append(d[d >= 0])
+        if not places:
+            return np.empty(0, np.int64)
+        return np.concatenate(places)[np.argsort(np.concatenate(differ), kind="stable")]
+
+
+def links_between(a: Block, b: Block, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of numbers, one of each block, that join all sets of a and b which are similar and not of one group yet. a may be b."""
+    out = []
+    for i in range(len(a.nos)):
+        left = b.near(a.own[i], a.size[i], a.label[i], similarity, i if a is b else -1)
+        while len(left):
+            j, left = left[0], left[1:]
+            common = len(np.intersect1d(a.sets[i], b.sets[j], assume_unique=True))
+            if common >= similarity * (a.size[i] + b.size[j] - common) - 1e-9:
+                out.append((a.nos[i], b.nos[j]))
+                old, new = b.label[j], a.label[i]
+                for block in {id(a): a, id(b): b}.values():
+                    block.label[block.label == old] = new
+                left = left[b.label[left] != new]
+    return out
 
 
 def _linked_runs(rows: DataFrame, listed: DataFrame, similarity: float) -> DataFrame:
-    """rows: (key, id, n, root), root being the group that the text is known to be of; listed: (id, s). Links (a, b) that
+    """rows: (key, no, n, root), root being the group that the text is known to be of; listed: (no, s). Links (a, b) that
     join all texts of one key that are similar and not yet of one group.
 
     A key's run is dealt by a hash into blocks, and every two of them meet in a task of their own; so every pair of
-    a run is compared, however long it is. Runs of one group need no more comparing, and of runs with the same texts
-    one is enough.
+    a run is compared, however long it is, and a task holds two blocks. Runs of one group need no comparing, and of
+    runs with the same texts one is enough.
     """
-    h = F.xxhash64("id")
-    runs = rows.groupBy("key").agg(F.count("id").alias("c"), F.sum("n").alias("words"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    h = F.xxhash64("no")
+    runs = rows.groupBy("key").agg(F.count("no").alias("c"), F.sum("n").alias("words"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("no", F.lit(1))).alias("y"))
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("words") / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
     runs = runs.filter("lo < hi").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.first(blocks).alias("blocks"))
     placed = rows.join(runs.select("key", "blocks"), "key").withColumn("block", F.pmod(h, F.col("blocks")).cast("int"))
-    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    met = F.when(F.col("blocks") == 1, F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))).otherwise(others)
-    pairs = placed.join(listed, "id").select("key", "id", "root", "s", F.explode(met).alias("m")).select("key", "m.i", "m.j", "id", "root", "s")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
+    pairs = placed.join(listed, "no").select("key", "no", "root", "block", "s", F.explode(met).alias("m")).select("key", "m.i", "m.j", "block", "no", "root", "s")
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ids, sets, roots = None, [], [], set()
+        at, held = None, {}
 
         def out() -> pd.DataFrame:
-            label = similar_within(sets, similarity) if len(roots) > 1 else []
-            return pd.DataFrame([(ids[r], ids[i]) for i, r in enumerate(label) if r != i], columns=["a", "b"])
+            made = [Block(*x) for x in held.values()]
+            return pd.DataFrame(links_between(made[0], made[-1], similarity) if len(made) == (1 if not at or at[1] == at[2] else 2) else [], columns=["a", "b"])
 
         for batch in batches:
-            for k, i, j, id_, root, s in zip(batch.key, batch.i, batch.j, batch.id, batch.root, batch.s, strict=True):
+            for k, i, j, block, no, root, s in zip(batch.key, batch.i, batch.j, batch.block, batch.no, batch.root, batch.s, strict=True):
                 if (k, i, j) != at:
-                    yield out()
-                    at, ids, sets, roots = (k, i, j), [], [], set()
-                ids.append(id_)
-                sets.append(np.asarray(s))
-                roots.add(root)
-        yield out()
-
-    found = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInPandas(linked, "a string, b string")
+                    if held:
+                        yield out()
+                    at, held = (k, i, j), {}
+                nos, sets, roots = held.setdefault(block, ([], [], []))
+                nos.append(no)
+                sets.append(np.asarray(s).view(np.uint32))
+                roots.append(root)
+        if held:
+            yield out()
+
+    found = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "no").mapInPandas(linked, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows: (key, no, n). Those of keys whose texts are not all of one group yet, with their groups."""
+    rooted = rows.join(connected_components(edges).withColumnRenamed("node", "no"), "no", "left").select("key", "no", "n", F.coalesce("root", "no").alias("root"))
+    still = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("no").alias("c")).filter("lo < hi").select("key", "c")
+    return durable(rooted.join(still, "key"))
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(text_key, root): for every distinct text, the text that stands for its group.
-
-    Texts are keyed by MD5. Texts that share one of the first shingles of their orders (see prefix) are candidates,
-    which leaves out no pair that is similar enough; bounds by size, place and sketch prune them, and the exact Jaccard
-    similarity of their word shingles decides. Where very many texts share a key, a text is checked against the NEAREST of the next WINDOW ones. Texts
-    for which pairs were passed over are then compared under that key, block against block, unless the whole run is
-    known to be one group by now; only what joins them leaves the task. So no pairs of a large group are ever
-    listed, and none is left out. Texts without words, null or not, are one group.
+    """(text_key, root): for every distinct text (by MD5), the number that stands for its group.
+
+    Texts that share one of the first shingles of their orders (see prefix) are candidates, which leaves out no pair
+    that is similar enough. Bounds by size and place prune them, then the sketches, by pigeonring before the full count
+    of bits; the Jaccard similarity of the sets of word shingles decides. Where very many texts share a key, a text is
+    checked against the NEAREST of the next WINDOW ones. Texts for which pairs were passed over are then compared
+    under their longest key, and under all other keys whose texts are not one group by then, block against block;
+    only what joins them leaves the task. So no pairs of a large group are ever listed, and none is left out.
+
+    Texts without words, null or not, are one group; texts of fewer words than a shingle are compared whole. Long
+    texts are handled whole. An empty table gives an empty one.
     """
     key = F.md5(F.coalesce("text", F.lit("")))
     texts = docs.select(key.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -361,46 +443,50 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             for a, b in slices([len(t) // 6 + 1 for t in batch.text], BATCH_WORDS):
                 part = batch.iloc[a:b]
                 own = shingle_hashes(list(part.text), words)
-                yield pd.DataFrame({"id": part.id.array, "n": [len(h) for h in own], "sketch": [sketch(h) for h in own], "keys": [prefix(h, similarity, common, seen).view(np.int64) for h in own]})
+                sets = [short(h) for h in own]
+                yield pd.DataFrame({"id": part.id.array, "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "keys": [prefix(h, similarity, common, seen).view(np.int64) for h in own]})
 
     each = texts.mapInPandas(prefixes, "id string, n long, sketch array<long>, keys array<long>").groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
     every = durable(each.withColumn("no", F.monotonically_increasing_id()))
     found = durable(_candidates(every, similarity))
-    named = every.select("no", "id", "n", "sketch")
-    both = found.filter("b is not null").join(named.toDF("a", "ia", "na", "sa"), "a").join(named.toDF("b", "ib", "nb", "sb"), "b")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    pairs = durable(both.filter(differ * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6).select(F.col("ia").alias("a"), F.col("ib").alias("b"), differ.alias("differ")))
-    needed = durable(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    pairs = durable(_near_by_sketch(found.filter("b is not null").select("a", "b"), every, similarity))
+    named = every.select("no", "id")
+    needed = durable(pairs.select(F.col("a").alias("no")).union(pairs.select(F.col("b").alias("no"))).distinct().join(named, "no"))
     edges = linking_pairs(durable(shingle_sets(texts, needed, words)), pairs, similarity)
     again = found.filter("b is null").select("key", F.col("a").alias("no"))
     if again.limit(1).count():
-        rooted = every.select("no", "id", "n").join(again, "no").join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left")
-        rows = durable(rooted.select("key", "id", "n", F.coalesce("root", "id").alias("root")))
-        open_runs = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        asked = durable(rows.join(open_runs, "key", "left_semi").select("id").distinct())
-        edges = durable(edges.union(_linked_runs(rows, shingle_sets(texts, asked, words), similarity)))
+        rows = _rooted(every.select("no", "n").join(again, "no"), edges)
+        listed = durable(shingle_sets(texts, rows.select("no").distinct().join(named, "no"), words))
+        longest = rows.groupBy("no").agg(F.max(F.struct("c", "key"))["key"].alias("key"))
+        edges = durable(edges.union(_linked_runs(rows.join(longest, ["no", "key"]), listed, similarity)))
+        rows = _rooted(rows.select("key", "no", "n"), edges)
+        edges = durable(edges.union(_linked_runs(rows, listed, similarity)))
     linked = connected_components(edges)
-    return every.select(F.col("id").alias("text_key")).join(linked.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    return named.join(linked.withColumnRenamed("node", "no"), "no", "left").select(F.col("id").alias("text_key"), F.coalesce("root", "no").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with their columns, that stand for their group of near copies: the smallest doc_id stays.
 
-    Of rows with equal doc_id and texts in one group any one stays; null ids come last.
+    Null ids come last. Of rows with equal doc_id and text any one stays; rows with equal doc_ids and different texts
+    of one group are told apart by their texts. Null and empty texts are one group. Columns may have any names; an
+    empty table gives an empty one.
+
+    Only rows that go, and rows that come several times, are exchanged with their texts.
     """
     key = F.md5(F.coalesce("text", F.lit("")))
     groups = near_copies(docs, words, similarity)
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
     ids = docs.select(key.alias("text_key"), place.alias("place")).groupBy("text_key", "place").agg(F.count(F.lit(1)).alias("rows"))
-    placed = ids.join(groups, "text_key")
-    first = durable(placed.groupBy("root").agg(F.min(F.struct("place", "text_key", "rows")).alias("x"), F.sum("rows").alias("all")).filter(F.col("all") > 1))
-    # Only texts of groups with several rows have to be compared; the others stay, and are not exchanged.
-    shared = members(placed.join(first.select("root"), "root", "left_semi").select("text_key"), "text_key")
-    stays = first.select(F.col("x.text_key").alias("__key"), F.col("x.place.i").alias("__id"), F.col("x.rows").alias("__rows"))
-    some, alone = split_by(docs.withColumn("__key", key), "__key", shared)
+    placed = durable(ids.join(groups, "text_key"))
+    first = placed.groupBy("root").agg(F.min(F.struct("place", "text_key")).alias("x"), F.sum("rows").alias("all")).filter(F.col("all") > 1)
+    name = lambda text_key, doc_id: F.concat(text_key, F.lit("|"), F.coalesce(doc_id.cast("string"), F.lit("\\N")))
+    own = free_name(docs, "__own")
+    stays = F.struct("place", "text_key") == F.col("x")
+    decided = durable(placed.join(first, "root").filter(~stays | (F.col("rows") > 1)).select(name(F.col("text_key"), F.col("place.i")).alias(own), stays.alias("stays")))
+    gone, several = decided.filter(~F.col("stays")).select(own), decided.filter("stays").select(own)
+    some, rest = split_by(docs.withColumn(own, name(key, F.col("doc_id"))), own, members(decided, own))
+    left = some.join(gone, own, "left_anti")
+    once = left.join(several, own, "left_semi").dropDuplicates([own])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    groups_of = placed.join(first.select("root"), "root", "left_semi").select(F.col("text_key").alias("__key")).distinct()
-    kept = some.join(stays, "__key").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
-    repeated = kept.filter("__rows > 1").dropDuplicates(["__key"])
-    unlinked = some.join(groups_of, "__key", "left_anti")
-    return alone.select(*columns).union(unlinked.select(*columns)).union(kept.filter("__rows = 1").select(*columns)).union(repeated.select(*columns))
+    return rest.select(*columns).union(left.join(several, own, "left_anti").select(*columns)).union(once.select(*columns))
