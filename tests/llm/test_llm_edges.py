@@ -126,7 +126,9 @@ def test_shards_get_their_quotas_of_blocks(spark):
 # Components ------------------------------------------------------------------------------------------------------
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2200)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -425,6 +427,32 @@ def test_matrix_has_its_margins(spark):
     assert shards.max() - shards.min() <= 1 and columns.max() - columns.min() <= 1 and columns.sum() == 143
 
 
+def test_equal_rows_are_dealt_anywhere(spark):
+    """Pairs of equal rows meet in one shard as often as any two rows do: once in 24 times."""
+    rows = spark.range(6000).select((F.col("id") % 3000).alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.shard_documents(rows).toPandas()
+    together = got.groupby("doc_id")["shard"].nunique().eq(1).sum()
+    assert len(got) == 6000 and abs(together - 3000 / 24) <= 5 * math.sqrt(3000 / 24) and got["shard"].value_counts().nunique() == 1
+    hot = spark.range(9000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    assert sharding.shard_documents(hot).groupBy("shard").count().select("count").distinct().count() == 1
+
+
+def test_the_matrix_is_drawn_by_its_law(spark):
+    """Two groups of partitions: what a partition sends to a shard has the mean and variance of a hypergeometric number."""
+    sends = []
+    for i in range(60):
+        s = sharding.Sharding(shards=2, columns=1, partitions=4, seed=f"law-{i}")
+        rows = sharding.communication_matrix(spark.createDataFrame([(p, 50) for p in range(4)], "part int, n long"), s).collect()
+        sends += [r.sends[0] for r in rows]
+    assert abs(np.mean(sends) - 25) <= 0.01 and 5 < np.var(sends) < 14  # 50 * 1/4 * 150/199 = 9.4
+
+
+def test_numbered_rows(spark):
+    rows = spark.createDataFrame([(1, None)] * 5000 + [(2, "x")] + [(None, "y")] * 2, "times long, block string")
+    got = common.numbered(rows, "copy").toPandas()
+    assert len(got) == 5003 and sorted(got[got.times == 1]["copy"]) == list(range(5000)) and sorted(got[got.block == "y"]["copy"]) == [0, 1]
+
+
 # Chat ------------------------------------------------------------------------------------------------------------
 
 
@@ -500,8 +528,11 @@ def test_runs_are_compared_block_against_block(spark, monkeypatch):
         own[rng.choice(100, 11, replace=False)] = 1000 + 20 * i + np.arange(11)
         sets.append(own)
     rows = [(key, i, 100, i) for key in (1, 2, 3) for i in range(len(sets)) if key < 3 or i < 40]
-    listed = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "no long, s array<int>")
-    links = simhash._linked_runs(spark.createDataFrame(rows, "key long, no long, n long, root long"), listed, 0.8)
+    texts = [" ".join(f"w{x}" for x in s) for s in sets]  # shingles of one word
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    sketches = frame([(i, simhash.sketch(simhash.short(simhash.shingle_hashes([t], 1)[0])).tolist()) for i, t in enumerate(texts)], "no long, sketch array<long>")
+    named = [(i, f"t{i}") for i in range(len(sets))]
+    links = simhash._linked_runs(frame(rows, "key long, no long, n long, root long"), sketches, frame([(f"t{i}", t) for i, t in enumerate(texts)], "id string, text string"), frame(named, "no long, id string"), 1, 0.8)
     got = {r.node: r.root for r in components.connected_components(links).collect()}
     assert got == {i: 0 for i in range(len(sets))}
 
@@ -584,7 +615,7 @@ def test_links_between_blocks_join_all_similar_sets():
             if similar(sets[i], sets[j]) and root[i] != root[j]:
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root = [new if r == old else r for r in root]
-    a, b = (lambda: simhash.Block(list(range(60)), sets[:60], list(range(60)))), (lambda: simhash.Block(list(range(60, 120)), sets[60:], list(range(60, 120))))
+    a, b = (lambda: simhash.Block.of_sets(list(range(60)), list(range(60)), sets[:60])), (lambda: simhash.Block.of_sets(list(range(60, 120)), list(range(60, 120)), sets[60:]))
     x, y = a(), b()
     found = [*simhash.links_between(x, x, 0.8), *simhash.links_between(y, y, 0.8), *simhash.links_between(a(), b(), 0.8)]
     label = list(range(120))
@@ -635,6 +666,13 @@ def test_declared_types_are_corrected_and_media_carved(spark):
     assert [(c.offset, c.length, c.type) for c in got[2].carved] == [(5, len(png), "image/png"), (10 + len(png), len(wav), "audio/wav")]
 
 
+def test_digest_carves_media_out_of_texts(spark):
+    pdf = "%PDF-1.4\nx\nstartxref\n0\n%%EOF"
+    got = {r.doc_id: r for r in media.media_digest(documents(spark, [(1, f"some {pdf} text", ""), (2, "%PDF-1.4 " * 20_000, ""), (3, "PK\x03\x04" * 20_000, "")])).collect()}
+    assert got[1].feature == f"application/octet-stream>audio/wav+{44 + 192};application/pdf@{44 + 5}+{len(pdf)}"
+    assert got[2].feature.count(";") == got[3].feature.count(";") == 0
+
+
 # Packing and quality ---------------------------------------------------------------------------------------------
 
 

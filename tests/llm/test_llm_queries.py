@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -133,7 +135,10 @@ def test_op9_round_trip(spark, sf_dir, texts):
         raw = texts[r.doc_id].encode()
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_bytes == len(payload) + 44 and r.feature.startswith("audio/wav@0+")
+        stored = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        inside = re.findall(rb"%PDF-\d.*?startxref.*?%%EOF", payload, re.DOTALL)
+        assert inside or r.feature == f"application/octet-stream>audio/wav+{len(stored)}"
 
 
 def test_op10_packs_everything_without_conflict(spark, sf_dir, duck, texts):

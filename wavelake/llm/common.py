@@ -135,6 +135,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Copies of a row that one array of numbers stands for.
+COPIES = 4096
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Equal rows told apart by ``name``: 0, 1, ... They are counted where they lie before they are exchanged, and listed again by a stream of numbers, so a row that comes very often is no hot key."""
+    times, block = free_name(rows, "times"), free_name(rows, "block")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias(times))
+    blocks = counted.select(*columns, times, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES))).alias(block))
+    last = F.least(F.col(times) - F.col(block) * COPIES, F.lit(COPIES)) - 1
+    return blocks.select(*columns, block, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias(name)).select(*columns, (F.col(block) * COPIES + F.col(name)).alias(name))
+
+
 FILTER_BITS = 1 << 24
 
 

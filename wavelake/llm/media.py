@@ -8,8 +8,10 @@ type is corrected by what stands at its start, and valid media further inside ar
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -123,6 +125,8 @@ def _flac(b: bytes, at: int) -> int | None:
 
 def _ogg(b: bytes, at: int) -> int | None:
     p = at
+    if not b[p + 5 : p + 6] or not b[p + 5] & 2:  # only the first page of a stream begins a medium
+        return None
     while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
         table = b[p + 27 : p + 27 + b[p + 26]]
         size = 27 + b[p + 26] + sum(table)
@@ -151,18 +155,30 @@ def _mp4(b: bytes, at: int) -> int | None:
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) > 0 else None
+    end = b.next(b"%%EOF", at)
+    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() and 0 <= b.next(b"startxref", at) < end else None
 
 
 def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
+    end = b.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, start, note = _u32(b, end + 12), _u32(b, end + 16), struct.unpack_from("<H", b, end + 20)[0]
     return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) else None
 
 
+class Content(bytes):
+    """Bytes that find the places of a mark once, however many media ask for the next one."""
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of mark from ``at`` on, or -1."""
+        places = self.__dict__.get(mark)
+        if places is None:
+            places = self.__dict__[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+
 VALIDATORS = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _wav, "audio/flac": _flac,
     "audio/ogg": _ogg, "audio/mpeg": _id3, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip,
@@ -179,7 +195,7 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(content: bytes, found: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every valid medium in content, in order; what lies inside an earlier one of equal or larger reach is found too."""
-    out = []
+    out, content = [], Content(content)
     for last, (n, kind, offset) in found.iter(content.decode("latin-1")):
         start = last - n + 1 - offset
         if start >= 0 and (length := VALIDATORS[kind](content, start)):
@@ -187,6 +203,13 @@ def sniff(content: bytes, found: ahocorasick.Automaton) -> list[tuple[int, int,
     return sorted(set(out))
 
 
+def judge(content: bytes, declared: object, found: ahocorasick.Automaton) -> tuple[str, bool, int, list[dict]]:
+    """(type, whether that was declared, length, media carved further inside): the largest valid medium at the start decides."""
+    media = sniff(content, found)
+    here = max((m for m in media if m[0] == 0), key=lambda m: m[1], default=(0, len(content), UNKNOWN))
+    return here[2], declared == here[2], here[1], [{"offset": o, "length": n, "type": k} for o, n, k in media if o]
+
+
 SNIFFED = "type string, declared_ok boolean, length long, carved array<struct<offset:long,length:long,type:string>>"
 
 
@@ -194,7 +217,9 @@ def sniff_media(media: DataFrame, content: str = "content", declared: str = "dec
     """media's other columns with type (corrected), declared_ok, length (of the medium at the start; all bytes if none is) and carved (valid media further inside).
 
     Null or empty content has type 'application/octet-stream', length 0 and nothing carved; a null declared type is
-    never right. Columns named like the results are replaced; content and declared are left out.
+    never right. Of media that begin at one place the longest decides. Long content is read whole, in one pass over
+    its signatures. Repeated rows repeat; an empty table gives an empty one. Columns named like the results are
+    replaced; content and declared are left out.
     """
     rest = [f for f in media.schema.fields if f.name not in (content, declared, "type", "declared_ok", "length", "carved")]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], SNIFFED])
@@ -202,12 +227,7 @@ def sniff_media(media: DataFrame, content: str = "content", declared: str = "dec
     def sniffed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = automaton()
         for batch in batches:
-            rows = []
-            for raw, said in zip(batch[content], batch[declared], strict=True):
-                raw = bytes(raw) if raw is not None else b""
-                media_found = sniff(raw, found)
-                here = max((m for m in media_found if m[0] == 0), key=lambda m: m[1], default=(0, len(raw), UNKNOWN))
-                rows.append((here[2], said == here[2], here[1], [{"offset": o, "length": n, "type": k} for o, n, k in media_found if o]))
+            rows = [judge(bytes(raw) if raw is not None else b"", said, found) for raw, said in zip(batch[content], batch[declared], strict=True)]
             out = batch[[f.name for f in rest]].reset_index(drop=True)
             out[["type", "declared_ok", "length", "carved"]] = pd.DataFrame(rows, columns=["type", "declared_ok", "length", "carved"], index=out.index)
             yield out
@@ -238,14 +258,18 @@ def wav_samples(content: bytes) -> bytes:
     return content[p + 8 : p + 8 + _u32(content, p + 4)]
 
 
+#: What the texts' media are declared to be, and how the samples of a type are read.
+DECLARED, READERS = "application/octet-stream", {"audio/wav": wav_samples}
 DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Stores each text as an 8-bit WAV under a wrong declared type, sniffs the stored bytes, and reads them back.
+    """Stores each text as an 8-bit WAV that is declared to be DECLARED, judges the stored bytes, and reads them back as what they are.
 
-    feature: the corrected type, and what was carved, as 'type@offset+length' joined by ';'. Null text is empty, so
-    equal to an empty one; rows are handled one by one, so repeated rows repeat; only doc_id and text are read.
+    feature: declared type, '>', corrected type, '+', length; then ';type@offset+length' for each medium carved out of
+    the text. Null text is empty, so equal to an empty one; long texts are stored whole; rows are handled one by one,
+    so repeated rows repeat; only doc_id and text are read, whatever other columns are called; an empty table gives an
+    empty one.
     """
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,10 +278,9 @@ def media_digest(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 content = as_wav(payload_of(text))
-                media = sniff(content, found)
-                whole = next(m for m in media if m[0] == 0 and m[2] == "audio/wav")
-                back = wav_samples(content[: whole[1]])
-                feature = ";".join(f"{k}@{o}+{n}" for o, n, k in media)
+                kind, _, length, carved = judge(content, DECLARED, found)
+                back = READERS[kind](content[:length])
+                feature = ";".join([f"{DECLARED}>{kind}+{length}", *[f"{m['type']}@{m['offset']}+{m['length']}" for m in carved]])
                 rows.append((len(utf8(text)), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(content), hashlib.sha256(content).hexdigest(), feature))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")])
             out.insert(0, "doc_id", batch["doc_id"].array)

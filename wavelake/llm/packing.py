@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, n_words, with_id_of
+from .common import id_text, n_words, numbered, with_id_of
 
 
 @dataclass(frozen=True)
@@ -65,17 +65,20 @@ def pack_documents(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
     A document of more than ``capacity`` words is cut into full pieces and a rest; start is a piece's first word in
     the document, offset its place in the bin, and (pack, bin) names the bin. No bin holds two documents of equal
     text, nor more than per_source of one source; a null source is a source of its own. Documents without words
-    (null, empty) need no room: they have one row with no bin. Repeated rows are packed as often as they come; rows
-    without an id are spread by their place in the input. Only doc_id, source and text are read; an empty table gives an empty one.
+    (null, empty) need no room: they have one row with no bin. Repeated rows are packed as often as they come; they
+    are counted first and spread over packs by number, and rows without an id by their text, so no id or text is a
+    hot pack. Of bins with equal room the older one is taken, of pieces of equal size the one with the smaller id (as
+    text). Only doc_id, source and text are read, whatever other columns are called; an empty table gives an empty one.
     """
     packs = max(1, -(-docs.count() // p.pack))
     text = F.coalesce("text", F.lit(""))
-    salt = F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    items = docs.select(id_text(docs).alias("doc_id"), "source", n_words(F.col("text")).alias("words"), F.xxhash64(text).alias("cluster"), F.pmod(salt, F.lit(packs)).cast("int").alias("pack"))
+    slim = docs.select(id_text(docs).alias("doc_id"), "source", n_words(F.col("text")).alias("words"), F.xxhash64(text).alias("cluster"))
+    salt = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("cluster")), F.when(F.col("copy") > 0, F.col("copy")))
+    items = numbered(slim, "copy").withColumn("pack", F.pmod(salt, F.lit(packs)).cast("int"))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        group = group.sort_values(["doc_id", "cluster"], kind="stable")
+        group = group.sort_values(["doc_id", "cluster", "copy"], kind="stable")
         for doc, source, words, cluster in zip(group.doc_id, group.source, group.words, group.cluster, strict=True):
             cuts = range(0, int(words), p.capacity) if words else [0]
             rows.extend((doc, i, at, min(p.capacity, int(words) - at), None if pd.isna(source) else source, cluster) for i, at in enumerate(cuts))

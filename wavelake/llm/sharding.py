@@ -5,7 +5,7 @@ columns) is drawn first: a uniformly random permutation of all rows would give a
 multivariate hypergeometric, so that law is drawn, row by row, from the partition sizes alone. Each partition then
 permutes its own rows and deals them out by its row of the matrix, rows are exchanged by column, and each column
 permutes what it got. Every permutation of all rows is equally likely (up to the hash that stands for randomness),
-sizes are exact, and no task sees more than one partition or one column.
+sizes are exact, and no task sees more than one partition or one column. Equal rows are told apart by a number first.
 
 A hypergeometric number is drawn exactly, within SQL expressions, by rejection from a scaled ratio of uniforms
 (Stadlober's HRUA scheme): a candidate is accepted by the exact log-probability ratio to the mode.
@@ -14,21 +14,22 @@ A hypergeometric number is drawn exactly, within SQL expressions, by rejection f
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bind, seeded
+from .common import bind, numbered, seeded
 
 
 @dataclass(frozen=True)
 class Sharding:
-    """shards: how many; columns: pieces of equal size that make up a shard; partitions: logical source partitions; tries: candidates per draw (all are rejected with probability below 1e-20)."""
+    """shards: how many; columns: pieces of equal size that make up a shard; partitions: logical source partitions, at least, and part_rows: rows of one, about, where there are more; tries: candidates per draw (all are rejected with probability below 1e-20)."""
 
     shards: int = 24
     columns: int = 8
     partitions: int = 128
+    part_rows: int = 1_000_000
     seed: str = "shard-1"
     tries: int = 64
 
@@ -96,10 +97,8 @@ def column_sizes(total: Column, s: Sharding) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(s.width - 1)), lambda i: size(i).cast("bigint"))
 
 
-def communication_matrix(sizes: DataFrame, s: Sharding) -> DataFrame:
-    """sizes: (part, n). One row per partition: part, n, total, sends (array: rows to each column). One row of at most ``partitions`` entries is handled."""
-    parts = F.array_sort(F.collect_list(F.struct("part", "n")))
-    one = sizes.groupBy().agg(parts.alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"))
+def _dealt(parts: Column, sizes: Column, s: Sharding, base: int) -> Column:
+    """parts: array of (part, n); sizes: rows of each column, as many in all. An array of (part, n, sends). base: what sets these draws apart from others."""
     whole = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
 
     def row(state: Column, p: Column) -> Column:
@@ -107,7 +106,7 @@ def communication_matrix(sizes: DataFrame, s: Sharding) -> DataFrame:
 
         def cell(c: Column, j: Column) -> Column:
             room = F.element_at(state["room"], j)
-            draw = hypergeometric(room, c["rest"] - room, c["left"], s.seed, p["part"] * s.width + j, s.tries)
+            draw = hypergeometric(room, c["rest"] - room, c["left"], s.seed, (p["part"] + F.lit(base)) * s.width + j, s.tries)
             after = lambda k: F.struct(F.concat(c["sends"], F.array(k)).alias("sends"), (c["left"] - k).alias("left"), (c["rest"] - room).alias("rest"))
             return bind(draw, after)
 
@@ -124,9 +123,22 @@ def communication_matrix(sizes: DataFrame, s: Sharding) -> DataFrame:
             1,
         )
 
-    start = F.struct(column_sizes(F.col("total"), s).alias("room"), F.array().cast("array<struct<part:int,n:bigint,sends:array<bigint>>>").alias("rows"))
-    rows = F.aggregate("parts", start, row, lambda x: x["rows"])
-    return one.select("total", F.explode(rows).alias("x")).select("x.part", "x.n", "total", "x.sends")
+    start = F.struct(sizes.alias("room"), F.array().cast("array<struct<part:int,n:bigint,sends:array<bigint>>>").alias("rows"))
+    return F.aggregate(parts, start, row, lambda x: x["rows"])
+
+
+def communication_matrix(sizes: DataFrame, s: Sharding) -> DataFrame:
+    """sizes: (part, n). One row per partition: part, n, total, sends (array: rows to each column).
+
+    Drawn in two levels: first for groups of partitions, in one row; then, in a task for each group, for its partitions,
+    whose columns have what the group sends. That is the same law, and both levels have about the root of as many rows.
+    """
+    per_group = math.ceil(math.sqrt(s.partitions))
+    grouped = sizes.groupBy(F.floor(F.col("part") / per_group).cast("int").alias("group")).agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"), F.sum("n").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("group").alias("part"), "n")))
+    one = grouped.groupBy().agg(listed.alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"))
+    top = one.select("total", F.explode(_dealt(F.col("groups"), column_sizes(F.col("total"), s), s, s.partitions)).alias("g")).select("total", F.col("g.part").alias("group"), "g.sends")
+    return grouped.join(top, "group").select("total", F.explode(_dealt(F.col("parts"), F.col("sends"), s, 0)).alias("x")).select("x.part", "x.n", "total", "x.sends")
 
 
 def _sums(a: Column) -> Column:
@@ -137,8 +149,8 @@ def _sums(a: Column) -> Column:
 def shard_rows(rows: DataFrame, key: list[str], s: Sharding = Sharding()) -> DataFrame:
     """``rows`` with __shard (0 to shards - 1) and __slot (gapless from 0 in each shard), a uniform random shuffle.
 
-    Shard sizes differ by one at most. ``key`` names the columns that tell rows apart; rows equal in all of them
-    may swap places but get as many. Nulls in the key are values like any other. With fewer rows than shards the
+    Shard sizes differ by one at most. ``key`` names the columns that tell rows apart; rows equal in all of them would
+    lie side by side (number them before, as shard_documents does). Nulls in the key are values like any other. With fewer rows than shards the
     last shards stay empty; an empty table gives an empty one. Columns named like the two results are replaced.
     """
     cols = [F.col(f"`{c}`") for c in key]
@@ -167,11 +179,14 @@ def shard_rows(rows: DataFrame, key: list[str], s: Sharding = Sharding()) -> Dat
 def shard_documents(docs: DataFrame, s: Sharding = Sharding()) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 8; null text has none), text_crc32, law 'rows', shard, slot, grown_shard (null under this law).
 
-    The text itself is read once and not exchanged; other columns are not read.
+    Repeated rows are numbered and dealt like any others, so they lie anywhere. A null id is a value like any other; a
+    null or empty text has size 8. The text itself, however long, is read once and not exchanged; other columns are
+    not read, whatever they are called. An empty table gives an empty one.
     """
     text = F.coalesce("text", F.lit(""))
+    s = replace(s, partitions=max(s.partitions, -(-docs.count() // s.part_rows)))
     slim = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
-    out = shard_rows(slim, ["doc_id", "text_crc32", "size"], s)
+    out = shard_rows(numbered(slim, "copy"), ["doc_id", "text_crc32", "size", "copy"], s)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -135,7 +135,7 @@ SAMPLE, COMMON_SEEN, COMMON = 8192, 3, 1 << 16
 #: Neighbours in a run of one key that a document is compared with at first. Up to FEW near ones are all checked; of
 #: more, the NEAREST ones, and the documents for which some were passed over are compared again under that key, block
 #: against block, a block being about so many documents and shingles at most.
-WINDOW, FEW, NEAREST, BLOCK, BLOCK_SHINGLES = 48, 12, 3, 2048, 4_000_000
+WINDOW, FEW, NEAREST, BLOCK, BLOCK_SHINGLES = 48, 12, 3, 4096, 8_000_000
 
 
 def shingle_hashes(texts: list, n: int) -> list[np.ndarray]:
@@ -331,18 +331,19 @@ def linking_pairs(listed: DataFrame, pairs: DataFrame, similarity: float) -> Dat
 
 
 class Block:
-    """Sets of short hashes, with their sketches by size, and the groups that their texts are known to be of."""
+    """Texts, with their groups, sizes and sketches by length; sets, where they are at hand."""
 
-    def __init__(self, nos: list[int], sets: list[np.ndarray], roots: list[int]) -> None:
-        self.nos, self.sets, self.label = nos, sets, np.array(roots, np.int64)
-        self.size = np.array([len(x) for x in sets], np.int64)
-        sketches = [sketch(x) for x in sets]
+    def __init__(self, nos: list[int], roots: list[int], sizes: list[int], sketches: list[np.ndarray], sets: list[np.ndarray] | None = None) -> None:
+        self.nos, self.label, self.size, self.own, self.sets = nos, np.array(roots, np.int64), np.array(sizes, np.int64), sketches, sets
         longs = np.array([len(x) for x in sketches], np.int64)
-        self.own = sketches
         self.classes = {int(k): (at := np.flatnonzero(longs == k), np.stack([sketches[i] for i in at])) for k in np.unique(longs)}
 
+    @classmethod
+    def of_sets(cls, nos: list[int], roots: list[int], sets: list[np.ndarray]) -> Block:
+        return cls(nos, roots, [len(x) for x in sets], [sketch(x) for x in sets], sets)
+
     def near(self, s: np.ndarray, size: int, label: int, similarity: float, after: int) -> np.ndarray:
-        """Places beyond ``after`` of sets of other groups that may be similar to this one, the likeliest first."""
+        """Places beyond ``after`` of texts of other groups that may be similar to this one, the likeliest first."""
         places, differ = [], []
         for longs, (at, sketches) in self.classes.items():
             use = (at > after) & (self.label[at] != label) & (np.minimum(size, self.size[at]) >= similarity * np.maximum(size, self.size[at]) - 1e-6)
@@ -356,6 +357,16 @@ class Block:
         return np.concatenate(places)[np.argsort(np.concatenate(differ), kind="stable")]
 
 
+def near_between(a: Block, b: Block, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts of a and of b may be similar to one of the other block that is of another group. a may be b."""
+    of_a, of_b = np.zeros(len(a.nos), bool), np.zeros(len(b.nos), bool)
+    for i in range(len(a.nos)):
+        found = b.near(a.own[i], a.size[i], a.label[i], similarity, i if a is b else -1)
+        of_a[i] |= len(found) > 0
+        of_b[found] = True
+    return (of_a | of_b, of_a | of_b) if a is b else (of_a, of_b)
+
+
 def links_between(a: Block, b: Block, similarity: float) -> list[tuple[int, int]]:
     """Pairs of numbers, one of each block, that join all sets of a and b which are similar and not of one group yet. a may be b."""
     out = []
@@ -373,43 +384,59 @@ def links_between(a: Block, b: Block, similarity: float) -> list[tuple[int, int]
     return out
 
 
-def _linked_runs(rows: DataFrame, listed: DataFrame, similarity: float) -> DataFrame:
-    """rows: (key, no, n, root), root being the group that the text is known to be of; listed: (no, s). Links (a, b) that
-    join all texts of one key that are similar and not yet of one group.
-
-    A key's run is dealt by a hash into blocks, and every two of them meet in a task of their own; so every pair of
-    a run is compared, however long it is, and a task holds two blocks. Runs of one group need no comparing, and of
-    runs with the same texts one is enough.
+def _meetings(batches: Iterator[pd.DataFrame], value: str) -> Iterator[tuple[tuple, dict]]:
+    """Rows in the order of key, i, j, block -> (key, i, j) and, by block, the rows' no, root, n and value, as lists."""
+    at, held = None, {}
+    for batch in batches:
+        for k, i, j, block, no, root, n, v in zip(batch.key, batch.i, batch.j, batch.block, batch.no, batch.root, batch.n, batch[value], strict=True):
+            if (k, i, j) != at:
+                if held:
+                    yield at, held
+                at, held = (k, i, j), {}
+            for column, x in zip(held.setdefault(block, ([], [], [], [])), (no, root, n, np.asarray(v)), strict=True):
+                column.append(x)
+    if held:
+        yield at, held
+
+
+def _linked_runs(rows: DataFrame, sketches: DataFrame, texts: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
+    """rows: (key, no, n, root), root being the group that the text is known to be of; sketches: (no, sketch); texts: (id,
+    text); named: (no, id). Links (a, b) that join all texts of one key that are similar and not yet of one group.
+
+    A key's run is dealt by a hash into blocks, and every two of them, and each one with itself, meet in a task of
+    their own; so every pair of a run is compared, however long it is, and a task holds two blocks. They meet with
+    their sketches first. Only texts that these leave another one for meet again with their sets. Runs of one group
+    need no comparing, and of runs, or what is left of them, with the same texts one is enough.
     """
-    h = F.xxhash64("no")
-    runs = rows.groupBy("key").agg(F.count("no").alias("c"), F.sum("n").alias("words"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("no", F.lit(1))).alias("y"))
+    h = lambda seed: F.bit_xor(F.xxhash64("no", F.lit(seed)))
+    runs = rows.groupBy("key").agg(F.count("no").alias("c"), F.sum("n").alias("words"), F.min("root").alias("lo"), F.max("root").alias("hi"), h(1).alias("x"), h(2).alias("y"))
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("words") / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
     runs = runs.filter("lo < hi").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.first(blocks).alias("blocks"))
-    placed = rows.join(runs.select("key", "blocks"), "key").withColumn("block", F.pmod(h, F.col("blocks")).cast("int"))
+    placed = rows.select("key", "no", "n", "root").join(runs.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    pairs = placed.join(listed, "no").select("key", "no", "root", "block", "s", F.explode(met).alias("m")).select("key", "m.i", "m.j", "block", "no", "root", "s")
+    columns = ["key", "i", "j", "block", "no", "root", "n"]
+    pairs = placed.join(sketches, "no").select("key", "block", "no", "root", "n", "sketch", F.explode(met).alias("m")).select(*columns[:1], "m.i", "m.j", *columns[3:], "sketch")
+    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "no")
 
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, {}
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (k, i, j), held in _meetings(batches, "sketch"):
+            if len(held) == 1 + (i != j):
+                made = [Block(*held[b]) for b in sorted(held)]
+                for x, which, b in zip(made, near_between(made[0], made[-1], similarity), sorted(held), strict=False):
+                    at = np.flatnonzero(which)
+                    yield pd.DataFrame({"key": k, "i": i, "j": j, "block": b, "no": np.array(x.nos, np.int64)[at], "root": x.label[at], "n": x.size[at]})
 
-        def out() -> pd.DataFrame:
-            made = [Block(*x) for x in held.values()]
-            return pd.DataFrame(links_between(made[0], made[-1], similarity) if len(made) == (1 if not at or at[1] == at[2] else 2) else [], columns=["a", "b"])
+    left = durable(dealt(pairs).mapInPandas(near, "key long, i int, j int, block int, no long, root long, n long"))
+    alike = left.groupBy("key", "i", "j").agg(F.count("no").alias("c"), h(1).alias("x"), h(2).alias("y")).groupBy("c", "x", "y").agg(F.min(F.struct("key", "i", "j")).alias("m")).select("m.*")
+    listed = durable(shingle_sets(texts, left.select("no").distinct().join(named, "no"), words))
 
-        for batch in batches:
-            for k, i, j, block, no, root, s in zip(batch.key, batch.i, batch.j, batch.block, batch.no, batch.root, batch.s, strict=True):
-                if (k, i, j) != at:
-                    if held:
-                        yield out()
-                    at, held = (k, i, j), {}
-                nos, sets, roots = held.setdefault(block, ([], [], []))
-                nos.append(no)
-                sets.append(np.asarray(s).view(np.uint32))
-                roots.append(root)
-        if held:
-            yield out()
-
-    found = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "no").mapInPandas(linked, "a long, b long")
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, i, j), held in _meetings(batches, "s"):
+            if len(held) == 1 + (i != j):
+                made = [Block.of_sets(nos, roots, [s.view(np.uint32) for s in sets]) for nos, roots, _, sets in (held[b] for b in sorted(held))]
+                yield pd.DataFrame(links_between(made[0], made[-1], similarity), columns=["a", "b"])
+
+    found = dealt(left.join(alike, ["key", "i", "j"]).join(listed, "no")).mapInPandas(linked, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -455,12 +482,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     edges = linking_pairs(durable(shingle_sets(texts, needed, words)), pairs, similarity)
     again = found.filter("b is null").select("key", F.col("a").alias("no"))
     if again.limit(1).count():
+        runs = lambda rows: _linked_runs(rows, every.select("no", "sketch"), texts, named, words, similarity)
         rows = _rooted(every.select("no", "n").join(again, "no"), edges)
-        listed = durable(shingle_sets(texts, rows.select("no").distinct().join(named, "no"), words))
         longest = rows.groupBy("no").agg(F.max(F.struct("c", "key"))["key"].alias("key"))
-        edges = durable(edges.union(_linked_runs(rows.join(longest, ["no", "key"]), listed, similarity)))
-        rows = _rooted(rows.select("key", "no", "n"), edges)
-        edges = durable(edges.union(_linked_runs(rows, listed, similarity)))
+        edges = durable(edges.union(runs(rows.join(longest, ["no", "key"]))))
+        edges = durable(edges.union(runs(_rooted(rows.select("key", "no", "n"), edges))))
     linked = connected_components(edges)
     return named.join(linked.withColumnRenamed("node", "no"), "no", "left").select(F.col("id").alias("text_key"), F.coalesce("root", "no").alias("root"))
 
