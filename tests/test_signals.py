@@ -83,6 +83,44 @@ def test_soft_clip_stays_in_range_and_leaves_quiet_samples():
     assert np.array_equal(KINDS["soft_clip"](3).process(quiet), quiet)
 
 
+def soft_clipped(blocks: list[list[float]]) -> list[list[float]]:
+    """Sample by sample, as the definition goes: one channel, block after block."""
+    bend, out = 0.0, []
+    for block in blocks:
+        x = [max(-2.0, min(2.0, v)) for v in block]
+        for i, v in enumerate(x):
+            if v * bend >= 0:
+                break
+            x[i] = v + bend * v * v
+        whole, at, bend = list(x), 0, 0.0
+        while at < len(x):
+            end = at + 1
+            side = x[at]
+            while end < len(x) and (side == 0 or x[end] * side >= 0):
+                side = side or x[end]
+                end += 1
+            bend, top = 0.0, max(range(at, end), key=lambda i: (abs(x[i]), -i))
+            if abs(x[top]) > 1:
+                bend = (abs(x[top]) - 1) / x[top] ** 2 * (1 + 2.4e-7) * (-1 if x[top] > 0 else 1)
+                whole[at:end] = [v + bend * v * v for v in x[at:end]]
+                if at == 0 and top >= 2:
+                    step = x[0] - whole[0]
+                    whole[:top] = [max(-1.0, min(1.0, v + step * (1 - i / top))) for i, v in enumerate(whole[:top])]
+            at = end
+        out.append(whole)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(blocks=st.lists(st.lists(st.one_of(st.floats(-3, 3), st.sampled_from([0.0, 1.0, -1.0, 1.5])), min_size=1, max_size=12), min_size=1, max_size=4))
+def test_soft_clip_equals_its_definition(blocks):
+    clip = KINDS["soft_clip"](2)
+    for block, want in zip(blocks, soft_clipped(blocks), strict=True):
+        x = np.array([block, [-v for v in block]])
+        got = clip.process(x)
+        assert np.allclose(got[0], want, atol=1e-12) and np.allclose(got[1], [-v for v in want], atol=1e-12) and np.abs(got).max() <= 1.0 + 1e-9
+
+
 def test_levels(spark):
     row = one(spark, s.amplitude_to_decibels(F.lit(0.0)).alias("a"), s.decibels(F.lit(20.0)).alias("b"), s.soft_saturate(F.lit(-5.0)).alias("c"), s.hard_clip(F.lit(3.0)).alias("d"))
     assert row.a == -math.inf and row.b == pytest.approx(10.0) and -1 <= row.c < -0.99 and row.d == 1.0

@@ -16,10 +16,13 @@ NOTE_PEAK, SUSTAIN = 0.4, 0.65
 NOTES = {name: round(440.0 * 2 ** ((octave * 12 + step - 57) / 12), 2) for octave in range(2, 7) for step, name in ((s, f"{n}{octave}") for s, n in enumerate(("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")))}
 RATES = (8000, 11025, 16000, 22050, 32000, 44100, 48000, 88200, 96000, 176400, 192000)
 
-_QUARTER, _HALF, _WHOLE = 0.5, 1.0, 2.0
-#: The nursery tune's notes, at 120 beats a minute.
-_TUNE = "E D C D E E E- D D D- E G G- E D C D E E E E D D E D C="
-MARY = [(NOTES[f"{x[0]}4"], {"-": _HALF, "=": _WHOLE}.get(x[1:], _QUARTER)) for x in _TUNE.split()]
+#: The nursery tune as (note, beats), and the seconds of a beat at 120 a minute.
+BEAT = 0.5
+TUNE = [
+    ("E4", 1), ("D4", 1), ("C4", 1), ("D4", 1), ("E4", 1), ("E4", 1), ("E4", 2), ("D4", 1), ("D4", 1), ("D4", 2), ("E4", 1), ("G4", 1), ("G4", 2),
+    ("E4", 1), ("D4", 1), ("C4", 1), ("D4", 1), ("E4", 1), ("E4", 1), ("E4", 1), ("E4", 1), ("D4", 1), ("D4", 1), ("E4", 1), ("D4", 1), ("C4", 4),
+]
+MARY = [(NOTES[note], beats * BEAT) for note, beats in TUNE]
 
 
 def frames(spark: SparkSession, seconds: float, rate: int) -> DataFrame:

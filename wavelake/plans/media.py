@@ -228,5 +228,3 @@ def byte_checksums(spark: SparkSession, d: str) -> DataFrame:
 
     return pcm_bytes(spark, d).select("id", sums("raw").alias("c")).select("id", "c.*")
 
-
-__all__ = ["flac", "opus"]

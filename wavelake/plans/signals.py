@@ -9,7 +9,7 @@ from ..functions import samples as s
 from ..operators.resample import resample_sinc, resample_streaming
 from ..registry import query
 from ..sources import pcm
-from .views import BYTES_SQL, RATE, clips, clips_sql, long, long_sql, pcm_bytes, table
+from .views import BLOCK, BLOCKS_SQL, RATE, clips, clips_sql, long, long_sql, pcm_bytes, table
 
 STEP = s.nanos_per_frame(RATE)
 MS = 1_000_000
@@ -157,8 +157,8 @@ def _decoded(form: str, big: bool) -> None:
     u = f"('0x' || {digits})::BIGINT"
     top = 1 << (8 * width)
     value = f"({u} - {bias})" if bias else f"(CASE WHEN {u} >= {top // 2} THEN {u} - {top} ELSE {u} END)"
-    sql = f"""WITH {BYTES_SQL}, spots AS (SELECT id, h, unnest(range(0, len(h) // {2 * width})) AS i FROM bytes)
-SELECT id, i::INT AS pos, round({value} / {scale}::DOUBLE, 6) + 0.0::DOUBLE AS sample FROM spots"""
+    sql = f"""WITH {BLOCKS_SQL}, spots AS (SELECT id, block, h, unnest(range(0, len(h) // {2 * width})) AS i FROM blocks)
+SELECT id, (block * {BLOCK // width} + i)::INT AS pos, round({value} / {scale}::DOUBLE, 6) + 0.0::DOUBLE AS sample FROM spots"""
     name = f"pcm_decode_{form}" + ("be" if big else "")
     query(sql, name)(lambda spark, d: long(pcm_bytes(spark, d).select("id", pcm.decoded(F.col("raw"), form, big).alias("data")), "id"))
 

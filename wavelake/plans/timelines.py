@@ -10,16 +10,15 @@ from ..operators import timelines as t
 from ..registry import query
 from .views import clips, clips_sql, table
 
-CLIPS = 500
-CUES_SQL = f"cues AS (SELECT o_orderkey AS cue_id, o_orderkey % {CLIPS} AS clip_id, 16 * date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS start_frame, 0.25::DOUBLE + 0.25::DOUBLE * (o_orderkey % 4) AS gain FROM orders)"
+CUES_SQL = "cues AS (SELECT o_orderkey AS cue_id, o_orderkey % (SELECT count(*) FROM embeddings) AS clip_id, 16 * date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS start_frame, 0.25::DOUBLE + 0.25::DOUBLE * (o_orderkey % 4) AS gain FROM orders)"
 _PLACED = f"{CUES_SQL}, {clips_sql()}, placed AS (SELECT start_frame + i - 1 AS frame, data[i] * gain AS v FROM (SELECT start_frame, gain, data, unnest(range(1, len(data) + 1)) AS i FROM cues JOIN clips USING (clip_id)))"
 _SOFT = "CASE WHEN x > 0.8 THEN 0.8::DOUBLE + 0.2::DOUBLE * tanh((x - 0.8::DOUBLE) / 0.2::DOUBLE) WHEN x < -0.8 THEN -0.8::DOUBLE + 0.2::DOUBLE * tanh((x + 0.8::DOUBLE) / 0.2::DOUBLE) ELSE x END"
 
 
 def cues(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("o_orderkey")
+    key, n_clips = F.col("o_orderkey"), table(spark, d, "embeddings").count()
     return table(spark, d, "orders").select(
-        key.alias("cue_id"), (key % CLIPS).alias("clip_id"), t.frame_of_day(F.col("o_orderdate"), "1995-01-01", 16).alias("start_frame"), (0.25 + 0.25 * (key % 4)).alias("gain")
+        key.alias("cue_id"), (key % n_clips).alias("clip_id"), t.frame_of_day(F.col("o_orderdate"), "1995-01-01", 16).alias("start_frame"), (0.25 + 0.25 * (key % 4)).alias("gain")
     )
 
 
@@ -35,9 +34,12 @@ def timeline_seek(spark: SparkSession, d: str) -> DataFrame:
     return t.mix(t.placed_samples(cues(spark, d), clips(spark, d), cursor=20000)).select("frame", r6(F.col("mixed")).alias("mixed"))
 
 
-@query(f"WITH {_PLACED}, m AS (SELECT frame, sum(v) AS x FROM placed GROUP BY frame) SELECT range AS frame, round(coalesce(x, 0), 6) + 0.0::DOUBLE AS mixed, x IS NULL AS underrun FROM range(-100, 40000) LEFT JOIN m ON m.frame = range")
+@query(f"WITH {_PLACED}, m AS (SELECT frame, sum(v) AS x FROM placed GROUP BY frame), s AS (SELECT unnest(range(min(start_frame) - 100, max(start_frame) + 164)) AS f FROM cues) SELECT f AS frame, round(coalesce(x, 0), 6) + 0.0::DOUBLE AS mixed, x IS NULL AS underrun FROM s LEFT JOIN m ON m.frame = f")
 def timeline_silence(spark: SparkSession, d: str) -> DataFrame:
-    return t.on_spine(t.mix(t.placed_samples(cues(spark, d), clips(spark, d))), -100, 40000).withColumn("mixed", r6(F.col("mixed")))
+    """From 100 frames before the first cue to 100 behind the last one's clip."""
+    placed = cues(spark, d)
+    first, last = placed.agg(F.min("start_frame"), F.max("start_frame")).first()
+    return t.on_spine(t.mix(t.placed_samples(placed, clips(spark, d))), first - 100, last + 164).withColumn("mixed", r6(F.col("mixed")))
 
 
 @query(f"WITH {CUES_SQL} SELECT max(start_frame) + 64 AS frames FROM cues")

@@ -24,11 +24,14 @@ def clips_sql(gain: float = 1.0) -> str:
 
 
 def pcm_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents' UTF-8 bytes, the first 256 of each: id, raw. A fixture of bytes, not a limit on an operator."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring(F.encode("text", "UTF-8"), 1, 256).alias("raw"))
+    """documents' UTF-8 bytes: id, raw."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("raw"))
 
 
-BYTES_SQL = "bytes AS (SELECT doc_id AS id, left(hex(encode(text)), 512) AS h FROM documents)"
+BYTES_SQL = "bytes AS (SELECT doc_id AS id, hex(encode(text)) AS h FROM documents)"
+#: Bytes of a block of a text, a multiple of every sample's width: cutting pieces out of a short string is cheap.
+BLOCK = 240
+BLOCKS_SQL = f"{BYTES_SQL}, cut AS (SELECT id, h, unnest(range(0, (len(h) + {2 * BLOCK - 1}) // {2 * BLOCK})) AS block FROM bytes), blocks AS (SELECT id, block, h[block * {2 * BLOCK} + 1:(block + 1) * {2 * BLOCK}] AS h FROM cut)"
 
 
 def long(df: DataFrame, key: str, column: str = "data", value: str = "sample") -> DataFrame:
