@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,32 @@ def select_backend(backends: DataFrame, requests: DataFrame, mode: str = "prefer
     return found.select("request_id", "codec", "direction", chosen.alias("backend"), (F.col("backend").isNull() & F.lit(mode == "prefer_hardware")).alias("fell_back"))
 
 
+def fallback_events(chosen: DataFrame) -> DataFrame:
+    """select_backend's rows -> (request_id, codec, direction, kind): what a listener would be told of requests that no hardware took."""
+    kind = F.when(F.col("backend").isNull(), "refused").when(F.col("fell_back"), "fallback")
+    return chosen.select("request_id", "codec", "direction", kind.alias("kind")).filter("kind is not null")
+
+
+class Backends:
+    """A registry of backends: register and remove them; the first registered has the lowest rank. frame() is what select_backend takes."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, str, str, bool]] = []
+        self.next = 0
+
+    def register(self, backend: str, supports: list[tuple[str, str]], available: bool = True) -> None:
+        """supports: (codec, direction) pairs. A backend that is registered again takes the place of the old one, at the end."""
+        self.remove(backend)
+        self.rows += [(backend, self.next, codec, direction, available) for codec, direction in supports]
+        self.next += 1
+
+    def remove(self, backend: str) -> None:
+        self.rows = [r for r in self.rows if r[0] != backend]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "backend string, rank int, codec string, direction string, available boolean")
+
+
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])

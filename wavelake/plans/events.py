@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import devices
 from ..registry import query
-from ..streaming import live
+from ..streaming import live, stateful
 from .views import table
 
 _SNAP = """snap AS (SELECT * FROM (SELECT user_id, date_trunc('day', ts) AS day, event_type AS name, (value > 250) AS rate, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts DESC, event_id DESC) AS n, value FROM events) WHERE n = 1),
@@ -55,16 +54,50 @@ def backend_select(spark: SparkSession, d: str) -> DataFrame:
     return devices.select_backend(backends, requests)
 
 
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of samples of their users, by time and number, that ends."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
+    rows = table(spark, d, "events")
+    ends = f"{live.shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows.select(F.col("user_id").cast("long").alias("stream_id")).distinct().write.parquet(ends)
+    stateful.use_rocksdb(spark)
+    sounds = live.paced(spark, f"{d}/events.parquet*", rows.schema, 1000)
+    sounds = sounds.select(F.col("user_id").cast("long").alias("stream_id"), (micros * 1_000_000 + F.col("event_id") % 1_000_000).alias("pos"), (F.col("value") / 500).alias("sample"), F.lit(False).alias("eos"))
+    return sounds.union(live.paced(spark, ends, "stream_id long", 1000).select("stream_id", F.lit((1 << 62) - 1).alias("pos"), F.lit(None).cast("double").alias("sample"), F.lit(True).alias("eos")))
+
+
+_POS = "n AS (SELECT user_id, value / 500 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
+
+
+@query(f"WITH {_POS}, g AS (SELECT user_id, pos // 8 AS chunk_no, sum(x) AS total, count(*) AS n FROM n GROUP BY 1, 2) SELECT user_id, chunk_no, n, round(total, 6) + 0.0::DOUBLE AS total FROM g WHERE n = 8")
+def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Full chunks of 8 samples per stream, by the streaming chunker."""
+    return _chunk_totals(live.to_the_end(stateful.chunked(_samples(spark, d).drop("eos").filter("sample is not null"), 8)))
+
+
+@query(f"WITH {_POS}, g AS (SELECT user_id, pos // 8 AS chunk_no, sum(x) AS total, count(*) AS n FROM n GROUP BY 1, 2) SELECT user_id, chunk_no, n, round(total, 6) + 0.0::DOUBLE AS total FROM g WHERE n < 8")
+def stream_flush(spark: SparkSession, d: str) -> DataFrame:
+    """What the end of a stream flushes: the rest, padded to a chunk."""
+    last = live.to_the_end(stateful.chunked(_samples(spark, d), 8)).filter((F.col("n") < 8) & (F.size("data") == 8))
+    return _chunk_totals(last)
+
+
+def _chunk_totals(chunks: DataFrame) -> DataFrame:
+    total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x)
+    return chunks.select(F.col("stream_id").alias("user_id"), "chunk_no", F.col("n").cast("long").alias("n"), (F.round(total, 6) + F.lit(0.0)).alias("total"))
+
+
 @query(
-    """WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events), g AS (SELECT user_id, pos // 8 AS chunk_no, sum(value / 500) AS total, count(*) AS n FROM n GROUP BY 1, 2)
-SELECT user_id, chunk_no, n, round(total, 6) AS total FROM g WHERE n = 8"""
+    f"""WITH {_POS}, ends AS (SELECT user_id, max(pos) AS last FROM n GROUP BY 1), t AS (SELECT user_id, last, unnest(range(1, 13)) AS k FROM ends)
+SELECT t.user_id, t.k::INT AS k, round(0.5::DOUBLE * coalesce(sum(pow(0.5::DOUBLE, (last + k - pos) // 4) * x) FILTER ((last + k - pos) % 4 = 0), 0), 6) + 0.0::DOUBLE AS sample
+FROM t JOIN n USING (user_id) GROUP BY t.user_id, t.k"""
 )
-def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Full chunks of 8 samples per stream, as the streaming chunker emits them."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    at = table(spark, d, "events").select("user_id", "value", (F.row_number().over(w) - 1).alias("pos"))
-    chunk = at.groupBy("user_id", F.floor(F.col("pos") / 8).alias("chunk_no")).agg(F.count("value").alias("n"), F.round(F.sum(F.col("value") / 500), 6).alias("total"))
-    return chunk.filter("n = 8").select("user_id", "chunk_no", "n", "total")
+def stream_tail(spark: SparkSession, d: str) -> DataFrame:
+    """An echo of 4 samples that rings out for 12 behind the end of each stream."""
+    rows = live.to_the_end(stateful.processed(_samples(spark, d), "echo", tail=12, delay=500_000, feedback=0.5, wet=0.5, rate=8000))
+    last = Window.partitionBy("stream_id").orderBy(F.desc("pos"))
+    tail = rows.withColumn("k", 13 - F.row_number().over(last)).filter("k > 0")
+    return tail.select(F.col("stream_id").alias("user_id"), "k", (F.round("sample", 6) + F.lit(0.0)).alias("sample"))
 
 
 @query("WITH n AS (SELECT user_id, date_trunc('day', ts) AS day, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events) SELECT user_id, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (n <= 2) AS taken, count(*) FILTER (n > 2) AS dropped FROM n GROUP BY user_id, n.day")
@@ -85,10 +118,5 @@ def underrun_days(spark: SparkSession, d: str) -> DataFrame:
 def live_mix(spark: SparkSession, d: str) -> DataFrame:
     """A live signal in windows of a day: the events, read as a stream that has ended."""
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
-    name = f"live_mix_{uuid.uuid4().hex}"
-    mixed = live.live_mix(source, "at", "1 day", "40 days", "value")
-    started = mixed.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    started = started.option("checkpointLocation", f"{root}/{name}") if root else started.option("checkpointLocation", tempfile.mkdtemp())
-    started.start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("mixed", 4).alias("mixed"))
+    mixed = live.to_the_end(live.live_mix(source, "at", "1 day", "40 days", "value"), "complete")
+    return mixed.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("mixed", 4).alias("mixed"))
