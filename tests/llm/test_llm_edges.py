@@ -527,12 +527,12 @@ def test_runs_are_compared_block_against_block(spark, monkeypatch):
         own = np.arange(100, dtype=np.int32)
         own[rng.choice(100, 11, replace=False)] = 1000 + 20 * i + np.arange(11)
         sets.append(own)
-    rows = [(key, i, 100, i) for key in (1, 2, 3) for i in range(len(sets)) if key < 3 or i < 40]
+    rows = [(key, i, 100, i, i) for key in (1, 2, 3) for i in range(len(sets)) if key < 3 or i < 40]
     texts = [" ".join(f"w{x}" for x in s) for s in sets]  # shingles of one word
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     sketches = frame([(i, simhash.sketch(simhash.short(simhash.shingle_hashes([t], 1)[0])).tolist()) for i, t in enumerate(texts)], "no long, sketch array<long>")
     named = [(i, f"t{i}") for i in range(len(sets))]
-    links = simhash._linked_runs(frame(rows, "key long, no long, n long, root long"), sketches, frame([(f"t{i}", t) for i, t in enumerate(texts)], "id string, text string"), frame(named, "no long, id string"), 1, 0.8)
+    links = simhash._linked_runs(frame(rows, "key long, no long, n long, root long, met long"), sketches, frame([(f"t{i}", t) for i, t in enumerate(texts)], "id string, text string"), frame(named, "no long, id string"), 1, 0.8)
     got = {r.node: r.root for r in components.connected_components(links).collect()}
     assert got == {i: 0 for i in range(len(sets))}
 

@@ -331,22 +331,23 @@ def linking_pairs(listed: DataFrame, pairs: DataFrame, similarity: float) -> Dat
 
 
 class Block:
-    """Texts, with their groups, sizes and sketches by length; sets, where they are at hand."""
+    """Texts, with their groups, sizes and sketches by length; met: what texts that have been compared before have in common; sets, where they are at hand."""
 
-    def __init__(self, nos: list[int], roots: list[int], sizes: list[int], sketches: list[np.ndarray], sets: list[np.ndarray] | None = None) -> None:
-        self.nos, self.label, self.size, self.own, self.sets = nos, np.array(roots, np.int64), np.array(sizes, np.int64), sketches, sets
+    def __init__(self, nos: list[int], roots: list[int], sizes: list[int], met: list[int], sketches: list[np.ndarray], sets: list[np.ndarray] | None = None) -> None:
+        self.nos, self.label, self.size, self.met, self.own, self.sets = nos, np.array(roots, np.int64), np.array(sizes, np.int64), np.array(met, np.int64), sketches, sets
         longs = np.array([len(x) for x in sketches], np.int64)
         self.classes = {int(k): (at := np.flatnonzero(longs == k), np.stack([sketches[i] for i in at])) for k in np.unique(longs)}
 
     @classmethod
     def of_sets(cls, nos: list[int], roots: list[int], sets: list[np.ndarray]) -> Block:
-        return cls(nos, roots, [len(x) for x in sets], [sketch(x) for x in sets], sets)
+        return cls(nos, roots, [len(x) for x in sets], nos, [sketch(x) for x in sets], sets)
 
-    def near(self, s: np.ndarray, size: int, label: int, similarity: float, after: int) -> np.ndarray:
-        """Places beyond ``after`` of texts of other groups that may be similar to this one, the likeliest first."""
+    def near(self, other: Block, i: int, similarity: float) -> np.ndarray:
+        """Places of texts of other groups that may be similar to the i-th one of the other block, the likeliest first; only those behind it if it is this block."""
+        s, size, label, met, after = other.own[i], other.size[i], other.label[i], other.met[i], i if other is self else -1
         places, differ = [], []
         for longs, (at, sketches) in self.classes.items():
-            use = (at > after) & (self.label[at] != label) & (np.minimum(size, self.size[at]) >= similarity * np.maximum(size, self.size[at]) - 1e-6)
+            use = (at > after) & (self.label[at] != label) & (self.met[at] != met) & (np.minimum(size, self.size[at]) >= similarity * np.maximum(size, self.size[at]) - 1e-6)
             if use.any():
                 k = min(longs, len(s))
                 d = differences(folded(s[None, :], k), folded(sketches[use], k), budget(self.size[at[use]], size, similarity))
@@ -361,7 +362,7 @@ def near_between(a: Block, b: Block, similarity: float) -> tuple[np.ndarray, np.
     """Which texts of a and of b may be similar to one of the other block that is of another group. a may be b."""
     of_a, of_b = np.zeros(len(a.nos), bool), np.zeros(len(b.nos), bool)
     for i in range(len(a.nos)):
-        found = b.near(a.own[i], a.size[i], a.label[i], similarity, i if a is b else -1)
+        found = b.near(a, i, similarity)
         of_a[i] |= len(found) > 0
         of_b[found] = True
     return (of_a | of_b, of_a | of_b) if a is b else (of_a, of_b)
@@ -371,7 +372,7 @@ def links_between(a: Block, b: Block, similarity: float) -> list[tuple[int, int]
     """Pairs of numbers, one of each block, that join all sets of a and b which are similar and not of one group yet. a may be b."""
     out = []
     for i in range(len(a.nos)):
-        left = b.near(a.own[i], a.size[i], a.label[i], similarity, i if a is b else -1)
+        left = b.near(a, i, similarity)
         while len(left):
             j, left = left[0], left[1:]
             common = len(np.intersect1d(a.sets[i], b.sets[j], assume_unique=True))
@@ -385,22 +386,22 @@ def links_between(a: Block, b: Block, similarity: float) -> list[tuple[int, int]
 
 
 def _meetings(batches: Iterator[pd.DataFrame], value: str) -> Iterator[tuple[tuple, dict]]:
-    """Rows in the order of key, i, j, block -> (key, i, j) and, by block, the rows' no, root, n and value, as lists."""
+    """Rows in the order of key, i, j, block -> (key, i, j) and, by block, the rows' no, root, n, met and value, as lists."""
     at, held = None, {}
     for batch in batches:
-        for k, i, j, block, no, root, n, v in zip(batch.key, batch.i, batch.j, batch.block, batch.no, batch.root, batch.n, batch[value], strict=True):
+        for k, i, j, block, no, root, n, met, v in zip(batch.key, batch.i, batch.j, batch.block, batch.no, batch.root, batch.n, batch.met, batch[value], strict=True):
             if (k, i, j) != at:
                 if held:
                     yield at, held
                 at, held = (k, i, j), {}
-            for column, x in zip(held.setdefault(block, ([], [], [], [])), (no, root, n, np.asarray(v)), strict=True):
+            for column, x in zip(held.setdefault(block, ([], [], [], [], [])), (no, root, n, met, np.asarray(v)), strict=True):
                 column.append(x)
     if held:
         yield at, held
 
 
 def _linked_runs(rows: DataFrame, sketches: DataFrame, texts: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
-    """rows: (key, no, n, root), root being the group that the text is known to be of; sketches: (no, sketch); texts: (id,
+    """rows: (key, no, n, root, met), root being the group that the text is known to be of, and texts of one met having been compared before; sketches: (no, sketch); texts: (id,
     text); named: (no, id). Links (a, b) that join all texts of one key that are similar and not yet of one group.
 
     A key's run is dealt by a hash into blocks, and every two of them, and each one with itself, meet in a task of
@@ -409,14 +410,14 @@ def _linked_runs(rows: DataFrame, sketches: DataFrame, texts: DataFrame, named:
     need no comparing, and of runs, or what is left of them, with the same texts one is enough.
     """
     h = lambda seed: F.bit_xor(F.xxhash64("no", F.lit(seed)))
-    runs = rows.groupBy("key").agg(F.count("no").alias("c"), F.sum("n").alias("words"), F.min("root").alias("lo"), F.max("root").alias("hi"), h(1).alias("x"), h(2).alias("y"))
+    runs = rows.groupBy("key").agg(F.count("no").alias("c"), F.sum("n").alias("words"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("met").alias("first"), F.max("met").alias("last"), h(1).alias("x"), h(2).alias("y"))
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("words") / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
-    runs = runs.filter("lo < hi").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.first(blocks).alias("blocks"))
-    placed = rows.select("key", "no", "n", "root").join(runs.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+    runs = runs.filter("lo < hi and first < last").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.first(blocks).alias("blocks"))
+    placed = rows.select("key", "no", "n", "root", "met").join(runs.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    columns = ["key", "i", "j", "block", "no", "root", "n"]
-    pairs = placed.join(sketches, "no").select("key", "block", "no", "root", "n", "sketch", F.explode(met).alias("m")).select(*columns[:1], "m.i", "m.j", *columns[3:], "sketch")
-    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "no")
+    pairs = placed.join(sketches, "no").select("*", F.explode(met).alias("m")).select("key", "m.i", "m.j", "block", "no", "root", "n", "met", "sketch")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much to do: not to be merged into fewer
+    dealt = lambda df: df.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "no")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (k, i, j), held in _meetings(batches, "sketch"):
@@ -424,16 +425,16 @@ def _linked_runs(rows: DataFrame, sketches: DataFrame, texts: DataFrame, named:
                 made = [Block(*held[b]) for b in sorted(held)]
                 for x, which, b in zip(made, near_between(made[0], made[-1], similarity), sorted(held), strict=False):
                     at = np.flatnonzero(which)
-                    yield pd.DataFrame({"key": k, "i": i, "j": j, "block": b, "no": np.array(x.nos, np.int64)[at], "root": x.label[at], "n": x.size[at]})
+                    yield pd.DataFrame({"key": k, "i": i, "j": j, "block": b, "no": np.array(x.nos, np.int64)[at], "root": x.label[at], "n": x.size[at], "met": x.met[at]})
 
-    left = durable(dealt(pairs).mapInPandas(near, "key long, i int, j int, block int, no long, root long, n long"))
+    left = durable(dealt(pairs).mapInPandas(near, "key long, i int, j int, block int, no long, root long, n long, met long"))
     alike = left.groupBy("key", "i", "j").agg(F.count("no").alias("c"), h(1).alias("x"), h(2).alias("y")).groupBy("c", "x", "y").agg(F.min(F.struct("key", "i", "j")).alias("m")).select("m.*")
     listed = durable(shingle_sets(texts, left.select("no").distinct().join(named, "no"), words))
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (_, i, j), held in _meetings(batches, "s"):
             if len(held) == 1 + (i != j):
-                made = [Block.of_sets(nos, roots, [s.view(np.uint32) for s in sets]) for nos, roots, _, sets in (held[b] for b in sorted(held))]
+                made = [Block.of_sets(nos, roots, [s.view(np.uint32) for s in sets]) for nos, roots, _, _, sets in (held[b] for b in sorted(held))]
                 yield pd.DataFrame(links_between(made[0], made[-1], similarity), columns=["a", "b"])
 
     found = dealt(left.join(alike, ["key", "i", "j"]).join(listed, "no")).mapInPandas(linked, "a long, b long")
@@ -484,9 +485,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     if again.limit(1).count():
         runs = lambda rows: _linked_runs(rows, every.select("no", "sketch"), texts, named, words, similarity)
         rows = _rooted(every.select("no", "n").join(again, "no"), edges)
-        longest = rows.groupBy("no").agg(F.max(F.struct("c", "key"))["key"].alias("key"))
-        edges = durable(edges.union(runs(rows.join(longest, ["no", "key"]))))
-        edges = durable(edges.union(runs(_rooted(rows.select("key", "no", "n"), edges))))
+        longest = durable(rows.groupBy("no").agg(F.max(F.struct("c", "key"))["key"].alias("met")))
+        edges = durable(edges.union(runs(rows.join(longest.withColumnRenamed("met", "key"), ["no", "key"]).withColumn("met", F.col("no")))))
+        edges = durable(edges.union(runs(_rooted(rows.select("key", "no", "n"), edges).join(longest, "no"))))
     linked = connected_components(edges)
     return named.join(linked.withColumnRenamed("node", "no"), "no", "left").select(F.col("id").alias("text_key"), F.coalesce("root", "no").alias("root"))
 
