@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 REALS = ArrayType(DoubleType())
-COMPLEX = ArrayType(StructType().add("re", DoubleType()).add("im", DoubleType()))
+PLANES = StructType().add("re", REALS).add("im", REALS)
 
 
 def next_pow2(n: int) -> int:
@@ -56,18 +56,30 @@ def real_fft(data: pd.Series) -> pd.Series:
 
 
 def _fft(inverse: bool, any_length: bool):  # noqa: ANN202
-    @F.pandas_udf(COMPLEX)
-    def transform(data: pd.Series) -> pd.Series:
-        def each(clip) -> list[dict]:  # noqa: ANN001
-            x = np.array([complex(c["re"], c["im"]) for c in clip]) if len(clip) else np.empty(0, complex)
-            if not any_length and len(x) & (len(x) - 1):
+    """A Column function: Python sees two arrays of numbers for each clip, never a record for each bin."""
+
+    @F.pandas_udf(PLANES)
+    def transform(re: pd.Series, im: pd.Series) -> pd.DataFrame:
+        size = re.map(lambda c: -1 if c is None else len(c))
+        out = pd.DataFrame({"re": [None] * len(re), "im": [None] * len(re)}, dtype=object)
+        for n in size.unique():
+            if n < 0:
+                continue
+            if not any_length and n & (n - 1):
                 raise ValueError("the length is not a power of two")
-            y = (np.fft.ifft if inverse else np.fft.fft)(x) if len(x) else x
-            return [{"re": float(c.real), "im": float(c.imag)} for c in y]
-
-        return pd.Series([None if c is None else each(c) for c in data])
-
-    return transform
+            at = np.flatnonzero(size == n)
+            x = np.stack([np.asarray(re.iloc[i], float) + 1j * np.asarray(im.iloc[i], float) for i in at])
+            y = (np.fft.ifft if inverse else np.fft.fft)(x) if n else x
+            for i, row in zip(at, y, strict=True):
+                out.iat[i, 0], out.iat[i, 1] = row.real, row.imag
+        return out
+
+    def of(data: Column | str) -> Column:
+        clip = F.col(data) if isinstance(data, str) else data
+        both = transform(clip.getField("re"), clip.getField("im"))
+        return F.when(clip.isNotNull(), F.arrays_zip(both["re"].alias("re"), both["im"].alias("im")))
+
+    return of
 
 
 #: Radix-2 and any-length transforms of arrays of complex numbers, and their inverses.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PLANS = ("signals", "generated", "timelines", "spectra", "recurrences", "media", "events")
+PLANS = ("signals", "generated", "timelines", "spectra", "recurrences", "media", "events", "seconds")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
