@@ -50,6 +50,36 @@ def test_empty_tables(spark, name):
     assert OPERATORS[name][0](documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_very_long_words_and_very_many_lines(spark, name):
+    rows = [(1, "x" * 1_000_000, "x"), (2, "\n" * 100_000 + "a b\n" * 100_000, "y"), (3, "<" * 200_000 + "%PDF-" * 20_000, "x"), (4, " ".join(map(str, range(300_000))), "y")]
+    got = OPERATORS[name][0](documents(spark, rows)).toPandas()
+    assert set(got.doc_id) <= {1, 2, 3, 4} and (OPERATORS[name][1] is None or len(got) == 4)
+
+
+PAGES = "page_id long, url string, html string"
+TALK = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_other_tables_with_clashing_columns_and_without_rows(spark, empty):
+    def clash(rows, schema, names):
+        df = spark.createDataFrame([] if empty else rows, schema)
+        return df.select("*", *[F.lit(7).alias(c) for c in names])
+
+    n = 0 if empty else 3
+    pages = clash([(1, "http://a.org/x", '<link rel=canonical href="/y">'), (2, "http://a.org/y", None), (None, None, "x" * 100_000)], PAGES, ["host", "path", "rule", "verdict", "by", "component", "node", "root", "blocked", "__node", "__rule", "source", "target", "tag"])
+    got = urls.judge_urls(pages)
+    assert got.count() == n and len(set(got.columns)) == len(got.columns)
+    talk = clash([(1, 1, "user", "a"), (1, 1, "user", "a"), (2, None, None, None), (3, 1, "assistant", "long " * 100_000)], TALK, ["messages", "turns", "layout", "formatted", "loss_spans", "__parts", "__turns", "__loss", "n_turns", "fingerprint"])
+    assert sorted((r.conv_id, r.n_turns) for r in chat.format_conversations(talk).collect()) == [(1, 2), (2, 1), (3, 1)][:n]
+    held = clash([(1, b"GIF89a", "x"), (1, b"GIF89a", "x"), (None, None, None)], "id long, content binary, declared string", ["type", "length", "carved", "declared_ok", "rows"])
+    out = media.sniff_media(held)
+    assert out.count() == n and out.columns == ["id", "rows", "type", "declared_ok", "length", "carved"]
+    records = clash([("p", "c"), ("p", "c"), (None, None)], "prompt string, completion string", ["turns", "layout", "fingerprint", "other"])
+    assert sorted(str(r.layout) for r in chat.canonical_turns(records).collect()) == ["None", "prompt", "prompt"][:n]
+
+
 def test_odd_rows_have_the_results_that_are_told(spark):
     df = documents(spark)
     q = {r.doc_id: r for r in quality.repetition_rules(df).filter("doc_id is not null").collect()}
