@@ -506,7 +506,8 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
     ids = docs.select(key.alias("text_key"), place.alias("place")).groupBy("text_key", "place").agg(F.count(F.lit(1)).alias("rows"))
     placed = durable(ids.join(groups, "text_key"))
-    first = placed.groupBy("root").agg(F.min(F.struct("place", "text_key")).alias("x"), F.sum("rows").alias("all")).filter(F.col("all") > 1)
+    # Written before the join: so that a large group's texts are a join key that adaptive execution can split.
+    first = durable(placed.groupBy("root").agg(F.min(F.struct("place", "text_key")).alias("x"), F.sum("rows").alias("all")).filter(F.col("all") > 1))
     name = lambda text_key, doc_id: F.concat(text_key, F.lit("|"), F.coalesce(doc_id.cast("string"), F.lit("\\N")))
     own = free_name(docs, "__own")
     stays = F.struct("place", "text_key") == F.col("x")
