@@ -7,7 +7,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from wavelake.functions import samples
 from wavelake.operators import resample as r
+from wavelake.operators import timelines
 from wavelake.sources import video as v
 
 
@@ -113,3 +117,34 @@ def test_vp9_and_av1():
     assert v.av1_sequence(got[1]["body"]) == {"profile": 0, "still": False, "level": 8, "width": 640, "height": 360}
     with pytest.raises(ValueError):
         v.vp9_header(b"\0")
+
+
+@pytest.mark.parametrize("width, rows, height, first", [(300, 7, 20, 0), (128, 4, 4, 0), (640, 6, 30, 12), (5, 3, 9, 2)])
+def test_detiling_equals_a_plain_loop(width, rows, height, first):
+    plane = np.random.default_rng(width).integers(0, 256, 128 * height * (-(-width // 128)) - 70).astype(np.uint8).tobytes()
+    at = lambda x, y: x // 128 * 128 * height + (first + y) * 128 + x % 128
+    want = bytes(plane[at(x, y)] if at(x, y) < len(plane) else 0 for y in range(rows) for x in range(width))
+    assert v.detiled(plane, width, rows, height, first) == want
+
+
+def test_video_headers_tell_errors(spark):
+    rows = [("h264", b"\0\0\0\1\x67"), ("h265", b"none"), ("vp9", b""), ("av1", b"\x0a\x01\x00"), ("other", b"x"), ("h264", None)]
+    got = v.video_headers(spark.createDataFrame(rows, "codec string, data binary")).collect()
+    assert len(got) == 6 and all(r.video["error"] for r in got if r.codec != "av1")
+
+
+def test_a_mixer_adapts_places_and_sums(spark):
+    rows = [("m", 0, 8000, 2, 0.5, [1.0, 2.0, 3.0, 4.0]), ("m", 1, 8000, 1, 2.0, [10.0]), ("m", 0, 4000, 1, 1.0, [5.0, 6.0])]
+    tracks = spark.createDataFrame(rows, "mix string, start_frame long, rate int, channels int, gain double, data array<double>")
+    got = {r.pos: r.mixed for r in timelines.mixer(tracks, ["mix"], 8000, 2, (8000, 4000), 0.5).collect()}
+    assert got[0] == 0.5 * (0.5 + 5) and got[1] == 0.5 * (1.0 + 5) and got[2] == 0.5 * (1.5 + 20 + 5) and got[3] == 0.5 * (2 + 20 + 5)
+    mono = {r.pos: r.mixed for r in timelines.mixer(tracks.limit(1), ["mix"], 8000, 1, (8000,)).collect()}
+    assert mono == {0: 0.75, 1: 1.75}
+
+
+def test_channels_are_resampled_apart(spark):
+    data = [float(v) for i in range(10) for v in (i, 100 - i)]
+    df = spark.createDataFrame([(data, data[::2], data[1::2])], "d array<double>, l array<double>, r array<double>")
+    for kind in ("linear", "hold"):
+        both, left, right = df.select(samples.resampled(F.col("d"), 8000, 12000, 2, kind), samples.resampled(F.col("l"), 8000, 12000, 1, kind), samples.resampled(F.col("r"), 8000, 12000, 1, kind)).first()
+        assert both[::2] == left and both[1::2] == right

@@ -213,6 +213,12 @@ def resample_linear(data: Column, rate_in: int, rate_out: int) -> Column:
     return F.transform(indices(n), lambda k: before(k) + part(k) * (F.get(data, at(k)) - before(k)))
 
 
+def resampled(data: Column, rate_in: int, rate_out: int, channels: int = 1, kind: str = "linear") -> Column:
+    """Interleaved frames of any number of channels, each by resample_linear or resample_hold; a ragged tail is dropped."""
+    one = {"linear": resample_linear, "hold": resample_hold}[kind]
+    return one(data, rate_in, rate_out) if channels == 1 else interleave(F.transform(deinterleave(data, channels), lambda c: one(c, rate_in, rate_out)))
+
+
 # PCM bytes -------------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.samples import div, indices, resample_hold, upmix
+from ..functions.samples import div, downmix, indices, resample_hold, upmix
 
 
 def placed_samples(cues: DataFrame, clips: DataFrame, cursor: int = 0) -> DataFrame:
@@ -30,6 +30,18 @@ def mix(samples: DataFrame) -> DataFrame:
     return samples.groupBy("frame").agg(F.sum(F.col("sample") * F.col("gain")).alias("mixed"))
 
 
+def mixer(tracks: DataFrame, keys: list[str], rate: int, channels: int, rates: tuple[int, ...], master: float = 1.0) -> DataFrame:
+    """tracks: (keys, start_frame, rate, channels, gain, data) -> (keys, pos, mixed): every track brought to the mixer's
+    rate and channels, placed, scaled and summed. pos counts interleaved samples; start_frame is in frames of the mixer.
+    ``rates`` lists the tracks' rates; a track of another one is taken to have the mixer's."""
+    if channels not in (1, 2):
+        raise ValueError("a mixer has one or two channels")
+    stereo = tracks.select(*keys, "start_frame", "gain", adapt(F.col("data"), F.col("rate"), F.col("channels"), rates, rate).alias("data"))
+    own = stereo.select(*keys, "start_frame", "gain", (F.col("data") if channels == 2 else downmix(F.col("data"))).alias("data"))
+    at = own.select(*keys, "start_frame", "gain", F.posexplode("data").alias("pos", "sample"))
+    return at.groupBy(*keys, (F.col("start_frame") * channels + F.col("pos")).alias("pos")).agg((F.sum(F.col("sample") * F.col("gain")) * master).alias("mixed"))
+
+
 def on_spine(mixed: DataFrame, begin: int, end: int) -> DataFrame:
     """Every frame in [begin, end), silence where nothing sounds, and whether that is so (an underrun)."""
     spine = mixed.sparkSession.range(begin, end).withColumnRenamed("id", "frame")

@@ -121,8 +121,8 @@ def mixer_adapt(spark: SparkSession, d: str) -> DataFrame:
     """A mixer per label: tracks of other rates are resampled, mono ones up-mixed, all scaled, summed, then saturated."""
     label = F.col("label")
     form = clips(spark, d).filter((label % 2 == 0) | (label % 3 == 0)).withColumn("rate", F.when(label % 3 == 0, 8000).when(label % 3 == 1, 4000).otherwise(16000)).withColumn("channels", label % 2 + 1)
-    stereo = form.select("label", t.adapt(F.col("data"), F.col("rate"), F.col("channels"), (8000, 4000, 16000), 8000).alias("data"))
-    summed = stereo.select("label", F.posexplode("data").alias("pos", "x")).groupBy("label", "pos").agg(F.sum(F.col("x") * 0.5).alias("x"))
+    tracks = form.select("label", F.lit(0).cast("long").alias("start_frame"), "rate", "channels", F.lit(0.5).alias("gain"), "data")
+    summed = t.mixer(tracks, ["label"], 8000, 2, (8000, 4000, 16000)).select("label", "pos", F.col("mixed").alias("x"))
     return summed.select("label", F.floor(F.col("pos") / 2).cast("int").alias("frame"), (F.col("pos") % 2).alias("ch"), r6(soft_saturate(F.col("x"))).alias("mixed"))
 
 

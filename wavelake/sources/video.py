@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def annexb(stream: bytes) -> Iterator[bytes]:
     """Units between start codes (three or four bytes)."""
@@ -221,3 +226,59 @@ def av1_sequence(body: bytes) -> dict:
             level = this if i == 0 else level
     wide, high = b.u(4) + 1, b.u(4) + 1
     return {"profile": profile, "still": bool(still), "level": level, "width": b.u(wide) + 1, "height": b.u(high) + 1}
+
+
+VIDEO = "struct<codec:string,profile:int,level:int,chroma:int,depth:int,width:int,height:int,key:boolean,error:string>"
+
+
+def _told(codec: str, data: bytes) -> dict:
+    if codec in ("h264", "h265"):
+        sps = next((u for u in units(data, codec) if "width" in u), None)
+        if sps is None:
+            raise ValueError("no sequence parameter set")
+        return sps | {"key": any(u["keyframe"] for u in units(data, codec))}
+    if codec == "vp9":
+        return vp9_header(vp9_frames(data)[0])
+    if codec == "av1":
+        found = next((u for u in av1_units(data) if u["type"] == 1), None)
+        if found is None:
+            raise ValueError("no sequence header")
+        return av1_sequence(found["body"])
+    raise ValueError(f"no codec is named {codec}")
+
+
+def video_headers(streams: DataFrame, codec: str = "codec", data: str = "data") -> DataFrame:
+    """streams with ``video``: what the first header of each H.264, H.265, VP9 or AV1 stream tells; a broken one tells its error."""
+    names = [x.split(":")[0] for x in VIDEO.removeprefix("struct<").removesuffix(">").split(",")]
+
+    @F.pandas_udf(VIDEO)
+    def told(codecs: pd.Series, raw: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, b in zip(codecs, raw, strict=True):
+            try:
+                rows.append({"codec": c} | {k: v for k, v in _told(c, bytes(b or b"")).items() if k in names})
+            except Exception as e:  # noqa: BLE001  whatever a damaged stream leads to is told in its row
+                rows.append({"codec": c, "error": f"{type(e).__name__}: {e}"})
+        out = pd.DataFrame(rows, columns=names)
+        out = out.astype(object).where(out.notna(), None)
+        return out.astype({k: "Int32" for k in ("profile", "level", "chroma", "depth", "width", "height")} | {"key": "boolean"})
+
+    return streams.withColumn("video", told(codec, data))
+
+
+#: Bytes of a column's row.
+COLUMN = 128
+
+
+def detiled(plane: bytes, width: int, rows: int, column_height: int, first: int = 0) -> bytes:
+    """A plane that lies in columns of COLUMN bytes, each of column_height rows, as rows of ``width`` bytes; first: the row in each column where it begins. What the plane does not hold is 0."""
+    columns = -(-width // COLUMN)
+    at = np.arange(columns)[None, :, None] * (COLUMN * column_height) + (first + np.arange(rows))[:, None, None] * COLUMN + np.arange(COLUMN)[None, None, :]
+    held = np.frombuffer(plane, np.uint8)
+    out = np.where(at < len(held), held[np.minimum(at, max(len(held) - 1, 0))] if len(held) else 0, 0)
+    return out.reshape(rows, columns * COLUMN)[:, :width].astype(np.uint8).tobytes()
+
+
+def detiled_nv12(luma: bytes, chroma: bytes, width: int, height: int, column_height: int, coded_height: int) -> tuple[bytes, bytes]:
+    """Both planes of a picture; chroma lies behind the coded rows of luma in the same columns if both are one buffer, which equal lengths tell."""
+    return detiled(luma, width, height, column_height), detiled(chroma, width, height // 2, column_height, coded_height if len(luma) == len(chroma) else 0)
