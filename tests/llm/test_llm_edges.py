@@ -247,7 +247,7 @@ def test_trie_finds_what_was_put_in_and_nothing_else(tmp_path):
 
 def test_quantised_shares():
     p = np.array([1.0, 0.5, 1e-9, 0.0])
-    assert np.allclose(share_of(quantise(p)), p, rtol=0.0003) and share_of(quantise(p))[3] == 0
+    assert np.allclose(share_of(quantise(p)), p, rtol=0.0012) and share_of(quantise(p))[3] == 0
 
 
 def test_scores_do_not_depend_on_chunks_or_shards(spark, monkeypatch):

@@ -37,7 +37,7 @@ PRIOR, GROWTH = 4.0, 0.9
 #: The part of P that two words leave to the shorter context: ONCE where training has them once, which says little of what follows; AGAIN * (2 / c) ** FADE from the second time on.
 ONCE, AGAIN, FADE = 0.8, 0.4, 0.2
 FOLDS, HELD_OUT = 5, 1
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 1_400_000
 #: Trigrams that a shard gets, about; and occurrences of one first word, or different successors of one pair, beyond which these are spread.
 SHARD_ENTRIES, HOT = 1_000_000, 500_000
 #: Pairs that are spread, at most: their list is told to all chunks (16 MB).
@@ -58,7 +58,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays, each with its kind and length, as one compressed blob. Bytes of equal weight lie together, which compresses better."""
     head = np.array([x for a in arrays for x in (ord(a.dtype.char), len(a))], np.int64)
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(head)).tobytes() + head.tobytes() + b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(head)).tobytes() + head.tobytes() + b"".join(planes))
 
 
 def _open(blob: bytes) -> list[np.ndarray]:
@@ -169,7 +169,7 @@ class Chunk:
     def ask_words(self, chunk: int, bits: int) -> pd.DataFrame:
         count = np.bincount(self.token, self.train, len(self.words)).astype(np.int64)
         at = _bounds(self.words, bits)
-        rows = [(chunk, s, _squeeze(self.words[at[s] : at[s + 1]], _slim(count[at[s] : at[s + 1]]))) for s in map(int, np.flatnonzero(np.diff(at)))]
+        rows = [(chunk, s, _squeeze(np.diff(self.words[at[s] : at[s + 1]], prepend=U64(0)), _slim(count[at[s] : at[s + 1]]))) for s in map(int, np.flatnonzero(np.diff(at)))]
         return pd.DataFrame(rows, columns=["chunk", "shard", "question"])
 
     def learn_words(self, answers: pd.DataFrame, model: Model) -> None:
@@ -254,7 +254,7 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ask_grams(chunk_no: int, chunk: Chunk, model: Model) -> pd.DataFrame:
-    """A chunk's questions, a row for each shard: first words (as differences) with their numbers of second ones and counts, these with their numbers of third ones, these with their counts; pairs that are spread, and their counts."""
+    """A chunk's questions, a row for each shard: first words with their numbers of second ones, these with their numbers of third ones, these with their counts; first words that are spread, and pairs that are, and their counts. Words are told as differences to the one before, under one first word."""
     g = chunk.grams(chunk.place, len(chunk.numbers))
     _, told, parts = _spread(chunk, g, model)
     rows = []
@@ -264,10 +264,13 @@ def ask_grams(chunk_no: int, chunk: Chunk, model: Model) -> pd.DataFrame:
             pair = g.context[own[begin]]
             at, n_second = _runs(g.a[pair])
             a = g.a[pair[at]]
-            hot = np.flatnonzero(told[pair] >= 0)
+            wide, hot = np.flatnonzero(chunk.above[a] >= model.hot_from), np.flatnonzero(told[pair] >= 0)
+            second = chunk.numbers[g.b[pair]]
+            step = np.diff(second, prepend=U64(0))
+            step[at] = second[at]
             blob = _squeeze(
-                _slim(np.diff(chunk.numbers[a], prepend=U64(0))), _slim(n_second), _slim(chunk.above[a]), _slim(chunk.numbers[g.b[pair]]), _slim(n_third),
-                _slim(chunk.numbers[g.c[own]]), _slim(g.count[own]), _slim(hot), _slim(told[pair[hot]]),
+                _slim(np.diff(chunk.numbers[a], prepend=U64(0))), _slim(n_second), _slim(step), _slim(n_third), _slim(chunk.numbers[g.c[own]]), _slim(g.count[own]),
+                _slim(wide), _slim(chunk.above[a[wide]]), _slim(hot), _slim(told[pair[hot]]),
             )
             rows.append((chunk_no, shard, blob))
     return pd.DataFrame(rows, columns=["chunk", "shard", "question"])
@@ -329,7 +332,7 @@ def _answer_words(folder: str, build: bool) -> Callable[[pd.DataFrame], pd.DataF
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         opened, path = [_open(b) for b in group.question], f"{folder}/words-{group.shard.iloc[0]}"
-        asked, inverse = np.unique(np.concatenate([x[0] for x in opened]), return_inverse=True)
+        asked, inverse = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for x in opened]), return_inverse=True)
         tokens = types = 0
         if build:
             count = _summed(inverse, np.concatenate([x[1].astype(np.int64) for x in opened]), len(asked))
@@ -373,16 +376,19 @@ def _answer_grams(model: Model, build: bool) -> Callable[[pd.DataFrame], pd.Data
         join = lambda k, kind=np.int64: np.concatenate([x[k].astype(kind) for x in opened])
         first = np.concatenate([np.cumsum(x[0].astype(np.int64)) for x in opened])
         words, a = np.unique(first, return_inverse=True)
-        a2, b2, pair = _ranked(np.repeat(a, join(1)), join(3))
-        context, c3, triple = _ranked(np.repeat(pair, join(4)), join(5))
+        step, runs = join(2), join(1)
+        total, begin = np.cumsum(step), np.cumsum(runs) - runs
+        second = total - np.repeat(total[begin] - step[begin], runs) if len(step) else step
+        a2, b2, pair = _ranked(np.repeat(a, runs), second)
+        context, c3, triple = _ranked(np.repeat(pair, join(3)), join(4))
         if build:
-            above = np.zeros(len(words), np.int64)
-            above[a] = join(2)
-            count = _summed(triple, join(6), len(c3))
+            # All trigrams of a first word, and of a pair, are here, but for those that are spread; these tell their counts.
+            listed = lambda k, part: np.concatenate([x[k].astype(np.int64) + o for x, o in zip(opened, np.cumsum([0, *[len(x[part]) for x in opened]]), strict=False)])
+            count = _summed(triple, join(5), len(c3))
             of_pair = _summed(context, count, len(a2))
-            offsets = np.cumsum([0, *[len(x[3]) for x in opened]])
-            hot = np.concatenate([x[7].astype(np.int64) + o for x, o in zip(opened, offsets, strict=False)])
-            of_pair[pair[hot]] = join(8)
+            above = _summed(a2, of_pair, len(words))
+            above[a[listed(6, 0)]] = join(7)
+            of_pair[pair[listed(8, 2)]] = join(9)
             stored_file(path, trie_of(model.number_bits, words, above, a2, b2, of_pair, context, c3, count).to_bytes())
         trie = Trie.map(mapped_file(path))
         second = trie.below(1, trie.root(words)[a2], b2)
@@ -390,7 +396,7 @@ def _answer_grams(model: Model, build: bool) -> Callable[[pd.DataFrame], pd.Data
         three = trie.code(2, trie.below(2, second[context], c3))[triple]
         out = group[["chunk", "shard"]].copy()
         cut = lambda x, k: np.split(x, np.cumsum([len(o[k]) for o in opened])[:-1])
-        out["answer"] = [_squeeze(x, y) for x, y in zip(cut(two, 3), cut(three, 5), strict=True)]
+        out["answer"] = [_squeeze(x, y) for x, y in zip(cut(two, 2), cut(three, 4), strict=True)]
         return out
 
     return answer
@@ -509,7 +515,7 @@ def _scored(docs: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
     level = lambda df, k: df.select(F.lit(k).alias("level"), "chunk", "shard", "answer")
     meta = chunks.drop("doc_ids")
     asked = meta.groupBy("chunk").cogroup(level(words, 1).groupBy("chunk")).applyInPandas(ask, QUESTION)
-    grams = durable(asked.groupBy("shard").applyInPandas(_answer_grams(model, build), ANSWER))
+    grams = asked.groupBy("shard").applyInPandas(_answer_grams(model, build), ANSWER)
     answers = level(words, 1).union(level(grams, 2))
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
@@ -517,8 +523,9 @@ def _scored(docs: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
 
 
 def learned_model(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model that the docs give, its files in the shared folder, and score_documents(docs)."""
-    return _scored(docs, None)
+    """The model that the docs give, its files in the shared folder, and score_documents(docs), which has been run: that writes the files."""
+    model, scores = _scored(docs, None)
+    return model, durable(scores)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:

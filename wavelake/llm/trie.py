@@ -12,7 +12,7 @@ import numpy as np
 from .common import U64
 
 #: A share's code is 1 - log10 in these steps; 0 is a share of nothing.
-STEP = 1 / 4096
+STEP = 1 / 1024
 MAX_CODE = 65535
 
 
