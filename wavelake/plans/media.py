@@ -219,7 +219,19 @@ def opus_packets(spark: SparkSession, d: str) -> DataFrame:
     return readers.opus_packets(pcm_bytes(spark, d).withColumnRenamed("raw", "data")).select("id", "opus.*")
 
 
-@query()
+def _crc_sql(width: int, poly: int, start: int = 0) -> tuple[str, str]:
+    """The checksum of the list b of bytes, by folding (its first element is what the checksum starts from), and its table."""
+    table, mask = f"[{', '.join(str(x) for x in checksums._table(width, poly))}]", (1 << width) - 1
+    return f"list_reduce(list_concat([{start}::BIGINT], b), lambda r, x: xor((r << 8) & {mask}, t{width}x{poly}[xor(r >> {width - 8}, x) + 1]))", f"{table} AS t{width}x{poly}"
+
+
+_SUMS = {"ogg": _crc_sql(32, 0x04C11DB7), "flac8": _crc_sql(8, 0x07), "flac16": _crc_sql(16, 0x8005), "adts": _crc_sql(16, 0x8005, 0xFFFF)}
+
+
+@query(
+    f"""WITH {BYTES_SQL}, tables AS (SELECT {", ".join(sorted({t for _, t in _SUMS.values()}))}), l AS (SELECT id, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM bytes)
+SELECT id, {", ".join(f"({c})::{'BIGINT' if k == 'ogg' else 'INT'} AS {k}" for k, (c, _) in _SUMS.items())} FROM l, tables"""
+)
 def byte_checksums(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("struct<ogg:long,flac8:int,flac16:int,adts:int>")
     def sums(raw: pd.Series) -> pd.DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +51,14 @@ def imdct(spark: SparkSession, d: str) -> DataFrame:
     return long(clips(spark, d).select("clip_id", sp.imdct(sp.mdct("data")).alias("data")), "clip_id")
 
 
-@query()
+@query(
+    f"""WITH {_X}, g AS (SELECT a.i, b.j, sum(cos({math.pi / 16!r}::DOUBLE * (k + 0.5) * (i + 4.5)) * cos({math.pi / 16!r}::DOUBLE * (k + 0.5) * (j + 4.5))) / 8 AS w FROM range(16) a(i), range(16) b(j), range(8) c(k) GROUP BY 1, 2),
+o AS (SELECT x.clip_id, 8 * f + g.i AS p, sum(g.w * x.v) AS v FROM x JOIN range(7) r(f) ON x.i BETWEEN 8 * f AND 8 * f + 15 JOIN g ON g.j = x.i - 8 * f GROUP BY 1, 2)
+SELECT o.clip_id, round(max(abs(o.v - x.v)), 6) AS max_error FROM o JOIN x ON x.clip_id = o.clip_id AND x.i = o.p WHERE o.p BETWEEN 8 AND 47 GROUP BY 1"""
+)
 def mdct_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of half-overlapping frames of 16 samples that are transformed, transformed back and added."""
+
     @F.pandas_udf("double")
     def error(data: pd.Series) -> pd.Series:
         return pd.Series([sp.mdct_round_trip_error(np.asarray(x, float), 8) for x in data])
