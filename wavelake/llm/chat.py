@@ -75,7 +75,8 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     """Adds fingerprint, layout and turns (TURNS) to records; replaces columns of these names.
 
     A record whose fingerprint no layout has keeps a null layout and null turns. Null roles and texts in turns
-    become empty. An array that is empty fills its paths: such a record has no turns.
+    become empty. An array that is empty fills its paths: such a record has no turns. Repeated records give the same
+    turns; other columns are carried along and fill no paths; an empty table gives an empty one.
     """
     records = records.drop("fingerprint", "layout", "turns")
     usable = {k: v for k, v in LAYOUTS.items() if {p.split("[")[0] for p in v.paths} <= set(records.columns)}
@@ -155,7 +156,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, layout, formatted, loss_spans, and what reading the text back gives.
 
     n_turns, turns_sha256 (role, line feed, text, line feed for each turn), loss_chars, loss_sha256,
-    formatted_chars. Only conv_id, turn, role and text are read; an empty table gives an empty one.
+    formatted_chars. Null roles and texts are empty; ties and repeated rows are ordered by role and text; long texts and
+    long conversations are formatted whole. Only conv_id, turn, role and text are read, whatever other columns are
+    called; an empty table gives an empty one.
     """
     out = formatted(canonical_turns(conversation_records(rows))).select("conv_id", "layout", "formatted", "loss_spans")
     out = out.withColumn("__turns", read_back(F.col("formatted"))).withColumn("__loss", loss_text(F.col("formatted"), F.col("loss_spans")))

@@ -91,7 +91,8 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id and COLUMNS.
 
     Null and empty texts have no words, so they fail the base rule; a null doc_id stays null; repeated rows
-    are judged one by one; other columns are not read. An empty table gives an empty one. Texts are handled
+    are judged one by one; a share that equals its limit passes; other columns are not read, whatever they are called.
+    An empty table gives an empty one. Texts are handled
     whole, in groups of about BATCH_WORDS words (a longer text alone), so memory follows the longest text.
     """
 
@@ -107,7 +108,11 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text passes both the base rule and the repetition rules."""
+    """The rows of ``docs``, with all their columns, whose text passes both the base rule and the repetition rules.
+
+    Null and empty texts fail; long texts are judged whole; repeated rows are judged one by one, so all stay or all go;
+    columns may have any names; an empty table gives an empty one.
+    """
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:

@@ -116,7 +116,9 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     Fingerprints over word shingles (A-Z lower-cased, repeats counted) are linked at 2 or fewer differing bits;
     component_id is the smallest doc_id that links reach. Null and empty texts have fingerprint zero and are linked
     like any other; null ids are passed over unless a component has no other. Equal fingerprints are collapsed
-    first, so copies cost nothing. Only doc_id and text are read; an empty table gives an empty one.
+    first, so copies and repeated rows cost nothing. A bit that exactly half the hashes have is 0. Long texts are read
+    whole. Ids are never read by Python as numbers. Only doc_id and text are read, whatever other columns are called; an
+    empty table gives an empty one.
     """
     fps = durable(fingerprints(docs, words))
     groups = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))

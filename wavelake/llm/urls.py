@@ -84,7 +84,9 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tupl
     redirects: (source, target) urls from a crawl's log; edges out of the pages' html are added. The verdict is the
     rule's; without one it is block if any url of the same component, be it a page or only a link's target, is
     blocked by a rule, else allow. Null urls and urls without '://' have empty host and path, no aliases, and are
-    allowed. Null html has no links; repeated rows are judged alike; an empty table gives an empty one.
+    allowed. Null html has no links, very long html is searched whole; repeated rows are judged alike. Of rules that fit
+    the longest wins, of equally long ones the first in name order. Columns other than page_id, url and html are not
+    read, whatever they are called; an empty table gives an empty one.
     """
     edges = link_edges(pages)
     if redirects is not None:
