@@ -228,20 +228,21 @@ def test_trie_finds_what_was_put_in_and_nothing_else(tmp_path):
     place = {x: i for i, x in enumerate(pairs)}
     codes = [rng.integers(0, 65536, len(x)).astype(np.uint16) for x in (pairs, grams)]
     level = lambda rows, code: (*(np.array(x, np.int64) for x in zip(*rows, strict=True)), code)
-    trie = Trie.of(20, np.array(first), [level(two, codes[0]), level([(place[g[:2]], g[2]) for g in grams], codes[1])])
+    trie = Trie.of(np.array(first), np.arange(len(first)), [level(two, codes[0]), level([(place[g[:2]], g[2]) for g in grams], codes[1])])
     path = str(tmp_path / "trie")
     common.stored_file(path, trie.to_bytes())
     t = Trie.map(common.mapped_file(path))
     asked = np.array([*grams, *rng.integers(0, 70, (2000, 3)).tolist()])
-    second = t.below(1, t.root(asked[:, 0]), asked[:, 1])
-    third = t.below(2, second, asked[:, 2])
+    second = t.below(1, t.root(asked[:, 0]), t.named(asked[:, 1]))
+    third = t.below(2, second, t.named(asked[:, 2]))
     know = {g: c for g, c in zip(grams, codes[1], strict=True)}
     assert t.code(2, third).tolist() == [know.get(tuple(g), 0) for g in asked.tolist()]
     assert ((third >= 0) == [tuple(g) in know for g in asked.tolist()]).all()
     assert t.code(1, second).tolist() == [int(codes[0][place[tuple(g[:2])]]) if tuple(g[:2]) in place else 0 for g in asked.tolist()]
     assert len(trie.to_bytes()) < 8 * (len(grams) + len(pairs))
     none = np.empty(0, np.int64)
-    bare = Trie.map(Trie.of(20, none, [(none, none, none.astype(np.uint16))] * 2).to_bytes())
+    assert t.counts.tolist() == list(range(len(first)))
+    bare = Trie.map(Trie.of(none, none, [(none, none, none.astype(np.uint16))] * 2).to_bytes())
     assert bare.below(2, bare.below(1, bare.root(np.array([1])), np.array([2])), np.array([3])).tolist() == [-1]
 
 

@@ -13,7 +13,8 @@ different successors by the third one; which ones these are is known to all chun
 
 Smoothing: P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), with h' the shorter context, down to
 P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). m depends on c(h) only, so P sums to 1. The trie holds the shares
-c(hw) / (c(h) + m) as codes; a share and the count of the context above give c(hw) back.
+c(hw) / (c(h) + m) as codes; a share and the count of the context above give c(hw) back, which is what shards answer: it
+is small, mostly, where codes are not.
 """
 
 from __future__ import annotations
@@ -130,12 +131,11 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """folder: where the shards' files are; bits of the numbers of shards; number_bits: bits of a word's number; hot_from: HOT; total, types, texts: N, V and texts in training; hot: hashes, in order, and counts of the pairs that are spread."""
+    """folder: where the shards' files are; bits of the numbers of shards; hot_from: HOT; total, types, texts: N, V and texts in training; hot: hashes, in order, and counts of the pairs that are spread."""
 
     folder: str
     word_bits: int
     gram_bits: int
-    number_bits: int
     hot_from: int
     total: int
     types: int
@@ -277,9 +277,9 @@ def ask_grams(chunk_no: int, chunk: Chunk, model: Model) -> pd.DataFrame:
 
 
 def chunk_scores(chunk: Chunk, answers: pd.DataFrame, model: Model) -> np.ndarray:
-    """The tokens' log10 probabilities, from the shards' codes of pairs and trigrams."""
+    """The tokens' log10 probabilities, from the shards' counts of pairs and trigrams."""
     g = chunk.grams(chunk.place, len(chunk.numbers))
-    two, three = np.zeros(len(g.a), np.uint16), np.zeros(len(g.c), np.uint16)
+    two, three = np.zeros(len(g.a)), np.zeros(len(g.c))
     blobs = dict(zip(answers.shard, answers.answer, strict=True))
     for shard, own in enumerate(_spread(chunk, g, model)[2]):
         if len(own):
@@ -287,15 +287,12 @@ def chunk_scores(chunk: Chunk, answers: pd.DataFrame, model: Model) -> np.ndarra
             two[g.context[own[begin]]], three[own] = _open(blobs[shard])
     before, _ = chunk.neighbours(chunk.place)
     above = np.where(before >= 0, chunk.above[before], 0)
-    share = np.zeros(len(above))
-    share[g.use] = share_of(two)[g.pair]
+    seen, behind = np.zeros(len(above)), np.zeros(len(above))  # how often training has the pair that ends here, and that with the next word
+    seen[g.use], behind[g.use] = two[g.pair], three[g.triple]
     m = reserve(above, 2)
-    p2 = share + m / (above + m) * chunk.p1
-    seen = np.rint(share * (above + m))  # how often training has the pair that ends here
-    m = reserve(seen, 3)
-    rest, third = m / (seen + m), np.zeros(len(above))
-    third[g.use] = share_of(three)[g.triple]
-    p = np.append(p2[:1], third[:-1] + rest[:-1] * p2[1:])
+    p2 = (seen + m * chunk.p1) / (above + m)
+    m = reserve(seen, 3)[:-1]
+    p = np.append(p2[:1], (behind[:-1] + m * p2[1:]) / (seen[:-1] + m))
     p[chunk.first] = p2[chunk.first]
     return np.log10(p)
 
@@ -317,7 +314,7 @@ def find_words(buffer: object, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     b = Buffer(buffer)
     n, width, lower, upper, w1, w2, n1, n2 = (int(x) for x in b.take(np.int64, 8))
     level = EliasFano(n, width, b.take(U64, lower), b.take(U64, upper), b.take(np.uint32, upper))
-    at = Trie(63, [level], [], []).root(words >> U64(1))
+    at = Trie(level, [level], [], [], words[:0]).root(words >> U64(1))
     known = np.flatnonzero(at >= 0)
     out = []
     for w, packed in ((w1, b.take(U64, n1)), (w2, b.take(U64, n2))):
@@ -389,27 +386,36 @@ def _answer_grams(model: Model, build: bool) -> Callable[[pd.DataFrame], pd.Data
             above = _summed(a2, of_pair, len(words))
             above[a[listed(6, 0)]] = join(7)
             of_pair[pair[listed(8, 2)]] = join(9)
-            stored_file(path, trie_of(model.number_bits, words, above, a2, b2, of_pair, context, c3, count).to_bytes())
-        trie = Trie.map(mapped_file(path))
-        second = trie.below(1, trie.root(words)[a2], b2)
-        two = trie.code(1, second)[pair]
-        three = trie.code(2, trie.below(2, second[context], c3))[triple]
+            stored_file(path, trie_of(words, above, a2, b2, of_pair, context, c3, count).to_bytes())
+        two, three = counts_of(Trie.map(mapped_file(path)), words, a2, b2, context, c3)
+        two, three = two[pair], three[triple]
         out = group[["chunk", "shard"]].copy()
         cut = lambda x, k: np.split(x, np.cumsum([len(o[k]) for o in opened])[:-1])
-        out["answer"] = [_squeeze(x, y) for x, y in zip(cut(two, 2), cut(three, 4), strict=True)]
+        out["answer"] = [_squeeze(_slim(x), _slim(y)) for x, y in zip(cut(two, 2), cut(three, 4), strict=True)]
         return out
 
     return answer
 
 
-def trie_of(bits: int, words: np.ndarray, above: np.ndarray, a: np.ndarray, b: np.ndarray, of_pair: np.ndarray, context: np.ndarray, c: np.ndarray, count: np.ndarray) -> Trie:
+def counts_of(trie: Trie, words: np.ndarray, a: np.ndarray, b: np.ndarray, context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often training has pairs (place of the first word among words, b) and trigrams (place of the pair, c): level by level, a share that the trie has and the count above it give the count; whole up to some hundreds, from there on as near as the codes are."""
+    root = trie.root(words)
+    above = np.where(root >= 0, trie.counts[np.maximum(root, 0)].astype(np.float64) if len(trie.counts) else 0.0, 0.0)[a]
+    second = trie.below(1, root[a], trie.named(b))
+    two = np.rint(share_of(trie.code(1, second)) * (above + reserve(above, 2)))
+    third = trie.below(2, second[context], trie.named(c))
+    three = np.rint(share_of(trie.code(2, third)) * (two + reserve(two, 3))[context])
+    return two.astype(np.int64), three.astype(np.int64)
+
+
+def trie_of(words: np.ndarray, above: np.ndarray, a: np.ndarray, b: np.ndarray, of_pair: np.ndarray, context: np.ndarray, c: np.ndarray, count: np.ndarray) -> Trie:
     """words and how often they are contexts; pairs (place of the word, b) and their counts; trigrams (place of the pair, c) and their counts. Those with count 0 are left out."""
     kept = lambda use: np.cumsum(use) - 1
     grown = np.bincount(context[count > 0], minlength=len(a)) > 0  # a pair that is spread may have no successor here
     live = np.bincount(a[grown], minlength=len(words)) > 0
     two, three = _shares(of_pair, above[a], 2), _shares(count, of_pair[context], 3)
     use = count > 0
-    return Trie.of(bits, words[live], [(kept(live)[a[grown]], b[grown], quantise(two[grown])), (kept(grown)[context[use]], c[use], quantise(three[use]))])
+    return Trie.of(words[live], above[live], [(kept(live)[a[grown]], b[grown], quantise(two[grown])), (kept(grown)[context[use]], c[use], quantise(three[use]))])
 
 
 # The whole -------------------------------------------------------------------------------------------------------
@@ -479,16 +485,16 @@ def _scored(docs: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
     n_chunks = chunks.count()
     if model is None:  # a chunk has at most CHUNK_WORDS trigrams; shards grow in number with chunks, not in size
         folder = f"{shared_folder(docs.sparkSession)}/{uuid.uuid4().hex}"
-        model = Model(folder, _bits(n_chunks * CHUNK_WORDS / 4), _bits(n_chunks * CHUNK_WORDS), 63, HOT, 0, 0, 0, (np.empty(0, U64), np.empty(0, np.int64)))
+        model = Model(folder, _bits(n_chunks * CHUNK_WORDS / 4), _bits(n_chunks * CHUNK_WORDS), HOT, 0, 0, 0, (np.empty(0, U64), np.empty(0, np.int64)))
     word_bits = model.word_bits
     asked = _each(chunks, lambda no, chunk: chunk.ask_words(no, word_bits), QUESTION)
     told = durable(asked.groupBy("shard").applyInPandas(_answer_words(model.folder, build), f"{ANSWER}, tokens long, types long"))
     words = told.select("chunk", "shard", "answer")
     if build:
         hot = _hot_pairs(chunks, n_chunks)
-        total, types, most = (int(x or 0) for x in told.agg(F.sum("tokens"), F.sum("types"), F.max("types")).first())
+        total, types = (int(x or 0) for x in told.agg(F.sum("tokens"), F.sum("types")).first())
         texts = int(chunks.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0)
-        model = Model(model.folder, word_bits, model.gram_bits, (WORDS + (most + 1 << word_bits)).bit_length(), HOT, total, types, texts, model.hot)
+        model = Model(model.folder, word_bits, model.gram_bits, HOT, total, types, texts, model.hot)
         if hot:
             model = Model(**model.__dict__ | {"hot": _hot_counts(chunks, words, hot, model)})
 

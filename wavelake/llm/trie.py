@@ -120,19 +120,28 @@ class EliasFano:
 
 
 class Coded:
-    """Codes of which few differ: a table of the different ones, and each one's place in it, packed."""
+    """Codes of which few differ. The most frequent one is told once; of the others, their places, as a monotone
+    sequence, and their codes as places in a table of the different ones, packed."""
 
-    def __init__(self, table: np.ndarray, places: np.ndarray) -> None:
-        self.table, self.places = table, places
+    def __init__(self, usual: int, others: EliasFano, table: np.ndarray, places: np.ndarray) -> None:
+        self.usual, self.others, self.table, self.places = usual, others, table, places
         self.width = max(0, len(table) - 1).bit_length()
 
     @classmethod
     def of(cls, codes: np.ndarray) -> Coded:
-        table, places = np.unique(codes, return_inverse=True)
-        return cls(table, _pack(places.astype(U64), max(0, len(table) - 1).bit_length()))
+        usual = int(np.argmax(np.bincount(codes))) if len(codes) else 0
+        at = np.flatnonzero(codes != usual)
+        table, places = np.unique(codes[at], return_inverse=True)
+        return cls(usual, EliasFano.of(at), table, _pack(places.astype(U64), max(0, len(table) - 1).bit_length()))
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return self.table[_unpack(self.places, self.width, i).astype(np.int64)] if len(i) else np.empty(0, np.uint16)
+        out = np.full(len(i), self.usual, np.uint16)
+        if self.others.n and len(i):
+            at = self.others.successor(i.astype(U64), np.zeros(len(i), np.int64), np.full(len(i), self.others.n))
+            hit = np.flatnonzero(at < self.others.n)
+            hit = hit[self.others[at[hit]] == i[hit].astype(U64)]
+            out[hit] = self.table[_unpack(self.places, self.width, at[hit]).astype(np.int64)]
+        return out
 
 
 class Buffer:
@@ -153,25 +162,35 @@ def joined(arrays: list[np.ndarray]) -> bytes:
 
 
 class Trie:
-    """levels: the words of each level, below their contexts' ranks from the second on; pointers: of each level but the
-    last, where each node's successors begin, and the end; codes: of each level from the second on."""
+    """vocabulary: the words of the levels below the first, whose places there stand for them; levels: the words of each
+    level, from the second on below their contexts' ranks; pointers: of each level but the last, where each node's
+    successors begin, and the end; codes: of each level from the second on; counts: a number for each word of level 1."""
 
-    def __init__(self, bits: int, levels: list[EliasFano], pointers: list[EliasFano], codes: list[Coded]) -> None:
-        self.bits, self.levels, self.pointers, self.codes = bits, levels, pointers, codes
+    def __init__(self, vocabulary: EliasFano, levels: list[EliasFano], pointers: list[EliasFano], codes: list[Coded], counts: np.ndarray) -> None:
+        self.vocabulary, self.levels, self.pointers, self.codes, self.counts = vocabulary, levels, pointers, codes, counts
+        self.bits = max(0, vocabulary.n - 1).bit_length()
 
     @classmethod
-    def of(cls, bits: int, first: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
-        """first: words of level 1 in order; grams: for each further level (place of the context in the level above, word, code), in order. Words are below 2**bits."""
+    def of(cls, first: np.ndarray, counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
+        """first: words of level 1 in order, and their counts; grams: for each further level (place of the context in the level above, word, code), in order."""
         levels, pointers, codes = [EliasFano.of(first)], [], []
         size = len(first)
+        vocabulary = np.unique(np.concatenate([np.empty(0, np.int64), *[word for _, word, _ in grams]])).astype(np.int64)
+        bits = max(0, len(vocabulary) - 1).bit_length()
         for context, word, code in grams:
+            word = np.searchsorted(vocabulary, word)
             if size and (size - 1).bit_length() + bits > 63:
                 raise ValueError("too many contexts for one trie: use more shards")
             pointers.append(EliasFano.of(np.searchsorted(context, np.arange(size + 1))))
             levels.append(EliasFano.of((context.astype(U64) << U64(bits)) | word.astype(U64)))
             codes.append(Coded.of(code))
             size = len(word)
-        return cls(bits, levels, pointers, codes)
+        return cls(EliasFano.of(vocabulary), levels, pointers, codes, counts.astype(U64))
+
+    def named(self, word: np.ndarray) -> np.ndarray:
+        """What stands for words below level 1; -1 for those that are nowhere there."""
+        v = self.vocabulary
+        return self._hit(v, v.successor(word.astype(U64), np.zeros(len(word), np.int64), np.full(len(word), v.n)), word.astype(U64), np.full(len(word), v.n))
 
     def root(self, word: np.ndarray) -> np.ndarray:
         """Places of words in level 1, or -1."""
@@ -180,9 +199,9 @@ class Trie:
         return self._hit(level, at, word.astype(U64), np.full(len(word), level.n))
 
     def below(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Places in ``level`` (from 1 on) of words among the successors of their contexts, which are places in the level above or -1; -1 if there is none."""
+        """Places in ``level`` (from 1 on) of words (as named) among the successors of their contexts, which are places in the level above or -1; -1 if there is none."""
         out = np.full(len(word), -1, np.int64)
-        known = np.flatnonzero(context >= 0)
+        known = np.flatnonzero((context >= 0) & (word >= 0))
         if len(known):
             c = context[known]
             low, high = self.pointers[level - 1][c].astype(np.int64), self.pointers[level - 1][c + 1].astype(np.int64)
@@ -206,20 +225,20 @@ class Trie:
         return out
 
     def to_bytes(self) -> bytes:
-        sequences = [*self.levels, *self.pointers]
-        sizes = [self.bits, len(self.levels), *[x for e in sequences for x in (e.n, e.width, len(e.lower), len(e.upper))], *[x for c in self.codes for x in (len(c.table), len(c.places))]]
+        sequences = [self.vocabulary, *self.levels, *self.pointers, *[c.others for c in self.codes]]
+        sizes = [len(self.levels), len(self.counts), *[x for e in sequences for x in (e.n, e.width, len(e.lower), len(e.upper))], *[x for c in self.codes for x in (c.usual, len(c.table), len(c.places))]]
         arrays = [a for e in sequences for a in (e.lower, e.upper, e.ones)] + [a for c in self.codes for a in (c.table, c.places)]
-        return joined([np.array([len(sizes)], np.int64), np.array(sizes, np.int64), *arrays])
+        return joined([np.array([len(sizes)], np.int64), np.array(sizes, np.int64), self.counts, *arrays])
 
     @classmethod
     def map(cls, buffer: object) -> Trie:
         """Views into a buffer that holds to_bytes()."""
         b = Buffer(buffer)
-        bits, n, *sizes = (int(x) for x in b.take(np.int64, int(b.take(np.int64, 1)[0])))
-        sequences = []
-        for k in range(2 * n - 1):
+        n, firsts, *sizes = (int(x) for x in b.take(np.int64, int(b.take(np.int64, 1)[0])))
+        counts, sequences = b.take(U64, firsts), []
+        for k in range(3 * n - 1):  # the vocabulary, levels, pointers, and the places of unusual codes
             size, width, lower, upper = sizes[4 * k : 4 * k + 4]
             sequences.append(EliasFano(size, width, b.take(U64, lower), b.take(U64, upper), b.take(np.uint32, upper)))
-        rest = sizes[4 * (2 * n - 1) :]
-        codes = [Coded(b.take(np.uint16, t), b.take(U64, p)) for t, p in zip(rest[::2], rest[1::2], strict=True)]
-        return cls(bits, sequences[:n], sequences[n:], codes)
+        rest = sizes[4 * (3 * n - 1) :]
+        codes = [Coded(usual, others, b.take(np.uint16, t), b.take(U64, p)) for usual, t, p, others in zip(rest[::3], rest[1::3], rest[2::3], sequences[2 * n :], strict=True)]
+        return cls(sequences[0], sequences[1 : n + 1], sequences[n + 1 : 2 * n], codes, counts)
