@@ -29,6 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from .common import U64, Interned, durable, fold, id_text, mapped_file, mix64, shared_folder, stored_file, with_id_of
 from .trie import Buffer, EliasFano, Trie, _pack, _unpack, joined, quantise, share_of
@@ -430,6 +431,13 @@ def _each(chunks: DataFrame, ask: Callable[[int, Chunk], pd.DataFrame], schema:
     return chunks.mapInPandas(asked, schema)
 
 
+def _with_answers(chunks: DataFrame, answers: DataFrame) -> PandasCogroupedOps:
+    """Chunks with their answers. These are few bytes with much to do, so they are not to be merged into fewer tasks."""
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = lambda df: df.repartition(tasks, "chunk").groupBy("chunk")
+    return by(chunks).cogroup(by(answers))
+
+
 QUESTION, ANSWER = "chunk long, shard int, question binary", "chunk long, shard int, answer binary"
 
 
@@ -469,7 +477,7 @@ def _hot_counts(chunks: DataFrame, answers: DataFrame, pairs: list[int], model:
         at = at[n[at] > 0]
         return pd.DataFrame({"pair": pair_hash(number[g.a[at]], number[g.b[at]]).view(np.int64), "n": n[at]})
 
-    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = _with_answers(chunks, answers).applyInPandas(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     found = sorted((r.pair % (1 << 64), r.n) for r in rows)
     return np.array([x[0] for x in found], U64), np.array([x[1] for x in found], np.int64)
 
@@ -520,11 +528,11 @@ def _scored(docs: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
 
     level = lambda df, k: df.select(F.lit(k).alias("level"), "chunk", "shard", "answer")
     meta = chunks.drop("doc_ids")
-    asked = meta.groupBy("chunk").cogroup(level(words, 1).groupBy("chunk")).applyInPandas(ask, QUESTION)
+    asked = _with_answers(meta, level(words, 1)).applyInPandas(ask, QUESTION)
     grams = asked.groupBy("shard").applyInPandas(_answer_grams(model, build), ANSWER)
     answers = level(words, 1).union(level(grams, 2))
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
+    out = _with_answers(chunks, answers).applyInPandas(finish, schema)
     return model, with_id_of(out, docs)
 
 
