@@ -74,7 +74,7 @@ def _line(docs: DataFrame, mix: Mix) -> DataFrame:
     place = seeded(mix.seed, F.col("doc_id"))
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     line = durable(slim.select("doc_id", "size", F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"), place.alias("place")))
-    bits = min(24, max(5, (line.count() // mix.bucket_rows).bit_length()))
+    bits = min(24, max(9, (line.count() // mix.bucket_rows).bit_length()))  # every row of a bucket is joined with its blocks, so there are not too few
     return line.withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 6), 16, 10).cast("int"), 24 - bits))
 
 
