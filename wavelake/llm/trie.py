@@ -120,27 +120,30 @@ class EliasFano:
 
 
 class Coded:
-    """Codes of which few differ. The most frequent one is told once; of the others, their places, as a monotone
-    sequence, and their codes as places in a table of the different ones, packed."""
+    """Codes of which few differ. The most frequent one is told once. A bit for each code tells where the others are,
+    numbers how many of them lie before each word of bits; their codes are places in a table of the different ones, packed."""
 
-    def __init__(self, usual: int, others: EliasFano, table: np.ndarray, places: np.ndarray) -> None:
-        self.usual, self.others, self.table, self.places = usual, others, table, places
+    def __init__(self, usual: int, marks: np.ndarray, before: np.ndarray, table: np.ndarray, places: np.ndarray) -> None:
+        self.usual, self.marks, self.before, self.table, self.places = usual, marks, before, table, places
         self.width = max(0, len(table) - 1).bit_length()
 
     @classmethod
     def of(cls, codes: np.ndarray) -> Coded:
         usual = int(np.argmax(np.bincount(codes))) if len(codes) else 0
-        at = np.flatnonzero(codes != usual)
-        table, places = np.unique(codes[at], return_inverse=True)
-        return cls(usual, EliasFano.of(at), table, _pack(places.astype(U64), max(0, len(table) - 1).bit_length()))
+        other = codes != usual
+        table, places = np.unique(codes[other], return_inverse=True)
+        marks = np.packbits(np.concatenate([other, np.zeros(-len(codes) % 64, bool)]), bitorder="little").view(U64)
+        before = (np.cumsum(np.bitwise_count(marks), dtype=np.int64) - np.bitwise_count(marks)).astype(np.uint32)
+        return cls(usual, marks, before, table, _pack(places.astype(U64), max(0, len(table) - 1).bit_length()))
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         out = np.full(len(i), self.usual, np.uint16)
-        if self.others.n and len(i):
-            at = self.others.successor(i.astype(U64), np.zeros(len(i), np.int64), np.full(len(i), self.others.n))
-            hit = np.flatnonzero(at < self.others.n)
-            hit = hit[self.others[at[hit]] == i[hit].astype(U64)]
-            out[hit] = self.table[_unpack(self.places, self.width, at[hit]).astype(np.int64)]
+        if len(self.table) and len(i):
+            word, bit = self.marks[i >> 6], (i & 63).astype(U64)
+            hit = np.flatnonzero(word >> bit & U64(1))
+            below = np.bitwise_count(word[hit] & ((U64(1) << bit[hit]) - U64(1)))
+            at = self.before[i[hit] >> 6].astype(np.int64) + below
+            out[hit] = self.table[_unpack(self.places, self.width, at).astype(np.int64)]
         return out
 
 
@@ -189,8 +192,9 @@ class Trie:
 
     def named(self, word: np.ndarray) -> np.ndarray:
         """What stands for words below level 1; -1 for those that are nowhere there."""
-        v = self.vocabulary
-        return self._hit(v, v.successor(word.astype(U64), np.zeros(len(word), np.int64), np.full(len(word), v.n)), word.astype(U64), np.full(len(word), v.n))
+        v, (asked, at) = self.vocabulary, np.unique(word.astype(U64), return_inverse=True)
+        end = np.full(len(asked), v.n)
+        return self._hit(v, v.successor(asked, np.zeros(len(asked), np.int64), end), asked, end)[at]
 
     def root(self, word: np.ndarray) -> np.ndarray:
         """Places of words in level 1, or -1."""
@@ -225,9 +229,9 @@ class Trie:
         return out
 
     def to_bytes(self) -> bytes:
-        sequences = [self.vocabulary, *self.levels, *self.pointers, *[c.others for c in self.codes]]
-        sizes = [len(self.levels), len(self.counts), *[x for e in sequences for x in (e.n, e.width, len(e.lower), len(e.upper))], *[x for c in self.codes for x in (c.usual, len(c.table), len(c.places))]]
-        arrays = [a for e in sequences for a in (e.lower, e.upper, e.ones)] + [a for c in self.codes for a in (c.table, c.places)]
+        sequences = [self.vocabulary, *self.levels, *self.pointers]
+        sizes = [len(self.levels), len(self.counts), *[x for e in sequences for x in (e.n, e.width, len(e.lower), len(e.upper))], *[x for c in self.codes for x in (c.usual, len(c.marks), len(c.table), len(c.places))]]
+        arrays = [a for e in sequences for a in (e.lower, e.upper, e.ones)] + [a for c in self.codes for a in (c.marks, c.before, c.table, c.places)]
         return joined([np.array([len(sizes)], np.int64), np.array(sizes, np.int64), self.counts, *arrays])
 
     @classmethod
@@ -236,9 +240,9 @@ class Trie:
         b = Buffer(buffer)
         n, firsts, *sizes = (int(x) for x in b.take(np.int64, int(b.take(np.int64, 1)[0])))
         counts, sequences = b.take(U64, firsts), []
-        for k in range(3 * n - 1):  # the vocabulary, levels, pointers, and the places of unusual codes
+        for k in range(2 * n):  # the vocabulary, levels and pointers
             size, width, lower, upper = sizes[4 * k : 4 * k + 4]
             sequences.append(EliasFano(size, width, b.take(U64, lower), b.take(U64, upper), b.take(np.uint32, upper)))
-        rest = sizes[4 * (3 * n - 1) :]
-        codes = [Coded(usual, others, b.take(np.uint16, t), b.take(U64, p)) for usual, t, p, others in zip(rest[::3], rest[1::3], rest[2::3], sequences[2 * n :], strict=True)]
-        return cls(sequences[0], sequences[1 : n + 1], sequences[n + 1 : 2 * n], codes, counts)
+        rest = sizes[8 * n :]
+        codes = [Coded(usual, b.take(U64, m), b.take(np.uint32, m), b.take(np.uint16, t), b.take(U64, p)) for usual, m, t, p in zip(*[rest[k::4] for k in range(4)], strict=True)]
+        return cls(sequences[0], sequences[1 : n + 1], sequences[n + 1 :], codes, counts)
