@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wavelake import registry
 from wavelake.functions import samples as s
 from wavelake.operators import predictors, spectral
 from wavelake.operators.recurrences import KINDS, run_batch
@@ -149,6 +151,28 @@ def test_decoding_by_expressions_equals_numpy(spark, form, big):
     assert row.a == pytest.approx(row.b, abs=1e-12) and len(row.a) == len(raw) // s.FORMATS[form][0]
 
 
+@pytest.mark.parametrize("form", ["u8", "s16", "s24", "s32", "f32"])
+def test_rows_of_samples_equal_arrays_across_pieces(spark, form):
+    lengths = (0, 1, 3, pcm.PIECE - 1, pcm.PIECE, pcm.PIECE + 1, 3 * pcm.PIECE + 7)
+    rows = [(7, None), *[(n, bytearray((i * 31 + i // 251) % 120 for i in range(n))) for n in lengths], (pcm.PIECE, bytearray(pcm.PIECE))]
+    df = spark.createDataFrame(rows, "k long, raw binary")
+    got = sorted(tuple(r) for r in pcm.long_decoded(df, "k", "raw", form).collect())
+    assert got == sorted((k, i, x) for k, raw in rows if raw for i, x in enumerate(pcm.decode(bytes(raw), form).tolist()))
+
+
+def test_samples_are_handed_back_in_small_batches():
+    n = 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array([bytes(pcm.PIECE)] * n)], ["k", "piece", "raw"])
+    sizes = [b.num_rows for b in pcm.sample_batches(iter([batch]), "u8")]
+    assert sum(sizes) == n * pcm.PIECE and max(sizes) <= pcm.BATCH + pcm.PIECE
+
+
+def test_decoding_queries_make_no_arrays(spark, sf_dir):
+    for name in ("pcm_decode_u8", "pcm_decode_s16", "pcm_decode_s24be", "pcm_decode_s32"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan
+
+
 def test_read_exact(spark):
     data = F.array(*[F.lit(float(i)) for i in range(4)])
     assert one(spark, s.read_exact(data, F.lit(1), 3).alias("a")).a == [1.0, 2.0, 3.0]

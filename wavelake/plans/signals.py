@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import samples as s
@@ -150,6 +150,11 @@ def seek_and_read(spark: SparkSession, d: str) -> DataFrame:
 # PCM -------------------------------------------------------------------------------------------------------------
 
 
+def _six_places(x: Column) -> Column:
+    """round(x, 6) without decimals: a million times a whole number over a power of two is exact, and so are its halves."""
+    return F.floor(F.abs(x) * 1e6 + 0.5) * F.signum(x) / 1e6 + F.lit(0.0)
+
+
 def _decoded(form: str, big: bool) -> None:
     width, scale, _, bias = s.FORMATS[form]
     order = range(width) if big else range(width - 1, -1, -1)
@@ -160,7 +165,7 @@ def _decoded(form: str, big: bool) -> None:
     sql = f"""WITH {BLOCKS_SQL}, spots AS (SELECT id, block, h, unnest(range(0, len(h) // {2 * width})) AS i FROM blocks)
 SELECT id, (block * {BLOCK // width} + i)::INT AS pos, round({value} / {scale}::DOUBLE, 6) + 0.0::DOUBLE AS sample FROM spots"""
     name = f"pcm_decode_{form}" + ("be" if big else "")
-    query(sql, name)(lambda spark, d: long(pcm_bytes(spark, d).select("id", pcm.decoded(F.col("raw"), form, big).alias("data")), "id"))
+    query(sql, name)(lambda spark, d: pcm.long_decoded(pcm_bytes(spark, d), "id", "raw", form, big).withColumn("sample", _six_places(F.col("sample"))))
 
 
 def _encoded(form: str, big: bool) -> None:
