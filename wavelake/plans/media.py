@@ -153,22 +153,24 @@ def tag_dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id AS id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS digest FROM documents")
 def ogg_packets(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's bytes as packets of 1000 bytes in a logical stream, two streams a file, muxed, demuxed and joined."""
+    """Every document's bytes as packets of 1000 bytes in a logical stream, two streams a file, muxed, demuxed and joined where the file is.
+
+    The stream is told by its codec, so no id is too large, and rows of one id stay apart. A null text has no file.
+    """
 
     @F.pandas_udf("binary")
-    def muxed(text: pd.Series, serial: pd.Series) -> pd.Series:
-        def one(t: str, s: int) -> bytes:
+    def muxed(text: pd.Series) -> pd.Series:
+        def one(t: str) -> bytes:
             raw = t.encode()
             parts = [b"OpusHead"] + [raw[i : i + 1000] for i in range(0, len(raw), 1000)]
-            return ogg.mux([(p, k) for k, p in enumerate(parts)], int(s) & 0xFFFFFFFF) + ogg.mux([(b"\x7fFLAC", 0)], (int(s) + 1_000_000) & 0xFFFFFFFF)
+            return ogg.mux([(p, k) for k, p in enumerate(parts)], 1) + ogg.mux([(b"\x7fFLAC", 0)], 2)
 
-        return pd.Series([one(t, s) for t, s in zip(text, serial, strict=True)])
+        return pd.Series([None if t is None else one(t) for t in text])
 
-    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), muxed("text", "doc_id").alias("content"))
-    own = readers.packets(files).filter("stream < 1000000 and packet_no > 0 and not hole")
-    joined = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("packet_no", F.hex("data").alias("h")))).getField("h").alias("h"))
-    raw = F.unhex(F.array_join("h", ""))
-    return joined.select(F.col("path").cast("long").alias("id"), F.octet_length(raw).cast("long").alias("n_bytes"), F.md5(raw).alias("digest"))
+    streams = readers.ogg_streams(muxed("text"))
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.filter(streams, lambda s: s["codec"] == "opus").getItem(0)["packets"].alias("packets"))
+    joined = own.select("id", F.unhex(F.array_join(F.transform(F.slice("packets", F.lit(2), F.size("packets")), F.hex), "")).alias("raw"))
+    return joined.select("id", F.octet_length("raw").cast("long").alias("n_bytes"), F.md5("raw").alias("digest"))
 
 
 def _built(spark: SparkSession, d: str) -> DataFrame:
