@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -158,17 +160,17 @@ def ogg_packets(spark: SparkSession, d: str) -> DataFrame:
     The stream is told by its codec, so no id is too large, and rows of one id stay apart. A null text has no file.
     """
 
-    @F.pandas_udf("binary")
-    def muxed(text: pd.Series) -> pd.Series:
-        def one(t: str) -> bytes:
-            raw = t.encode()
-            parts = [b"OpusHead"] + [raw[i : i + 1000] for i in range(0, len(raw), 1000)]
-            return ogg.mux([(p, k) for k, p in enumerate(parts)], 1) + ogg.mux([(b"\x7fFLAC", 0)], 2)
+    def one(t: str) -> list[bytes]:
+        raw = t.encode()
+        parts = [b"OpusHead"] + [raw[i : i + 1000] for i in range(0, len(raw), 1000)]
+        content = ogg.mux([(p, k) for k, p in enumerate(parts)], 1) + ogg.mux([(b"\x7fFLAC", 0)], 2)
+        return next(s["packets"] for s in readers.ogg_streams_of(content) if s["codec"] == "opus")
 
-        return pd.Series([None if t is None else one(t) for t in text])
+    @F.pandas_udf("array<binary>")
+    def packets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from readers.sliced(batches, one)
 
-    streams = readers.ogg_streams(muxed("text"))
-    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.filter(streams, lambda s: s["codec"] == "opus").getItem(0)["packets"].alias("packets"))
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), packets("text").alias("packets"))
     joined = own.select("id", F.unhex(F.array_join(F.transform(F.slice("packets", F.lit(2), F.size("packets")), F.hex), "")).alias("raw"))
     return joined.select("id", F.octet_length("raw").cast("long").alias("n_bytes"), F.md5("raw").alias("digest"))
 
